@@ -150,60 +150,78 @@ def _light_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     return rows.join(buckets.select("lo", "hi", "key", "v"), ["lo", "hi", "key"]).select(F.col("set_id").alias("u"), "v")
 
 
-def scan_list(sizes: np.ndarray, tokens: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among some sets: each one reached is compared with those not reached yet."""
-    flat = np.concatenate(tokens)
-    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-    _, dense = np.unique(flat, return_inverse=True)
-    first = np.cumsum([0, *(len(t) for t in tokens)])
-    mark = np.zeros(dense.max() + 1, bool)
-    open_, out = np.ones(len(sizes), bool), []
-    while open_.any():
-        root = int(np.argmax(open_))
-        open_[root], queue = False, [root]
-        while queue and open_.any():
-            k = queue.pop()
-            own = dense[first[k] : first[k + 1]]
-            mark[own] = True
-            live = open_[owner]
-            both = np.bincount(owner[live][mark[dense[live]]], minlength=len(sizes))
-            mark[own] = False
-            linked = np.flatnonzero(open_ & (100 * both >= percent * (sizes + sizes[k] - both)) & (both > 0))
-            open_[linked] = False
-            queue += linked.tolist()
-            out += [(root, int(i)) for i in linked]
-    return out
+class Scan:
+    """Links among some sets, found list by list; a pair is compared once, and not at all if links join it already."""
+
+    def __init__(self, sizes: np.ndarray, values: np.ndarray, offs: np.ndarray, percent: int):
+        self.sizes, self.first, self.count, self.percent = sizes, offs[:-1], np.diff(offs), percent
+        _, self.dense = np.unique(values, return_inverse=True)
+        self.mark = np.zeros(self.dense.max() + 1 if len(values) else 1, bool)
+        self.root = np.arange(len(sizes))
+        self.tested: dict[int, np.ndarray] = {}
+        self.links: list[tuple[int, int]] = []
+
+    def list(self, members: np.ndarray) -> None:
+        for k in members.tolist():
+            other = members[self.root[members] != self.root[k]]
+            if not len(other):
+                if (self.root[members] == self.root[members[0]]).all():
+                    return
+                continue
+            tested = self.tested.setdefault(k, np.zeros(len(self.sizes), bool))
+            a, b = self.sizes[other], self.sizes[k]
+            other = other[~tested[other] & (100 * np.minimum(a, b) >= self.percent * np.maximum(a, b))]
+            if not len(other):
+                continue
+            tested[other] = True
+            own = self.dense[self.first[k] : self.first[k] + self.count[k]]
+            self.mark[own] = True
+            n = self.count[other]
+            at = np.cumsum(n) - n
+            hit = self.mark[self.dense[np.repeat(self.first[other] - at, n) + np.arange(n.sum())]]
+            both = np.add.reduceat(hit.astype(np.int64), at)
+            self.mark[own] = False
+            for j in other[100 * both >= self.percent * (self.sizes[other] + b - both)].tolist():
+                if self.root[j] != self.root[k]:
+                    self.links.append((k, j))
+                    self.root[self.root == self.root[j]] = self.root[k]
 
 
 def _heavy_links(sets: DataFrame, postings: DataFrame, boundary: int, percent: int) -> DataFrame:
     heavy = postings.where(F.col("n") > boundary)
-    lists = heavy.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y")).where("c > 1")
-    chosen = lists.groupBy("c", "x", "y").agg(F.min("token").alias("token"))
+    lists = heavy.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"), F.min("set_id").alias("head"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # two sets whose sizes differ too much can't link
+    lists = lists.where((F.col("c") > 2) | ((F.col("c") == 2) & (100 * F.col("least") >= percent * F.col("most"))))
+    chosen = lists.groupBy("c", "x", "y").agg(F.min("token").alias("token"), F.min("head").alias("head"))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
-    at = heavy.join(chosen.select("token", "c"), "token").select("set_id", "token", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cell = at.select("set_id", "token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    full = cell.join(sets, "set_id").withColumn("bucket", F.pmod(F.xxhash64("token", "lo", "hi"), F.lit(BUCKETS)))
-
-    def scan(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("token", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("set_id", "ascending")])
-        token, lo, hi = (np.asarray(table[k]) for k in ("token", "lo", "hi"))
+    at = heavy.join(chosen.select("token", "c", "head"), "token").select("set_id", "token", "head", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    cell = at.select("set_id", "token", "head", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    # lists with the same first member meet in one bucket, where each set is needed once; pairs of blocks go apart
+    bucket = F.pmod(F.xxhash64("head", "lo", "hi"), F.lit(BUCKETS))
+    cell = cell.select("set_id", "token", "lo", "hi", bucket.alias("bucket"))
+    needed = cell.select(F.col("bucket").alias("at"), F.col("set_id").alias("sid")).distinct()
+    full = needed.join(sets.select(F.col("set_id").alias("sid"), "n", "shared"), "sid")
+
+    def scan(cells: pa.Table, full: pa.Table) -> pa.Table:
+        if not cells.num_rows:
+            return pa.table({"u": pa.array([], pa.binary()), "v": pa.array([], pa.binary())})
+        full = full.sort_by("sid")
+        sid = full["sid"].to_pylist()
+        place = {x: k for k, x in enumerate(sid)}
+        shared = full["shared"].combine_chunks()
+        shared = shared.chunk(0) if isinstance(shared, pa.ChunkedArray) else shared
+        scanner = Scan(np.asarray(full["n"]).astype(np.int64), np.asarray(shared.values), np.asarray(shared.offsets), percent)
+        cells = cells.sort_by([("token", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("set_id", "ascending")])
+        token, lo, hi = (np.asarray(cells[k]) for k in ("token", "lo", "hi"))
+        at = np.fromiter((place[x] for x in cells["set_id"].to_pylist()), np.int64, cells.num_rows)
         edge = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-        sid, n = table["set_id"].to_pylist(), np.asarray(table["n"]).astype(np.int64)
-        shared = table["shared"].combine_chunks()
-        values, offs = np.asarray(shared.values), np.asarray(shared.offsets)
-        found, seen = set(), set()
-        for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(sid)], strict=True):
-            if j - i == 2:
-                if (sid[i], sid[i + 1]) in seen:
-                    continue
-                seen.add((sid[i], sid[i + 1]))
-            if j - i > 1:
-                for a, b in scan_list(n[i:j], [values[offs[k] : offs[k + 1]] for k in range(i, j)], percent):
-                    found.add((sid[i + a], sid[i + b]))
-        return pa.table({"u": pa.array([a for a, _ in found], pa.binary()), "v": pa.array([b for _, b in found], pa.binary())})
-
-    return full.groupBy("bucket").applyInArrow(scan, "u binary, v binary")
+        parts = np.split(at, edge[1:])
+        for members in sorted(parts, key=len, reverse=True):  # long lists join most sets at once
+            scanner.list(members)
+        return pa.table({"u": pa.array([sid[a] for a, _ in scanner.links], pa.binary()), "v": pa.array([sid[b] for _, b in scanner.links], pa.binary())})
+
+    return cell.groupBy("bucket").cogroup(full.groupBy("at")).applyInArrow(scan, "u binary, v binary")
 
 
 #: Python groups that the lists are scanned in; each reads its lists one after another.
