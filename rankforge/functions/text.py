@@ -29,19 +29,21 @@ def model_tag(model: Column) -> Column:
     return F.lower(F.translate(F.element_at(F.split(model, "/"), -1), "./", "--"))
 
 
-# fixed values: model name beginnings and their families
-_FAMILIES = {"flan-t5": "flan-t5", "qwen3.5": "qwen3.5", "qwen3": "qwen3", "llama": "llama", "ministral": "ministral", "mistral": "mistral"}
+# fixed values: beginnings of model tags and their families; in the dashed form dots were written as dashes
+_FAMILIES = [("qwen3-5-", "qwen3.5"), ("meta-llama-", "llama3.1"), ("ministral-3-", "mistral3"), ("qwen3-", "qwen3")]
+_FAMILIES_DASHED = [("qwen3-5-", "qwen3.5"), ("meta-llama-3-1-", "llama3.1"), ("llama-3-1-", "llama3.1"), ("ministral-3-", "mistral3"), ("mistral-3-", "mistral3"), ("qwen3-", "qwen3")]
 
 
-def model_family(model: Column) -> Column:
-    m = F.lower(model)
-    return F.coalesce(*[F.when(m.startswith(k), F.lit(v)) for k, v in _FAMILIES.items()], F.lit("other"))
+def _family(tag: Column, table: list[tuple[str, str]]) -> Column:
+    return F.coalesce(*[F.when(tag.startswith(k), F.lit(v)) for k, v in table], F.lit("unknown"))
 
 
-def model_family_dashed(model: Column) -> Column:
-    """As ``model_family`` for names whose dots were written as dashes."""
-    m = F.regexp_replace(F.lower(model), r"\.", "-")
-    return F.coalesce(*[F.when(m.startswith(k.replace(".", "-")), F.lit(v)) for k, v in _FAMILIES.items()], F.lit("other"))
+def model_family(tag: Column) -> Column:
+    return _family(F.lower(tag), _FAMILIES)
+
+
+def model_family_dashed(tag: Column) -> Column:
+    return _family(F.translate(F.lower(tag), ".", "-"), _FAMILIES_DASHED)
 
 
 def natural_key(text: Column) -> Column:

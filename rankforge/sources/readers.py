@@ -126,19 +126,21 @@ def aggregates(evals: DataFrame) -> DataFrame:
 
 #: The lines of an execution log, by measure.
 LOG_LINES = {
-    "avg_comparisons": r"Avg comparisons: ([\d.eE+-]+)",
-    "avg_prompt_tokens": r"Avg prompt tokens: ([\d.eE+-]+)",
-    "avg_completion_tokens": r"Avg completion tokens: ([\d.eE+-]+)",
-    "avg_time_per_query": r"Avg time per query: ([\d.eE+-]+)",
-    "avg_parse_fallbacks": r"Avg parse fallbacks: ([\d.eE+-]+)",
-    "retries_fired": r"Total retries fired: ([\d.eE+-]+)",
+    "avg_comparisons": r"Avg comparisons:\s*([0-9.eE+-]+)",
+    "avg_prompt_tokens": r"Avg prompt tokens:\s*([0-9.eE+-]+)",
+    "avg_completion_tokens": r"Avg completion tokens:\s*([0-9.eE+-]+)",
+    "avg_time_per_query": r"Avg time per query:\s*([0-9.eE+-]+)",
+    "avg_parse_fallbacks": r"Avg parse fallbacks:\s*([0-9.eE+-]+)",
+    "avg_lexical_refusal_fallbacks": r"Avg lexical refusal fallbacks:\s*([0-9.eE+-]+)",
+    "avg_numeric_out_of_range_fallbacks": r"Avg numeric out-of-range fallbacks:\s*([0-9.eE+-]+)",
+    "retries_fired": r"Total retries fired:\s*([0-9.eE+-]+)",
 }
 
 
 def read_logs(spark: SparkSession, path) -> DataFrame:
     """``path, metric, value`` for each measure found; prompt and completion tokens also as their total. No retries line means 0."""
     text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    cols = {k: F.expr(f"try_cast(nullif(regexp_extract(value, r'{p}', 1), '') as double)") for k, p in LOG_LINES.items()}
+    cols = {k: F.expr(f"try_cast(nullif(regexp_extract(value, '{p.replace(chr(92), chr(92) * 2)}', 1), '') as double)") for k, p in LOG_LINES.items()}
     cols["retries_fired"] = F.coalesce(cols["retries_fired"], F.lit(0.0))
     cols["avg_total_tokens"] = cols["avg_prompt_tokens"] + cols["avg_completion_tokens"]
     cells = F.array(*[F.struct(F.lit(k).alias("metric"), c.alias("value")) for k, c in cols.items()])
