@@ -12,6 +12,8 @@ the source's sequence, disjoint from all others, and shuffles its rows by hash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from ._session import cut
 #: Weights of the sources by code point order, repeating.
 WEIGHTS = (3, 1, 2)
 _BLOCK_BITS, _CELL_BITS = 12, 26
+#: Rows of the table of blocks up to which it is broadcast.
+_SMALL = 1 << 18
 
 
 def _place(id_col: str, seed: int) -> Column:
@@ -69,18 +73,20 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 8) -> DataFrame:
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", total_share: float = 1.5, most: float = 2.0, shards: int = 16, seed: int = 8, size_col: str | None = None) -> DataFrame:
     """``docs`` with ``__source_size, __target, __copies`` and ``__shards``, the shard of each copy.
 
     One row for each input row. Sources are weighted 3, 1, 2 by code point
     order, null last. A source of no words, and an empty table, have nothing to
-    take. Rows that share an id share a place, so they are taken alike. The
+    take. Sizes are words of the text, or ``size_col`` where a caller has counted
+    already; then no text is read. Rows that share an id share a place, so they are taken alike. The
     table of sources, one small row each, is brought to the driver, where
     targets and the splitting tree are worked out; nothing else is.
     """
     source = F.col(f"`{source_col}`").cast("string")
     place = _place(id_col, seed)
-    small = cut(docs.select(source.alias("source"), place.alias("place"), word_count(text_col).alias("size")))
+    size = F.col(f"`{size_col}`") if size_col else word_count(text_col)
+    small = cut(docs.select(source.alias("source"), place.alias("place"), size.alias("size")))
     block = F.shiftright("place", _CELL_BITS - _BLOCK_BITS).cast("int")
     blocks = cut(small.groupBy("source", block.alias("block")).agg(F.sum("size").alias("words")))
     table = sorted(((r.source, r.words) for r in blocks.groupBy("source").agg(F.sum("words").alias("words")).collect()), key=lambda r: (r[0] is None, (r[0] or "").encode()))
@@ -108,12 +114,14 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         [(k, s, w, targets[k], whole[k], past.get(k, 0), number[k][0], [int(x) for x in shares[k]]) for k, (s, w) in enumerate(table)],
         "__no int, __source string, __source_size long, __target double, __whole int, __past long, __n_blocks int, __upto array<long>",
     )
-    ranks = at.select(F.col("no").alias("__at"), F.col("block").alias("__ranked"), F.col("rank").alias("__rank"))
+    ranks = cut(at.select(F.col("no").alias("__at"), F.col("block").alias("__ranked"), F.col("rank").alias("__rank")))
+    if ranks.count() <= _SMALL:  # else the rows are shuffled to them
+        ranks = F.broadcast(ranks)
     named = docs.withColumn("__place", place).withColumn("__block", F.shiftright("__place", _CELL_BITS - _BLOCK_BITS).cast("int"))
     joined = named.join(plan, source.eqNullSafe(F.col("__source")), "left")
     joined = joined.join(ranks, (F.col("__no") == F.col("__at")) & (F.col("__block") == F.col("__ranked")), "left")
     copies = (F.coalesce("__whole", F.lit(0)) + F.when(F.col("__place") < F.col("__past"), 1).otherwise(0)).cast("int")
-    shard = F.transform(F.sequence(F.lit(0), F.lit(1)), lambda e: F.size(F.filter("__upto", lambda x: x < e * F.col("__n_blocks") + F.col("__rank"))))
+    shard = F.transform(F.sequence(F.lit(0), F.lit(max(math.ceil(most), 1) - 1)), lambda e: F.size(F.filter("__upto", lambda x: x < e * F.col("__n_blocks") + F.col("__rank"))))
     own = [F.col(f"`{c}`") for c in docs.columns]
     return joined.withColumn("__copies", copies).select(*own, F.coalesce("__source_size", F.lit(0)).alias("__source_size"), F.coalesce("__target", F.lit(0.0)).alias("__target"), "__copies", F.slice(shard, F.lit(1), F.col("__copies")).alias("__shards"))
 

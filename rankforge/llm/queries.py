@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, exact_dedup, language_id, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, suffix_dedup
+from ._session import cut
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,8 +60,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    planned = mixing.plan_mix(docs).withColumn("size", mixing.word_count("text"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
+    planned = mixing.plan_mix(cut(docs), size_col="size")
     return planned.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
 
 
