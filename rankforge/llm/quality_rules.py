@@ -91,12 +91,11 @@ def apply_quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_failed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns.
 
-    The base verdict is taken again from the text, so rows that share an id
-    are judged each by its own text.
+    Rows and base verdicts are written to the checkpoint once, so that texts
+    are counted once; rows that share an id are judged each by its own text.
     """
-    names = docs.columns
-    own = docs.select(F.col(f"`{host_col}`").cast("string").alias("__host"), F.col(f"`{text_col}`").cast("string").alias("__text"))
-    counted = cut(base_counts(own, "__text").select("__host", "base_failed"))
-    hosts = cut(host_verdicts(counted, "__host", max_rate).where("host_failed").select(F.col("host").alias("__at")))
-    kept = docs.join(hosts, F.col(f"`{host_col}`").cast("string").eqNullSafe(F.col("__at")), "left_anti")
-    return base_counts(kept.withColumn("__text", F.col(f"`{text_col}`")), "__text").where("not base_failed and __tag >= 0").select(*names)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")  # no name in it can clash
+    own = docs.select(row, F.col(f"`{host_col}`").cast("string").alias("__host"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    counted = cut(base_counts(own, "__text").select("__row", "__host", "base_failed"))
+    hosts = cut(host_verdicts(counted.select("__host", "base_failed"), "__host", max_rate).where("host_failed").select(F.col("host").alias("__at")))
+    return counted.where("not base_failed").join(hosts, F.col("__host").eqNullSafe(F.col("__at")), "left_anti").select("__row.*")
