@@ -78,6 +78,7 @@ def _answer(judge):
             reply = judge(names, np.repeat(np.arange(len(asks)), sizes), [np.concatenate(c) for c in zip(*cols, strict=True)], tables)
             for k, part in zip(asks, np.split(reply, np.cumsum(sizes)[:-1]), strict=True):
                 rows.append((g[k], b[k], _REPLY, n[k], pack(part), b""))
+        pa.default_memory_pool().release_unused()  # what the bucket before this one took
         return _rows(rows)
 
     return answer

@@ -25,7 +25,7 @@ _NONE = np.int64(1 << 62)
 #: Trees of pieces up to this many bytes are built side by side.
 _SIDE_BY_SIDE = 256
 #: Pieces that a worker remembers, and texts' bytes in one step.
-_REMEMBER, _STEP_BYTES = 300_000, 1 << 20
+_REMEMBER, _STEP_BYTES = 100_000, 1 << 20
 #: Fixed value: the widespread pattern whose matches hold a space at their start only, or are white space.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SELF = "\ud800"
@@ -49,10 +49,30 @@ class Tree:
             node[k] = min(node[2 * k], node[2 * k + 1])
 
 
+def _vocabulary(ranks: bytes) -> dict[bytes, int]:
+    pairs = [line.split() for line in ranks.splitlines() if line.strip()]
+    return {base64.b64decode(t): int(r) for t, r in pairs}
+
+
+class Decoder:
+    """The tokens' bytes, one after another; far smaller than what encoding needs."""
+
+    def __init__(self, ranks: bytes):
+        order = sorted(_vocabulary(ranks).items(), key=lambda x: x[1])
+        self.token_size = np.zeros(order[-1][1] + 1, np.int64)
+        self.token_size[[r for _, r in order]] = [len(t) for t, _ in order]
+        self.token_at = np.cumsum(self.token_size) - self.token_size
+        self.token_bytes = np.frombuffer(b"".join(t for t, _ in order), np.uint8)
+
+    def decode(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.token_size[ids]
+        ends = np.cumsum(np.concatenate([[0], sizes]))[np.cumsum(np.concatenate([[0], count]))]
+        return gather(self.token_bytes, self.token_at[ids], sizes), ends
+
+
 class Codec:
     def __init__(self, ranks: bytes, pattern: str):
-        pairs = [line.split() for line in ranks.splitlines() if line.strip()]
-        self.rank = {base64.b64decode(t): int(r) for t, r in pairs}
+        self.rank = _vocabulary(ranks)
         self.split = regex.compile(pattern).findall
         self.spaced, self.odd = pattern == SPACED, re.compile(r" \s").search
         self.base = max(self.rank.values()) + 1
@@ -77,11 +97,6 @@ class Codec:
             self.values[slot[won]] = ranks_[won]
             todo, ranks_, step = todo[~won], ranks_[~won], step + 1
         self.steps = step
-        order = sorted(self.rank.items(), key=lambda x: x[1])
-        self.token_size = np.zeros(self.base, np.int64)
-        self.token_size[[r for _, r in order]] = [len(t) for t, _ in order]
-        self.token_at = np.cumsum(self.token_size) - self.token_size
-        self.token_bytes = np.frombuffer(b"".join(t for t, _ in order), np.uint8)
         self.forget()
 
     def forget(self) -> None:
@@ -257,18 +272,18 @@ class Codec:
         ends = np.cumsum(np.concatenate([[0], sizes]))[np.cumsum([0, *count])]
         return gather(self.flat, self.at[which], sizes), np.diff(ends)
 
-    def decode(self, ids: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = self.token_size[ids]
-        ends = np.cumsum(np.concatenate([[0], sizes]))[np.cumsum(np.concatenate([[0], count]))]
-        return gather(self.token_bytes, self.token_at[ids], sizes), ends
-
 
 def gather(flat: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Slices of ``flat``, one after another."""
     return flat[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
+def _decoder(ranks: bytes) -> Decoder:
+    return Decoder(ranks)
+
+
+@functools.lru_cache(maxsize=1)
 def _codec(ranks: bytes, pattern: str) -> Codec:
     return Codec(ranks, pattern)
 
@@ -309,6 +324,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 ends = np.concatenate([[0], np.cumsum(count)]) * 4
                 packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), packed], ["doc_id", "n_tokens", "ids"])
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
     import pyarrow.compute  # noqa: F401
 
@@ -319,17 +335,18 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``encoded`` (``doc_id, n_tokens, ids``) with ``decoded``, the bytes that the ids stand for."""
-    shared = encoded.sparkSession.sparkContext.broadcast((_ranks(path), pattern))
+    shared = encoded.sparkSession.sparkContext.broadcast(_ranks(path))
 
     def run(batches):
-        codec = _codec(*shared.value)
+        decoder = _decoder(shared.value)
         for batch in batches:
             for lo, hi in _slices([4 * n for n in batch.column(1).to_pylist()]):
                 part = batch.slice(lo, hi - lo)
                 ids = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u4").astype(np.int64)
-                body, ends = codec.decode(ids, np.asarray(part.column(1)))
+                body, ends = decoder.decode(ids, np.asarray(part.column(1)))
                 out = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body)])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), out], ["doc_id", "n_tokens", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
