@@ -136,13 +136,27 @@ def bonferroni(tests: DataFrame, p: str = "p", delta: str = "mean_delta", alpha:
 
 
 def sign_test(plus: Column, minus: Column) -> Column:
-    """Exact two-sided sign test from counts of positive and negative differences."""
+    """Exact two-sided sign test from counts of positive and negative differences.
+
+    The binomial terms are scaled by 2 ** -512 whenever they grow beyond it, and
+    ``e`` counts the binary places taken off, so no count overflows.
+    """
     n = plus + minus
     low = F.least(plus, minus)
-    term = lambda acc, k: F.struct((acc["c"] * (n - k + 1) / k).alias("c"), (acc["s"] + acc["c"] * (n - k + 1) / k).alias("s"))
-    start = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("s"))
-    tail = F.aggregate(F.when(low >= 1, F.sequence(F.lit(1).cast("bigint"), low)).otherwise(F.array().cast("array<bigint>")), start, term)["s"]
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n)))
+
+    def term(acc, k):
+        scale = F.when(acc["s"] > 2.0**512, 2.0**-512).otherwise(1.0)
+        c = acc["c"] * scale * (n - k + 1) / k
+        return F.struct(c.alias("c"), (acc["s"] * scale + c).alias("s"), (acc["e"] + F.when(acc["s"] > 2.0**512, 512).otherwise(0)).alias("e"))
+
+    def share(tail):
+        places = tail["e"] - n
+        half = F.floor(places / 2)  # in two parts: 2 ** places alone may underflow where the product does not
+        return 2 * tail["s"] * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), places - half)
+
+    start = F.struct(F.lit(1.0).alias("c"), F.lit(1.0).alias("s"), F.lit(0).alias("e"))
+    p = F.aggregate(F.when(low >= 1, F.sequence(F.lit(1).cast("bigint"), low)).otherwise(F.array().cast("array<bigint>")), start, term, share)
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), p))
 
 
 def condition_deltas(values: DataFrame, keys: list[str], base: str = "forward") -> DataFrame:

@@ -290,6 +290,24 @@ def sign_test(spark, d):
     return n.select("a", "b", F.round(stats.sign_test(F.col("a").cast("long"), F.col("b")), 6).alias("p"))
 
 
+@query(f"""WITH v AS ({VALUES_SQL} ), x AS (SELECT method, qid, run_id, max(CASE WHEN condition = 'F' THEN value END) AS b, max(CASE WHEN condition = 'O' THEN value END) AS a FROM v GROUP BY ALL),
+g AS (SELECT method, run_id AS metric, count_if(a > b)::BIGINT AS plus, count_if(a < b)::BIGINT AS minus FROM x WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL), f AS (SELECT *, least(plus, minus) AS k, plus + minus AS n FROM g)
+SELECT method, metric, plus, minus, round(least(1, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 6) AS p_sign FROM f""")
+def condition_signs(spark, d):
+    """The sign tests of ``condition_deltas``, whose SQL has no column for them."""
+    v = base.run_values(spark, d).withColumnRenamed("run_id", "metric")
+    return stats.condition_deltas(v, ["method"], "F").select("method", "metric", "plus", "minus", _r("p_sign"))
+
+
+@query("""WITH n AS (SELECT DISTINCT p_size::BIGINT * 40 AS a, p_partkey::BIGINT // 10 AS b FROM part),
+f AS (SELECT a, b, least(a, b) AS k, a + b AS n FROM n)
+SELECT a, b, round(least(1, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))), 6) AS p FROM f""")
+def sign_test_parts(spark, d):
+    """As ``sign_test`` over all parts, with counts in the thousands."""
+    n = base.read(spark, d, "part").select((F.col("p_size").cast("long") * 40).alias("a"), F.expr("cast(p_partkey as bigint) div 10").alias("b")).distinct()
+    return n.select("a", "b", F.round(stats.sign_test(F.col("a"), F.col("b")), 6).alias("p"))
+
+
 @query()
 def paired_resampling(spark, d):
     """Bootstrap, sign flips and randomisation of each comparison."""
