@@ -77,18 +77,42 @@ def pair_lenient(system: DataFrame, reference: DataFrame) -> DataFrame:
     return system.select("metric", "qid", F.col("value").alias("a")).join(reference.select("metric", "qid", F.col("value").alias("b")), ["metric", "qid"])
 
 
+def _twister(seed: int) -> np.random.RandomState:
+    """numpy's generator with the state of ``random.Random(seed)``: both give the same numbers from here."""
+    state = random.Random(seed).getstate()[1]
+    same = np.random.RandomState()
+    same.set_state(("MT19937", np.array(state[:-1], dtype=np.uint32), state[-1]))
+    return same
+
+
+def _blocks(samples: int, n: int):
+    """Rows of blocks of about a million numbers each, ``samples`` rows in all."""
+    rows = max(1, 2**20 // n)
+    return (min(rows, samples - at) for at in range(0, samples, rows))
+
+
 def bootstrap(values: list[float], samples: int, seed: int) -> tuple[float, float, float]:
-    """Mean and percentile interval of resampled means."""
-    rng, n = random.Random(seed), len(values)
-    means = sorted(sum(values[rng.randrange(n)] for _ in range(n)) / n for _ in range(samples))
-    return sum(values) / n, means[int(0.025 * samples)], means[min(samples - 1, int(0.975 * samples))]
+    """Mean and percentile interval of resampled means, drawn as ``random.Random(seed).randrange`` would."""
+    twister, v, n = _twister(seed), np.asarray(values, dtype=float), len(values)
+    drawn, means = np.empty(0, dtype=np.uint32), []
+    for rows in _blocks(samples, n):
+        while len(drawn) < rows * n:  # randrange takes the top bits of a word, and the next word where they are too large
+            word = twister.randint(0, 2**32, size=rows * n, dtype=np.uint32) >> np.uint32(32 - n.bit_length())
+            drawn = np.concatenate([drawn, word[word < n]])
+        means.append(v[drawn[: rows * n]].reshape(rows, n).mean(axis=1))
+        drawn = drawn[rows * n :]
+    means = np.sort(np.concatenate(means))
+    return sum(values) / n, float(means[int(0.025 * samples)]), float(means[min(samples - 1, int(0.975 * samples))])
 
 
 def sign_flip(values: list[float], samples: int, seed: int, shift: float = 0.0, two_sided: bool = True) -> float:
-    rng, v = random.Random(seed), [x + shift for x in values]
-    seen = sum(v) / len(v)
-    size = abs if two_sided else float
-    hits = sum(size(sum(x if rng.getrandbits(1) else -x for x in v) / len(v)) >= size(seen) for _ in range(samples))
+    """Share of random signs, a sign kept where ``random.Random(seed).random() < 0.5``, with a mean at least as large; ties count up to rounding."""
+    twister, v, n = _twister(seed), np.asarray(values, dtype=float) + shift, len(values)
+    size = np.abs if two_sided else np.asarray
+    seen, hits = size(v.mean()), 0
+    for rows in _blocks(samples, n):
+        signs = np.where(twister.random_sample((rows, n)) < 0.5, 1.0, -1.0)
+        hits += int((size(signs @ v / n) >= seen - 1e-12).sum())
     return (hits + 1) / (samples + 1)
 
 
@@ -97,25 +121,30 @@ def randomization(a: list[float], b: list[float], samples: int, seed: int) -> fl
     seen = abs(d.mean())
     if seen == 0:
         return 1.0
-    signs = np.random.default_rng(seed).choice([-1.0, 1.0], size=(samples, len(d)))
-    return (1 + int((np.abs((signs * d).mean(axis=1)) >= seen - 1e-12).sum())) / (samples + 1)
+    rng, hits = np.random.default_rng(seed), 0
+    for rows in _blocks(samples, len(d)):
+        signs = rng.choice([-1.0, 1.0], size=(rows, len(d)))
+        hits += int((np.abs(signs @ d / len(d)) >= seen - 1e-12).sum())
+    return (1 + hits) / (samples + 1)
 
 
-def paired_tests(pairs: DataFrame, samples: int = 1000, seed: int = 929, delta: float = 0.01) -> DataFrame:
+def paired_tests(pairs: DataFrame, samples: int = 10_000, seed: int = 929, delta: float = 0.01, random_samples: int = 100_000) -> DataFrame:
     """Superiority and non-inferiority of each comparison in ``ordinal, name, family, qid, a, b``.
 
     The seed of a comparison is the base seed plus its ordinal, whatever the
-    partitioning. A group holds one value a query.
+    partitioning. A group holds one value a query. The bootstrap and the sign
+    flips take ``samples``, the randomisation test ``random_samples``.
     """
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("qid")
         d, s = (g.a - g.b).tolist(), seed + int(g.ordinal.iloc[0])
         mean, lo, hi = bootstrap(d, samples, s)
-        row = (g.ordinal.iloc[0], g["name"].iloc[0], g.family.iloc[0], len(g), mean, lo, hi, sign_flip(d, samples, s), sign_flip(d, samples, s, delta, False), randomization(g.a, g.b, samples, s))
+        row = (g.ordinal.iloc[0], g["name"].iloc[0], g.family.iloc[0], len(g), mean, lo, hi, sign_flip(d, samples, s), sign_flip(d, samples, s, delta, False), randomization(g.a, g.b, random_samples, s))
         return pd.DataFrame([row], columns=["ordinal", "name", "family", "n", "mean_delta", "ci_low", "ci_high", "p_superior", "p_noninferior", "p_random"])
 
-    return pairs.groupBy("ordinal").applyInPandas(one, "ordinal int, name string, family string, n long, mean_delta double, ci_low double, ci_high double, p_superior double, p_noninferior double, p_random double")
+    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ordinal")  # few rows, long work: not to be merged
+    return dealt.groupBy("ordinal").applyInPandas(one, "ordinal int, name string, family string, n long, mean_delta double, ci_low double, ci_high double, p_superior double, p_noninferior double, p_random double")
 
 
 def holm(tests: DataFrame, p: str = "p", family: str = "family", order: str = "ordinal", name: str = "p_holm") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import labels, text, udfs
 from ..operators import audit, metrics, rerank, stats
@@ -310,11 +311,15 @@ def sign_test_parts(spark, d):
 
 @query()
 def paired_resampling(spark, d):
-    """Bootstrap, sign flips and randomisation of each comparison."""
-    v = base.run_values(spark, d).where("condition = 'O'")
-    wide = v.groupBy("method", "qid").agg(F.max(F.when(F.col("run_id") == "run1", F.col("value"))).alias("a"), F.max(F.when(F.col("run_id") == "run2", F.col("value"))).alias("b")).where("a is not null and b is not null")
-    pairs = wide.select(F.when(F.col("method") == "A", 0).when(F.col("method") == "N", 1).otherwise(2).alias("ordinal"), F.col("method").alias("name"), F.lit("f").alias("family"), "qid", "a", "b")
-    return stats.paired_tests(pairs, samples=200)
+    """Bootstrap, sign flips and randomisation of each pair of runs in each cell of method and condition."""
+    v = base.run_values(spark, d).select("method", "condition", "run_id", "qid", "value")
+    one, two = v.withColumnsRenamed({"run_id": "r1", "value": "a"}), v.withColumnsRenamed({"run_id": "r2", "value": "b"})
+    wide = one.join(two, ["method", "condition", "qid"]).where("r1 < r2 and a is not null and b is not null")
+    wide = wide.select(F.concat_ws("/", "method", "condition", F.concat_ws("-", "r1", "r2")).alias("name"), "qid", "a", "b")
+    names = wide.select("name").distinct()
+    ordinals = names.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("ordinal"))  # one row for each comparison
+    pairs = wide.join(F.broadcast(ordinals), "name").select("ordinal", "name", F.lit("f").alias("family"), "qid", "a", "b")
+    return stats.paired_tests(pairs)
 
 
 # ---- stability ------------------------------------------------------------------
