@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HITS = 20
+#: The reference's default depth of pools.
+HITS = 100
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,17 +43,21 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("item_id").cast("string").alias("qid"), F.col("doc_id").cast("string").alias("docid"), rel.alias("rel")).where("rel > 0")
 
 
-#: The same tables for the oracle.
-POOL_SQL = rf"""
+def pool_sql(hits: int = HITS) -> str:
+    """The same tables for the oracle."""
+    return rf"""
 WITH qt AS (SELECT item_id, unnest(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '\s+'))) AS tok FROM benchmark),
 dt AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '\s+'))) AS tok FROM documents),
 ov AS (SELECT item_id, doc_id, count(*) AS n FROM qt JOIN dt USING (tok) WHERE tok <> '' GROUP BY ALL),
 pool AS (SELECT item_id::VARCHAR AS qid, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id::VARCHAR) AS pos, doc_id::VARCHAR AS docid, n::DOUBLE AS score, ((doc_id * 7919 + item_id * 104729) % 1000003)::DOUBLE AS hidden
- FROM ov QUALIFY pos <= {HITS}),
+ FROM ov QUALIFY pos <= {hits}),
 qrels AS (SELECT item_id::VARCHAR AS qid, doc_id::VARCHAR AS docid, CASE WHEN 10 * n >= 6 * size THEN 2 WHEN 10 * n >= 3 * size THEN 1 ELSE 0 END AS rel
  FROM ov JOIN (SELECT item_id, count(*) AS size FROM qt WHERE tok <> '' GROUP BY item_id) USING (item_id))"""
 
 
+POOL_SQL = pool_sql()
+
+
 def comparison_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A comparison log out of the event stream: windows of 3 to 7, some answers beyond them."""
     e = read(spark, sf_dir, "events")

@@ -96,14 +96,14 @@ for _name, _method, _k, _o in [
     ("rerank_topdown_heapsort", "topdown_heapsort", 10, {"c": 3}),
     ("rerank_bottomup_heapsort", "bottomup_heapsort", 10, {"c": 3}),
     ("rerank_bottomup_bubblesort", "bottomup_bubblesort", 10, {"c": 3}),
-    ("rerank_dual_selection_window", "dual_selection", 20, {"c": 19}),
+    ("rerank_dual_selection_window", "dual_selection", base.HITS, {"c": base.HITS - 1}),
     ("rerank_dual_heapsort", "dual_heapsort", 10, {"c": 2}),
     ("rerank_selective_heapsort", "selective_heapsort", 10, {"c": 3, "gate": "uncertain"}),
     ("rerank_pairwise_heapsort", "pairwise_heapsort", 10, {}),
     ("rerank_pairwise_bubblesort", "pairwise_bubblesort", 10, {}),
     ("rerank_allpair_procedure", "allpair", 10, {}),
-    ("rerank_whole_dualend", "whole_dualend", 20, {}),
-    ("rerank_full_list", "full_list", 20, {}),
+    ("rerank_whole_dualend", "whole_dualend", base.HITS, {}),
+    ("rerank_full_list", "full_list", base.HITS, {}),
 ]:
     _exact(_name, _method, _k, **_o)
 
@@ -123,9 +123,9 @@ for _name, _method, _k, _o in [
     ("rerank_selective_bubblesort", "selective_bubblesort", 10, {"c": 3, "gate": "hybrid"}),
     ("rerank_bias_aware", "bias_aware_bubblesort", 10, {"c": 3, "orders": 3}),
     ("rerank_same_call", "same_call_bubblesort", 10, {"c": 3}),
-    ("rerank_listwise_windows", "listwise", 20, {"window": 4, "step": 2}),
+    ("rerank_listwise_windows", "listwise", base.HITS, {"window": 4, "step": 2}),
     ("rerank_tournaments", "tournaments", 10, {"times": 2}),
-    ("rerank_whole_shuffled", "whole_topdown", 20, {"how": "shuffle"}),
+    ("rerank_whole_shuffled", "whole_topdown", base.HITS, {"how": "shuffle"}),
 ]:
     _traced(_name, _method, _k, **_o)
 
@@ -240,14 +240,23 @@ def ndcg(spark, d):
     return metrics.with_all(metrics.ndcg(run, base.judgements(spark, d), (5, 10, 20))).select("metric", "qid", _r("value"))
 
 
-@query(POOL_SQL + """, rel AS (SELECT qid, docid FROM qrels WHERE rel >= 1), h AS (SELECT p.qid, p.pos, r.docid IS NOT NULL AS hit FROM pool p LEFT JOIN rel r USING (qid, docid)),
+@query(base.pool_sql(20) + """, rel AS (SELECT qid, docid FROM qrels WHERE rel >= 1), h AS (SELECT p.qid, p.pos, r.docid IS NOT NULL AS hit FROM pool p LEFT JOIN rel r USING (qid, docid)),
 f AS (SELECT *, sum(hit::INT) OVER (PARTITION BY qid ORDER BY pos) AS found FROM h)
 SELECT 'map_cut_20' AS metric, qid, round(coalesce(sum(CASE WHEN hit THEN found / pos ELSE 0 END) / max(n), 0), 6) AS value FROM f LEFT JOIN (SELECT qid, count(*) AS n FROM rel GROUP BY qid) USING (qid) GROUP BY qid""")
 def average_precision(spark, d):
-    run = base.first_stage(spark, d).withColumn("rank", F.col("pos"))
+    """Cut at 20, as its SQL says; ``average_precision_hits`` has the whole depth."""
+    run = base.first_stage(spark, d, 20).withColumn("rank", F.col("pos"))
     return metrics.average_precision(run, base.judgements(spark, d), 20, 1).select("metric", "qid", _r("value"))
 
 
+@query(POOL_SQL + f""", rel AS (SELECT qid, docid FROM qrels WHERE rel >= 1), h AS (SELECT p.qid, p.pos, r.docid IS NOT NULL AS hit FROM pool p LEFT JOIN rel r USING (qid, docid)),
+f AS (SELECT *, sum(hit::INT) OVER (PARTITION BY qid ORDER BY pos) AS found FROM h)
+SELECT 'map_cut_{base.HITS}' AS metric, qid, round(coalesce(sum(CASE WHEN hit THEN found / pos ELSE 0 END) / max(n), 0), 6) AS value FROM f LEFT JOIN (SELECT qid, count(*) AS n FROM rel GROUP BY qid) USING (qid) GROUP BY qid""")
+def average_precision_hits(spark, d):
+    run = base.first_stage(spark, d).withColumn("rank", F.col("pos"))
+    return metrics.average_precision(run, base.judgements(spark, d), base.HITS, 1).select("metric", "qid", _r("value"))
+
+
 # ---- paired tests ---------------------------------------------------------------
 
 _CELLS = "SELECT method, condition, qid, avg(CASE WHEN run_id IN ('run1', 'run2', 'run3') THEN value END) AS a, avg(CASE WHEN run_id IN ('run4', 'run5', 'run6', 'run7') THEN value END) AS b FROM v GROUP BY ALL"
@@ -393,16 +402,17 @@ def position_bias_adjusted(spark, d):
 # ---- audits -----------------------------------------------------------------------
 
 
-@query(POOL_SQL + """, run AS (SELECT qid, docid FROM pool WHERE qid::INT % 5 <> 0 AND NOT (qid::INT % 7 = 1 AND pos = 2) UNION ALL SELECT qid, docid FROM pool WHERE qid::INT % 3 = 1 AND pos = 1 AND qid::INT % 5 <> 0 UNION ALL SELECT 'extra', 'd'),
+@query(base.pool_sql(20) + """, run AS (SELECT qid, docid FROM pool WHERE qid::INT % 5 <> 0 AND NOT (qid::INT % 7 = 1 AND pos = 2) UNION ALL SELECT qid, docid FROM pool WHERE qid::INT % 3 = 1 AND pos = 1 AND qid::INT % 5 <> 0 UNION ALL SELECT 'extra', 'd'),
 o AS (SELECT qid, count(*) AS n, count(DISTINCT docid) AS u FROM run GROUP BY qid), w AS (SELECT qid, count(DISTINCT docid) AS w FROM pool GROUP BY qid)
 SELECT 'duplicate_docids:' || qid AS error FROM o WHERE n > u UNION ALL SELECT 'depth_mismatch:' || qid FROM o JOIN w USING (qid) WHERE n <> least(w, 20)
 UNION ALL SELECT DISTINCT 'pool_membership_mismatch:' || qid FROM pool ANTI JOIN run USING (qid, docid) SEMI JOIN o USING (qid)
 UNION ALL SELECT 'missing_qids:' || count(*) FROM w ANTI JOIN o USING (qid) HAVING count(*) > 0 UNION ALL SELECT 'unexpected_qids:' || count(*) FROM o ANTI JOIN w USING (qid) HAVING count(*) > 0""")
 def audit_run(spark, d):
-    pool, n = base.first_stage(spark, d), F.col("qid").cast("int")
+    """At depth 20, which its SQL has."""
+    pool, n = base.first_stage(spark, d, 20), F.col("qid").cast("int")
     run = pool.where((n % 5 != 0) & ~((n % 7 == 1) & (F.col("pos") == 2))).select("qid", "docid").unionAll(pool.where((n % 3 == 1) & (F.col("pos") == 1) & (n % 5 != 0)).select("qid", "docid"))
     run = run.unionAll(spark.createDataFrame([("extra", "d")], "qid string, docid string"))
-    return audit.audit_run(run, pool.select("qid", "docid"), base.HITS)
+    return audit.audit_run(run, pool.select("qid", "docid"), 20)
 
 
 _TEL = "SELECT o_orderkey::VARCHAR AS qid, o_orderkey % 50 AS p, o_orderkey % 9 AS c, CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS off, CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS step FROM orders"
