@@ -1,4 +1,4 @@
-"""Suffix-array dedup by bucket-pointer refinement.
+"""Suffix dedup by winnowing with hash look-ups, in place of bucket-pointer refinement.
 
 A suffix's first bucket identifier is its 8-gram. Identifiers of longer
 prefixes come from identifiers at later offsets, each level reusing the one
