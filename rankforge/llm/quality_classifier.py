@@ -2,7 +2,8 @@
 
 Each token has a sparse random index vector. A token's word vector is the sum
 of the index vectors of its neighbours over the whole corpus, damped and scaled
-to length one. Tokens are words (hashed) and their shapes: what they are made
+to length one. Tokens are words (hashed into ``WORDS`` = 8,192 buckets at every
+input size, so words of a bucket share a vector) and their shapes: what they are made
 of, their case and length, whether they repeat the one before. A text is the
 mean of its tokens' vectors. A two-layer network in numpy turns it into a
 probability, and a temperature fitted on rows set apart calibrates it.
