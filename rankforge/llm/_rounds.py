@@ -14,6 +14,7 @@ stages that they held.
 
 from __future__ import annotations
 
+import ctypes
 import math
 
 import numpy as np
@@ -28,6 +29,14 @@ _SCHEMA = pa.schema([("g", pa.int64()), ("b", pa.int64()), ("kind", pa.int32()),
 _ASK, _STATE, _REPLY = 0, 1, 2
 
 
+def give_back() -> None:
+    """Return free memory to the system, so that a reused Python worker keeps none of its largest group."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Ask:
     """Sorted distinct names, and columns of unsigned numbers beside them."""
 
@@ -44,13 +53,14 @@ def _say(g: int, ask: Ask, state: bytes, buckets: int) -> pa.Table:
     edge = np.searchsorted(hi, np.arange(buckets + 1, dtype=np.uint64))
     table = b"" if ask.table is None else np.asarray(ask.table, "<i8").tobytes()
     rows = [(g, g % buckets, _STATE, 0, state, b"")]
-    for b in range(buckets):
+    for b in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
         i, j = int(edge[b]), int(edge[b + 1])
-        if j > i:
-            cols = [pack(c[i:j]) for c in ask.columns]
-            more = b"".join(len(c).to_bytes(8, "little") + c for c in [*cols, table])
-            rows.append((g, b, _ASK, j - i, pack_sorted(ask.names[i:j]), more))
-    return _rows(rows)
+        cols = [pack(c[i:j]) for c in ask.columns]
+        more = b"".join(len(c).to_bytes(8, "little") + c for c in [*cols, table])
+        rows.append((g, b, _ASK, j - i, pack_sorted(ask.names[i:j]), more))
+    out = _rows(rows)
+    give_back()
+    return out
 
 
 def _columns(more: bytes) -> tuple[list[np.ndarray], np.ndarray]:
@@ -78,8 +88,9 @@ def _answer(judge):
             reply = judge(names, np.repeat(np.arange(len(asks)), sizes), [np.concatenate(c) for c in zip(*cols, strict=True)], tables)
             for k, part in zip(asks, np.split(reply, np.cumsum(sizes)[:-1]), strict=True):
                 rows.append((g[k], b[k], _REPLY, n[k], pack(part), b""))
-        pa.default_memory_pool().release_unused()  # what the bucket before this one took
-        return _rows(rows)
+        out = _rows(rows)
+        give_back()
+        return out
 
     return answer
 
@@ -158,7 +169,8 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, asks: list, judges: list
     groups = max(96, math.ceil(total / group_bytes))
     buckets = max(48, math.ceil(total / bucket_bytes))
     own = F.col(f"`{id_col}`").cast("long")
-    base = docs.select(F.pmod(F.xxhash64(own), F.lit(groups)).alias("g"), own.alias("doc_id"), text.alias("text"))
+    # dealt by id and text, so that rows without an id, or with the same one, do not meet in one group
+    base = docs.select(F.pmod(F.xxhash64(own, text), F.lit(groups)).alias("g"), own.alias("doc_id"), text.alias("text"))
 
     def first(table: pa.Table) -> pa.Table:
         ask, state = asks[0](Texts(table), b"", None)
@@ -169,7 +181,13 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, asks: list, judges: list
         heard = said.groupBy("b").applyInArrow(_answer(judge), MESSAGE)
         if k + 1 < len(asks):
             said = base.groupBy("g").cogroup(heard.groupBy("g")).applyInArrow(_next(asks[k + 1], buckets), MESSAGE)
-    return base.groupBy("g").cogroup(heard.groupBy("g")).applyInArrow(lambda table, replies: finish(Texts(table), *_heard(replies)), schema)
+
+    def last(table: pa.Table, replies: pa.Table) -> pa.Table:
+        out = finish(Texts(table), *_heard(replies))
+        give_back()
+        return out
+
+    return base.groupBy("g").cogroup(heard.groupBy("g")).applyInArrow(last, schema)
 
 
 def distinct(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

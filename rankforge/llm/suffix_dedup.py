@@ -1,9 +1,8 @@
 """Suffix dedup by winnowing with hash look-ups, in place of bucket-pointer refinement.
 
-A suffix's first bucket identifier is its 8-gram. Identifiers of longer
-prefixes come from identifiers at later offsets, each level reusing the one
-before: 16 = 8 + 8, 24 = 16 + 8, 32 = 16 + 16, 50 = 32 + 32 overlapping.
-Buckets are refined only while they can still matter:
+A suffix's first bucket identifier is its 8-gram; identifiers of longer
+prefixes are folded from the 8-grams at later offsets. Buckets are refined only
+while they can still matter:
 
 1. A suffix is sampled where its 24-gram identifier is the least of some
    window of ``length`` bytes; each window has one such suffix. The sampled
@@ -14,8 +13,8 @@ Buckets are refined only while they can still matter:
    a later document differs from the earlier ones.
 3. In open buckets each window is sorted on its own identifier.
 
-Identifiers longer than 8 bytes are 64-bit hashes: over n windows, n*n / 2**65
-false matches are expected.
+Identifiers longer than 8 bytes are 64-bit hashes, and bytes are removed only
+if two of them agree: bucket and extent, or both names of a window.
 """
 
 from __future__ import annotations
@@ -29,51 +28,61 @@ from ._rounds import Ask, distinct, earlier, holders, owner_ids, rounds, spread
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 _GRAM = 24
-_PLACE = np.uint64((1 << 24) - 1)
-_STEP = np.uint64(0xD1342543DE82EF95)
+#: Window starts that are worked on at once: what is live is bounded by this, not by the group or the text.
+_PIECE = 1 << 17
+_PLACE = np.uint64((1 << 20) - 1)
+_SECOND = 0x5851F42D
+
+
+def _eight(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each offset, as one number."""
+    return np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), 0, (1,))
+
+
+def _fold(raw: np.ndarray, lo: np.ndarray, size, most: int, seed: int) -> np.ndarray:
+    """Identifier of the ``size`` bytes (at most ``most``) from each ``lo``, folded from their 8-grams."""
+    eight, out = _eight(raw), np.full(len(lo), seed, np.uint64) + np.asarray(size).astype(np.uint64)
+    for k in range(0, most, 8):
+        out = pair(out, eight[lo + np.minimum(k, size - 8)], k)
+    return out
 
 
 class Buckets:
-    """Bucket identifiers of one group's bytes and the sampled suffix of each window."""
-
-    def __init__(self, texts: Texts, length: int):
-        self.length, raw = length, texts.raw
-        n = len(raw)
-        doc = np.repeat(np.arange(texts.n), np.diff(texts.offs))
-        starts = np.arange(n - length + 1) if n >= length else np.zeros(0, np.int64)
-        self.starts = starts[starts + length <= texts.offs[doc[: len(starts)] + 1]] if len(starts) else starts
-        self.doc = doc[self.starts]
-        self.first = np.zeros(0, np.int64)
-        if not len(self.starts):
-            return
-        data = np.ascontiguousarray(raw)
-        eight = np.ndarray((n - 7,), "<u8", data, 0, (1,)).copy()
-        self.b16 = pair(eight[:-8], eight[8:], 16)
-        self.b24 = pair(self.b16[:-8], eight[16:], 24)
-        least = self._least(length - _GRAM + 1)[self.starts]
+    """The sampled suffixes of one group, with their bucket identifiers and the windows that each stands for.
+
+    ``start`` is the first window of a suffix, ``width`` the number of its
+    windows (they are adjacent), ``name`` the bucket, ``extent`` the identifier of
+    all bytes that the windows reach and of the suffix's place in them.
+    """
+
+    def __init__(self, texts: Texts, length: int, extents: bool = True):
+        self.raw, self.length = texts.raw, length
+        parts = [self._piece(texts, lo, extents) for lo in range(0, max(0, len(texts.raw) - length + 1), _PIECE)]
+        self.start, self.width, self.name, self.extent, self.doc = (np.concatenate(c) if parts else np.zeros(0, t) for c, t in zip(zip(*parts, strict=True) if parts else [()] * 5, (np.int64, np.int64, np.uint64, np.uint64, np.int64), strict=True))
+
+    def _piece(self, texts: Texts, lo: int, extents: bool):
+        """The suffixes of the windows that start in one piece; a piece's edge only parts a suffix in two."""
+        raw = self.raw[lo : lo + _PIECE + self.length - 1]
+        starts = np.arange(len(raw) - self.length + 1)
+        doc = np.searchsorted(texts.offs, starts + lo, side="right") - 1
+        inside = starts + lo + self.length <= texts.offs[doc + 1]
+        starts, doc = starts[inside], doc[inside]
+        eight = _eight(raw)
+        gram = pair(pair(eight[:-8], eight[8:], 16)[:-8], eight[16:], _GRAM)
+        least = self._least(gram, self.length - _GRAM + 1)[starts]
         new = np.ones(len(least), bool)
-        new[1:] = (least[1:] != least[:-1]) | (self.doc[1:] != self.doc[:-1])
-        #: Index of the first window of each sampled suffix, and their number.
-        self.first = np.flatnonzero(new)
-        self.width = np.diff(np.append(self.first, len(least)))
-        self.anchor = least[self.first]
-        #: Sums of the identifiers at all offsets, for the second round.
-        self.eight = eight
-
-    def _least(self, w: int) -> np.ndarray:
-        """Place of the leftmost least 24-gram identifier among the ``w`` from each offset."""
-        b = self.b24
-        if len(b) > int(_PLACE):  # places are taken within overlapping pieces
-            half = int(_PLACE) - w
-            out = []
-            for k in range(0, len(b) - w + 1, half):
-                out.append(self._slide(b[k : k + half + w - 1], w) + k)
-            return np.concatenate(out)
-        return self._slide(b, w)
+        new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+        first = np.flatnonzero(new)
+        width, anchor, start = np.diff(np.append(first, len(least))), least[first], starts[first]
+        extent = np.zeros(len(first), np.uint64)
+        if extents and len(first):
+            extent = pair(_fold(raw, start, width - 1 + self.length, 2 * self.length - _GRAM, 0), (anchor - start).astype(np.uint64))
+        return start + lo, width, mix(gram[anchor]), extent, doc[first]
 
     @staticmethod
-    def _slide(b: np.ndarray, w: int) -> np.ndarray:
-        key = (mix(b) & ~_PLACE) | np.arange(len(b), dtype=np.uint64)
+    def _least(gram: np.ndarray, w: int) -> np.ndarray:
+        """Place of the leftmost least 24-gram among the ``w`` from each offset."""
+        key = (mix(gram) & ~_PLACE) | np.arange(len(gram), dtype=np.uint64)
         size = 1
         while size * 2 <= w:
             key = np.minimum(key[:-size], key[size:])
@@ -82,41 +91,18 @@ class Buckets:
             key = np.minimum(key[: len(key) - (w - size)], key[w - size :])
         return (key & _PLACE).astype(np.int64)
 
-    def anchors(self) -> np.ndarray:
-        return mix(self.b24[self.anchor])
-
-    def extents(self, which: np.ndarray) -> np.ndarray:
-        """Identifier of all bytes that the windows of these suffixes reach, and of where the suffix stands in them."""
-        n = len(self.eight)
-        power = np.cumprod(np.full(n, _STEP, np.uint64))
-        back = np.cumprod(np.full(n, pow(int(_STEP), -1, 1 << 64), np.uint64))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.eight) * power, dtype=np.uint64)])
-        lo = self.starts[self.first[which]]
-        hi = lo + self.width[which] - 1 + self.length - 7
-        size = (hi - lo).astype(np.uint64)
-        return mix((sums[hi] - sums[lo]) * back[lo] + size * np.uint64(0x9E3779B97F4A7C15) + ((self.anchor[which] - lo).astype(np.uint64) << np.uint64(40)))
-
-    def windows(self, which: np.ndarray) -> np.ndarray:
-        """Indices of the windows of these suffixes."""
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows of these suffixes, and their documents."""
         z = self.width[which]
-        return np.repeat(self.first[which] - (np.cumsum(z) - z), z) + np.arange(z.sum())
+        return np.repeat(self.start[which] - (np.cumsum(z) - z), z) + np.arange(z.sum()), np.repeat(self.doc[which], z)
 
-    def window_names(self, idx: np.ndarray) -> np.ndarray:
-        s, size, level = self.starts[idx], 16, self.b16
-        while size * 2 <= self.length:
-            level = pair(level[:-size], level[size:], size * 2)
-            size *= 2
-        return pair(level[s], level[s + self.length - size], self.length)
+    def window_names(self, starts: np.ndarray, seed: int) -> np.ndarray:
+        out = [_fold(self.raw, starts[k : k + _PIECE], self.length, self.length, seed) for k in range(0, len(starts), _PIECE)]
+        return np.concatenate([np.zeros(0, np.uint64), *out])
 
 
-def _owned(names: np.ndarray, owners: np.ndarray, ids: np.ndarray):
-    """Distinct names, the place of each, and the position of the least owner's id of each."""
-    rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-    uniq, place, _ = distinct(names)
-    least = np.full(len(uniq), np.iinfo(np.int64).max)
-    np.minimum.at(least, place, rank[owners])
-    table = np.sort(ids)
-    return uniq, place, least, table
+def _rank(ids: np.ndarray) -> np.ndarray:
+    return np.argsort(np.argsort(ids, kind="stable"), kind="stable")
 
 
 def settle(names: np.ndarray, message: np.ndarray, columns, tables) -> np.ndarray:
@@ -142,17 +128,13 @@ class Refinement:
         self.length = length
 
     def ask_suffixes(self, texts: Texts, state: bytes, replies):
-        b = Buckets(texts, self.length)
-        names = distinct(b.anchors())[0] if len(b.first) else np.zeros(0, np.uint64)
-        return Ask(names), b""
+        return Ask(np.unique(Buckets(texts, self.length, extents=False).name)), b""
 
     def _entries(self, b: Buckets, which: np.ndarray, ids: np.ndarray):
         """Distinct (suffix, extent) entries in the order of suffixes, with the least owner of each."""
-        anchor, extent = b.anchors()[which], b.extents(which)
-        owner = b.doc[b.first[which]]
-        rank = np.argsort(np.argsort(ids, kind="stable"), kind="stable")[owner]
-        order = np.lexsort((rank, extent, anchor))
-        a, e = anchor[order], extent[order]
+        name, extent, rank = b.name[which], b.extent[which], _rank(ids)[b.doc[which]]
+        order = np.lexsort((rank, extent, name))
+        a, e = name[order], extent[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (e[1:] != e[:-1])]) if len(a) else np.zeros(0, bool)
         place = np.empty(len(a), np.int64)
         place[order] = np.cumsum(new) - 1
@@ -160,41 +142,50 @@ class Refinement:
 
     def ask_extents(self, texts: Texts, state: bytes, replies: np.ndarray):
         b, ids = Buckets(texts, self.length), texts.ids()
-        if not len(b.first):
-            return Ask(np.zeros(0, np.uint64), (np.zeros(0, np.uint64),) * 2, np.zeros(0, np.int64)), b""
-        _, place, count = distinct(b.anchors())
-        live = ((replies > 0) | (count > 1))[place]
+        _, place, count = distinct(b.name)
+        live = ((replies > 0) | (count > 1))[place] if len(place) else np.zeros(0, bool)
         names, extent, least, _, _ = self._entries(b, np.flatnonzero(live), ids)
         return Ask(names, (least.astype(np.uint64), extent), np.sort(ids)), np.packbits(live).tobytes()
 
+    def _windows(self, b: Buckets, which: np.ndarray, ids: np.ndarray):
+        """Two 64-bit names of each window, and the distinct names with the least owner of each.
+
+        A window repeats only if both of its names do, so that it takes two
+        chance matches at once to remove text wrongly.
+        """
+        starts, doc = b.windows(which)
+        names, place, _ = distinct(np.concatenate([b.window_names(starts, 0), b.window_names(starts, _SECOND)]))
+        least = np.full(len(names), np.iinfo(np.int64).max)
+        np.minimum.at(least, place, np.tile(_rank(ids)[doc], 2))
+        return starts, doc, names, place, least
+
     def ask_windows(self, texts: Texts, state: bytes, replies: np.ndarray):
         b, ids = Buckets(texts, self.length), texts.ids()
-        if not len(b.first):
-            return Ask(np.zeros(0, np.uint64), (np.zeros(0, np.uint64),), np.zeros(0, np.int64)), b""
-        live = np.flatnonzero(np.unpackbits(np.frombuffer(state, np.uint8), count=len(b.first)))
+        live = np.flatnonzero(np.unpackbits(np.frombuffer(state, np.uint8), count=len(b.start)))
         _, _, least, place, rank = self._entries(b, live, ids)
-        later = np.sort(ids)[rank] > np.sort(ids)[least[place]]
-        done = later | (replies[place] == 1)
-        is_open = ~done & (replies[place] == 2)
-        known, ask = np.zeros(len(b.first), bool), np.zeros(len(b.first), bool)
+        table = np.sort(ids)
+        done = (table[rank] > table[least[place]]) | (replies[place] == 1) if len(place) else np.zeros(0, bool)
+        is_open = ~done & (replies[place] == 2) if len(place) else done
+        known, ask = np.zeros(len(b.start), bool), np.zeros(len(b.start), bool)
         known[live[done]], ask[live[is_open]] = True, True
-        idx = b.windows(np.flatnonzero(ask))
-        names, _, least, table = _owned(b.window_names(idx), b.doc[idx], ids)
+        _, _, names, _, least = self._windows(b, np.flatnonzero(ask), ids)
         return Ask(names, (least.astype(np.uint64),), table), np.packbits(np.concatenate([known, ask])).tobytes()
 
     def finish(self, texts: Texts, state: bytes, replies: np.ndarray) -> pa.Table:
-        b, ids, n = Buckets(texts, self.length), texts.ids(), len(texts.raw)
-        gone = np.zeros(n + 1, np.int64)
-        if len(b.first):
-            bits = np.unpackbits(np.frombuffer(state, np.uint8), count=2 * len(b.first)).astype(bool)
-            known, ask = np.flatnonzero(bits[: len(b.first)]), np.flatnonzero(bits[len(b.first) :])
-            idx = b.windows(ask)
-            _, place, least, table = _owned(b.window_names(idx), b.doc[idx], ids)
-            repeats = (replies[place] == 1) | (ids[b.doc[idx]] > table[least[place]])
-            s = b.starts[np.concatenate([b.windows(known), idx[repeats]])]
-            np.add.at(gone, s, 1)
-            np.add.at(gone, s + self.length, -1)
-        cover = np.cumsum(gone)[:n] > 0
+        b, ids, n = Buckets(texts, self.length, extents=False), texts.ids(), len(texts.raw)
+        bits = np.unpackbits(np.frombuffer(state, np.uint8), count=2 * len(b.start)).astype(bool)
+        known, ask = np.flatnonzero(bits[: len(b.start)]), np.flatnonzero(bits[len(b.start) :])
+        starts, doc, _, place, least = self._windows(b, ask, ids)
+        if len(starts):
+            later = (replies[place] == 1) | (np.tile(ids[doc], 2) > np.sort(ids)[least[place]])
+            starts = starts[later[: len(doc)] & later[len(doc) :]]
+        # removed bytes as disjoint runs: known suffixes, and single windows
+        lo = np.concatenate([b.start[known], starts])
+        hi = np.concatenate([b.start[known] + b.width[known] - 1, starts]) + self.length
+        step = np.zeros(n + 1, np.int32)
+        np.add.at(step, lo, 1)
+        np.add.at(step, hi, -1)
+        cover = np.cumsum(step, dtype=np.int32)[:n] > 0
         lead = cover.copy()
         if n:
             lead[1:] &= ~cover[:-1]
@@ -215,9 +206,10 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     binary: cutting bytes may cut a character), one row for each input row. A
     null text is empty; a null id counts as larger than all others; rows that
     share an id are not smaller than each other; other columns are not read;
-    an empty table gives an empty result.
+    an empty table gives an empty result. A group's bytes are worked on in pieces
+    of 128 KB, long texts too; a text must fit in an executor's memory as such.
     """
     if length < 32:
         raise ValueError("length must be 32 bytes or more")
     talk = Refinement(length)
-    return rounds(docs, id_col, text_col, [talk.ask_suffixes, talk.ask_extents, talk.ask_windows], [holders, settle, earlier], talk.finish, RESULT, group_bytes=2 << 20)
+    return rounds(docs, id_col, text_col, [talk.ask_suffixes, talk.ask_extents, talk.ask_windows], [holders, settle, earlier], talk.finish, RESULT, group_bytes=2 << 20, bucket_bytes=16 << 20)
