@@ -12,7 +12,8 @@ shared symbol of a window's length or more shows that every window in it
 repeats. The second verifies what is left, window by window, on names of
 exactly ``window`` words.
 
-Names are 64 bits: over n windows, n*n / 2**65 false matches are expected.
+What decides a removal, a window or a symbol of a window's length or more, has
+two independent 64-bit names, and is shared only if both are.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from ._rounds import Ask, distinct, holders, rounds
 RESULT = "doc_id long, n_words long, n_removed long, kept string"
 #: Pair rounds before the symbols that reject windows, and before those that confirm them.
 LOW, HIGH = 5, (14, 18)
-_LOW_TAG, _HIGH_TAG = np.uint64(0x51A7E5), np.uint64(0x7A11)
+_LOW_TAG, _HIGH_TAG, _SECOND_TAG = np.uint64(0x51A7E5), np.uint64(0x7A11), np.uint64(0x2ECD)
+_STEP = 0xD1342543DE82EF95
 
 
 def _group(new: np.ndarray, sym, span, doc):
@@ -91,19 +93,29 @@ class Grammar:
                 self.high.append((sym[long], (np.cumsum(span) - span)[long], span[long]))
 
     def level_names(self) -> np.ndarray:
-        """Names of the low symbols, then of the high ones."""
+        """Names of the low symbols, then for each high level the names and the second names."""
         if self.low is None:
             return np.zeros(0, np.uint64)
-        return np.concatenate([mix(self.low ^ _LOW_TAG), *(mix(s ^ (_HIGH_TAG + np.uint64(k))) for k, (s, _, _) in enumerate(self.high))])
+        power = np.cumprod(np.full(len(self.name), _STEP, np.uint64))
+        back = np.cumprod(np.full(len(self.name), pow(_STEP, -1, 1 << 64), np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.name ^ _SECOND_TAG) * power, dtype=np.uint64)])
+        out = [mix(self.low ^ _LOW_TAG)]
+        for k, (sym, start, span) in enumerate(self.high):
+            second = (sums[start + span] - sums[start]) * back[start] + span.astype(np.uint64)
+            out += [mix(sym ^ (_HIGH_TAG + np.uint64(k))), mix(second ^ (_SECOND_TAG + np.uint64(k)))]
+        return np.concatenate(out)
 
 
 def _window_names(name: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """Name of the ``window`` words from each start, doubling lengths."""
-    level, size = name, 1
-    while size * 2 <= window:
-        level = pair(level[:-size], level[size:], size)
-        size *= 2
-    return pair(level[starts], level[starts + window - size], window)
+    """The names of the ``window`` words from each start, doubling lengths, then their second names."""
+    out = []
+    for seed in (0, 1 << 20):
+        level, size = name, 1
+        while size * 2 <= window:
+            level = pair(level[:-size], level[size:], size + seed)
+            size *= 2
+        out.append(pair(level[starts], level[starts + window - size], window + seed))
+    return np.concatenate(out)
 
 
 class Recompression:
@@ -128,8 +140,8 @@ class Recompression:
         skip = np.zeros(len(g.name) + 1, bool)
         at = len(g.low)
         for sym, start, span in g.high:  # the highest shared symbol decides who registers its windows
-            ok, own = here[at : at + len(sym)], replies[place[at : at + len(sym)]] < 2
-            at += len(sym)
+            ok, own = here[at : at + len(sym)] & here[at + len(sym) : at + 2 * len(sym)], replies[place[at : at + len(sym)]] < 2
+            at += 2 * len(sym)
             for mark, value in ((known, True), (skip, None)):
                 s, z, o = start[ok], span[ok] - self.window + 1, own[ok]
                 idx = np.repeat(s - (np.cumsum(z) - z), z) + np.arange(z.sum())
@@ -149,7 +161,8 @@ class Recompression:
             known, ask = bits[: len(starts)], bits[len(starts) :]
             _, place, count = distinct(_window_names(w.names(), starts[ask], self.window))
             repeats = known.copy()
-            repeats[ask] |= ((replies > 0) | (count > 1))[place]
+            both = ((replies > 0) | (count > 1))[place]
+            repeats[ask] |= both[: len(both) // 2] & both[len(both) // 2 :]
             np.add.at(gone, starts[repeats], 1)
             np.add.at(gone, starts[repeats] + self.window, -1)
         keep = np.cumsum(gone)[:n] == 0
