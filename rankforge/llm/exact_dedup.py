@@ -24,10 +24,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def decide(rows: DataFrame, counters: int = 1024) -> DataFrame:
-    """Add ``keep_id, group_size, kept`` to rows ``doc_id, text_sha256, …``.
+def heavy_groups(rows: DataFrame, counters: int = 1024) -> DataFrame:
+    """``text_sha256, keep_id, group_size, __last`` of the digests of rows ``doc_id, text_sha256, __tag`` that more than 1 / ``counters`` of the rows have.
 
-    ``rows`` is read three times, so let it be cheap to read.
+    ``rows`` is read twice, so let it be cheap to read.
     """
     rows = rows.withColumn("__key", F.xxhash64("text_sha256"))
     summary = rows.agg(F.expr(f"approx_top_k(__key, {counters}, {4 * counters})").alias("top"))
@@ -35,9 +35,13 @@ def decide(rows: DataFrame, counters: int = 1024) -> DataFrame:
     total = rows.agg(F.count("*").alias("total"))
     # the summary's items and the one-row total are bounded by ``counters`` and 1
     counted = rows.join(F.broadcast(candidates), "__key", "left_semi").groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max(F.struct("doc_id", "__tag")).alias("__last"))
-    heavy = counted.join(F.broadcast(total)).where(F.col("group_size") * counters > F.col("total")).drop("total")
-    heavy = cut(heavy)
-    return _light(rows, heavy).unionByName(_hot(rows, heavy)).drop("__key")
+    return cut(counted.join(F.broadcast(total)).where(F.col("group_size") * counters > F.col("total")).drop("total"))
+
+
+def decide(rows: DataFrame, counters: int = 1024) -> DataFrame:
+    """Add ``keep_id, group_size, kept`` to rows ``doc_id, text_sha256, __tag``."""
+    heavy = heavy_groups(rows, counters)
+    return _light(rows, heavy).unionByName(_hot(rows, heavy))
 
 
 def _hot(rows: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -46,10 +50,10 @@ def _hot(rows: DataFrame, heavy: DataFrame) -> DataFrame:
 
 
 def _light(rows: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Groups by partial aggregation, joined back: no task holds a group."""
     rest = rows.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
-    group = Window.partitionBy("text_sha256")
-    last = F.max(F.struct("doc_id", "__tag")).over(group)
-    return rest.select("*", F.max("doc_id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"), F.struct("doc_id", "__tag").eqNullSafe(last).alias("kept"))
+    groups = rest.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max(F.struct("doc_id", "__tag")).alias("__last"))
+    return rest.join(groups, "text_sha256").withColumn("kept", F.struct("doc_id", "__tag").eqNullSafe(F.col("__last"))).drop("__last")
 
 
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
@@ -68,11 +72,17 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns.
 
-    Of repeated rows that share id and text one stays: rows with a kept id and
-    digest are numbered only if the id is repeated.
+    Copies of frequent digests go where they lie, by the broadcast winners; the rest
+    is aggregated by digest, so texts are exchanged once. Nulls and ties are as in
+    ``find_copies``: of repeated rows that share id and text one stays; an empty
+    table gives an empty result.
     """
-    stay = find_copies(docs, id_col, text_col, counters).where("kept").select(F.col("keep_id").alias("__id"), F.col("text_sha256").alias("__sha"))
     text = ascii_lower(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    tagged = docs.withColumn("__own", F.sha2(text, 256))
-    found = tagged.join(stay, tagged[id_col].eqNullSafe(stay["__id"]) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return found.dropDuplicates([id_col, "__own"]).drop("__own")
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"))
+    heavy = heavy_groups(cut(own.withColumn("__tag", F.lit(0))), counters)
+    # the row as a struct, in which no name clashes
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    light = rows.join(F.broadcast(heavy.select("text_sha256", "keep_id", F.lit(True).alias("hot"))), "text_sha256", "left")
+    light = light.where(F.col("hot").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # a struct is never null, so a row without an id counts as well, as the smallest
+    return light.groupBy("text_sha256").agg(F.max_by("row", F.struct("doc_id")).alias("row")).select("row.*")

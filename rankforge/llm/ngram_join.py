@@ -9,9 +9,12 @@ shingles that other texts hold as well.
   their subsets of the exact size that a link between the two sizes needs. Sets
   with a common subset are linked, so each subset gives a star, not pairs.
 * Heavy pairs: inverted lists of each set's rarest shingles are scanned. Lists
-  with the same members are scanned once, long lists in pairs of blocks. A scan
-  counts overlaps with one member at a time against those that aren't reached
-  yet, and gives a spanning forest of the links.
+  with the same members are scanned once. All members of a long list are first
+  compared with its head, the member that shares most of its shingles; those
+  that link form a star and needn't meet each other, so a large group of near
+  copies costs its size, not its square. The others meet all in pairs of blocks. A
+  scan counts overlaps with one member at a time against those that aren't
+  reached yet, and gives a spanning forest of the links.
 
 ``boundary`` minimises the rows enumerated plus the list entries scanned, from
 the counts of the data at hand.
@@ -19,6 +22,7 @@ the counts of the data at hand.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 from math import comb
 
@@ -28,13 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._names import Texts, Words, mix, pair
-from ._rounds import Ask, distinct, rounds, totals
+from ._rounds import Ask, distinct, give_back, rounds, totals
 from ._session import cut
 from .components import connected_components
 
-SETS = "doc_id long, n_shingles long, set_id binary, prefix int, shared array<long>"
-#: Largest set that may be light, and members of a list that one task compares.
-MOST_LIGHT, BLOCK = 24, 2048
+SETS = "doc_id long, n_shingles long, md5 string, set_id binary, prefix int, shared array<long>"
+#: Boundaries that the cost is worked out for: a light set of more has over 10**12 subsets.
+BOUNDARIES = 64
+#: Rows of inverted lists that a group of the scan holds, and members of a list that meet in it.
+BLOCK = 1024
 
 
 def least_overlap(n: int, m: int, percent: int) -> int:
@@ -106,21 +112,22 @@ class Frequencies:
                 shared.append(None)
                 prefix.append(0)
         ids = [i.tobytes() if n else None for i, n in zip(s.id, s.size.tolist(), strict=True)]
-        return pa.table({"doc_id": texts.doc_id, "n_shingles": pa.array(s.size), "set_id": pa.array(ids, pa.binary()), "prefix": pa.array(prefix, pa.int32()), "shared": pa.array(shared, pa.list_(pa.int64()))})
+        md5 = [hashlib.md5(texts.raw[i:j].tobytes(), usedforsecurity=False).hexdigest() for i, j in zip(texts.offs[:-1].tolist(), texts.offs[1:].tolist(), strict=True)]
+        return pa.table({"doc_id": texts.doc_id, "n_shingles": pa.array(s.size), "md5": pa.array(md5, pa.string()), "set_id": pa.array(ids, pa.binary()), "prefix": pa.array(prefix, pa.int32()), "shared": pa.array(shared, pa.list_(pa.int64()))})
 
 
 def _choose_boundary(sets: DataFrame, postings: DataFrame, percent: int) -> int:
     """The boundary with the least rows enumerated by light sets plus entries scanned for heavy ones."""
-    size = F.least("n", F.lit(MOST_LIGHT + 1)).alias("n")
+    size = F.least("n", F.lit(BOUNDARIES + 1)).alias("n")
     lists = postings.groupBy("token").agg(F.count("*").alias("c")).where("c > 1")
     scan = {r.n: r.c for r in postings.join(lists, "token").groupBy(size).agg(F.sum("c").alias("c")).collect()}
-    many = {r.n: r.c for r in sets.where(F.col("n") <= MOST_LIGHT * 100 // percent).groupBy("n").agg(F.count("*").alias("c")).collect()}
+    many = {r.n: r.c for r in sets.where(F.col("n") <= BOUNDARIES * 100 // percent).groupBy("n").agg(F.count("*").alias("c")).collect()}
 
     def cost(x: int) -> int:
         rows = sum(c * comb(n, least_overlap(n, m, percent)) for n, c in many.items() for m in range(-(-percent * n // 100), n * 100 // percent + 1) if min(n, m) <= x)
         return rows + sum(c for n, c in scan.items() if n > x)
 
-    return min(range(MOST_LIGHT + 1), key=lambda x: (cost(x), x))
+    return min(range(BOUNDARIES + 1), key=lambda x: (cost(x), x))
 
 
 def _light_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
@@ -161,7 +168,11 @@ class Scan:
         self.tested: dict[int, np.ndarray] = {}
         self.links: list[tuple[int, int]] = []
 
-    def list(self, members: np.ndarray) -> None:
+    def list(self, members: np.ndarray, joined: np.ndarray) -> None:
+        """Compare the members of a list, of which the ``joined`` ones are linked already."""
+        near = members[joined]
+        if len(near):
+            self.root[np.isin(self.root, self.root[near])] = self.root[near[0]]
         for k in members.tolist():
             other = members[self.root[members] != self.root[k]]
             if not len(other):
@@ -187,19 +198,54 @@ class Scan:
                     self.root[self.root == self.root[j]] = self.root[k]
 
 
+def _stars(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``set_id, head`` for the members of long lists that link to the head of their list."""
+    pairs = rows.where((F.col("c") > BLOCK) & (F.col("set_id") != F.col("head"))).select("set_id", "head").distinct()
+    # a head may have very many members: it is copied, so that none of its groups is large
+    copies = pairs.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("copies"))
+    heads = copies.join(sets.select(F.col("set_id").alias("head"), F.col("n").alias("m"), F.col("shared").alias("other")), "head")
+    dealt = pairs.join(copies, "head").withColumn("copy", F.pmod(F.xxhash64("set_id"), "copies").cast("int")).drop("copies")
+    dealt = dealt.join(sets.select("set_id", "n", "shared"), "set_id")
+    heads = heads.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    both = F.size(F.array_intersect("shared", "other"))
+    return dealt.join(heads, ["head", "copy"]).where(100 * both >= percent * (F.col("n") + F.col("m") - both)).select("set_id", "head")
+
+
+def _cells(rows: DataFrame, stars: DataFrame) -> DataFrame:
+    """``set_id, token, head, lo, hi, part, joined``: the cells in which the members of each list meet.
+
+    A list of at most ``BLOCK`` members is one cell. Of a longer one the members
+    in the head's star, and the others, are cut into blocks; others meet
+    everyone, members of the star meet others only.
+    """
+    short = rows.where(F.col("c") <= BLOCK)
+    # lists with the same head go together, where each set is needed once, as far as they fit
+    parts = short.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    short = short.join(parts, "head").select("set_id", "token", "head", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.pmod(F.xxhash64("token"), "parts").alias("part"), F.lit(False).alias("joined"))
+    long = rows.where(F.col("c") > BLOCK).join(stars.withColumn("joined", F.lit(True)), ["set_id", "head"], "left")
+    long = long.withColumn("joined", F.coalesce("joined", F.col("set_id") == F.col("head")))
+    blocks = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
+    counts = long.groupBy("token").agg(blocks(F.col("joined")).alias("near"), blocks(~F.col("joined")).alias("far"))
+    long = long.join(counts, "token").where("far > 0")
+    own = F.when(F.col("joined"), F.pmod(F.xxhash64("set_id"), "near")).otherwise(F.col("near") + F.pmod(F.xxhash64("set_id"), "far")).cast("int")
+    first = F.when(F.col("joined"), F.col("near")).otherwise(0)
+    long = long.select("set_id", "token", "head", "near", "far", "joined", own.alias("own"), F.explode(F.sequence(first, F.col("near") + F.col("far") - 1)).alias("other"))
+    long = long.select("set_id", "token", "head", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.xxhash64("near", "far").alias("part"), "joined")
+    return short.unionAll(long)
+
+
 def _heavy_links(sets: DataFrame, postings: DataFrame, boundary: int, percent: int) -> DataFrame:
     heavy = postings.where(F.col("n") > boundary)
-    lists = heavy.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"), F.min("set_id").alias("head"), F.min("n").alias("least"), F.max("n").alias("most"))
+    head = F.min(F.struct("missing", "set_id"))["set_id"]
+    lists = heavy.groupBy("token").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("y"), head.alias("head"), F.min("n").alias("least"), F.max("n").alias("most"))
     # two sets whose sizes differ too much can't link
     lists = lists.where((F.col("c") > 2) | ((F.col("c") == 2) & (100 * F.col("least") >= percent * F.col("most"))))
     chosen = lists.groupBy("c", "x", "y").agg(F.min("token").alias("token"), F.min("head").alias("head"))
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("set_id"), blocks).cast("int")
-    at = heavy.join(chosen.select("token", "c", "head"), "token").select("set_id", "token", "head", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    cell = at.select("set_id", "token", "head", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    # lists with the same first member meet in one bucket, where each set is needed once; pairs of blocks go apart
-    bucket = F.pmod(F.xxhash64("head", "lo", "hi"), F.lit(BUCKETS))
-    cell = cell.select("set_id", "token", "lo", "hi", bucket.alias("bucket"))
+    rows = cut(heavy.join(chosen.select("token", "c", "head"), "token").select("set_id", "token", "c", "head"))
+    stars = cut(_stars(rows, sets, percent))
+    cell = cut(_cells(rows, stars))
+    buckets = max(64, -(-cell.count() // BLOCK))
+    cell = cell.select("set_id", "token", "lo", "hi", "joined", F.pmod(F.xxhash64("head", "lo", "hi", "part"), F.lit(buckets)).alias("bucket"))
     needed = cell.select(F.col("bucket").alias("at"), F.col("set_id").alias("sid")).distinct()
     full = needed.join(sets.select(F.col("set_id").alias("sid"), "n", "shared"), "sid")
 
@@ -213,19 +259,32 @@ def _heavy_links(sets: DataFrame, postings: DataFrame, boundary: int, percent: i
         shared = shared.chunk(0) if isinstance(shared, pa.ChunkedArray) else shared
         scanner = Scan(np.asarray(full["n"]).astype(np.int64), np.asarray(shared.values), np.asarray(shared.offsets), percent)
         cells = cells.sort_by([("token", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("set_id", "ascending")])
-        token, lo, hi = (np.asarray(cells[k]) for k in ("token", "lo", "hi"))
+        token, lo, hi, joined = (cells[k].to_numpy() for k in ("token", "lo", "hi", "joined"))
         at = np.fromiter((place[x] for x in cells["set_id"].to_pylist()), np.int64, cells.num_rows)
         edge = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-        parts = np.split(at, edge[1:])
-        for members in sorted(parts, key=len, reverse=True):  # long lists join most sets at once
-            scanner.list(members)
-        return pa.table({"u": pa.array([sid[a] for a, _ in scanner.links], pa.binary()), "v": pa.array([sid[b] for _, b in scanner.links], pa.binary())})
+        parts = zip(np.split(at, edge[1:]), np.split(joined, edge[1:]), strict=True)
+        for members, near in sorted(parts, key=lambda x: len(x[0]), reverse=True):  # long lists join most sets at once
+            scanner.list(members, near)
+        out = pa.table({"u": pa.array([sid[a] for a, _ in scanner.links], pa.binary()), "v": pa.array([sid[b] for _, b in scanner.links], pa.binary())})
+        give_back()
+        return out
 
-    return cell.groupBy("bucket").cogroup(full.groupBy("at")).applyInArrow(scan, "u binary, v binary")
+    found = cell.groupBy("bucket").cogroup(full.groupBy("at")).applyInArrow(scan, "u binary, v binary")
+    return found.unionAll(stars.select(F.col("set_id").alias("u"), F.col("head").alias("v")))
 
 
-#: Python groups that the lists are scanned in; each reads its lists one after another.
-BUCKETS = 1024
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """``doc_id, n_shingles, md5, root``: ``root`` names the component, null where the text has no words."""
+    talk = Frequencies(width, percent)
+    rows = cut(rounds(docs, id_col, text_col, [talk.ask], [totals], talk.finish, SETS, bucket_bytes=16 << 20))
+    sets = cut(rows.where("shared is not null").groupBy("set_id").agg(F.first("n_shingles").cast("int").alias("n"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared")))
+    missing = (F.col("n") - F.size("shared")).alias("missing")
+    postings = sets.select("set_id", "n", missing, F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("token"))
+    boundary = _choose_boundary(sets, postings, percent)
+    small = sets.select("set_id", "n", "shared")
+    edges = _light_links(small, boundary, percent).unionAll(_heavy_links(small, postings, boundary, percent))
+    roots = connected_components(edges).withColumnRenamed("node", "set_id")
+    return rows.select("doc_id", "n_shingles", "md5", "set_id").join(roots, "set_id", "left").select("doc_id", "n_shingles", "md5", F.coalesce("root", "set_id").alias("root"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -238,21 +297,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     row for each input row; rows with equal sets, repeated rows too, share a
     component; null ids count as largest; other columns are not read.
     """
-    talk = Frequencies(width, percent)
-    rows = cut(rounds(docs, id_col, text_col, [talk.ask], [totals], talk.finish, SETS, bucket_bytes=16 << 20))
-    sets = cut(rows.where("shared is not null").groupBy("set_id").agg(F.first("n_shingles").cast("int").alias("n"), F.first("prefix").alias("prefix"), F.first("shared").alias("shared")))
-    postings = sets.select("set_id", "n", F.explode(F.slice("shared", F.lit(1), F.col("prefix"))).alias("token"))
-    boundary = _choose_boundary(sets, postings, percent)
-    small = sets.select("set_id", "n", "shared")
-    edges = _light_links(small, boundary, percent).unionAll(_heavy_links(small, postings, boundary, percent))
-    roots = connected_components(edges).withColumnRenamed("node", "set_id")
-    least = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    grouped = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = least.join(grouped, "root").select("set_id", "component_id")
-    return rows.join(table, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = cut(_components(docs, id_col, text_col, width, percent))
+    least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component; all columns stay."""
-    stay = jaccard_components(docs, id_col, text_col, width, percent).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col].cast("long").eqNullSafe(stay["__stay"]), "left_semi")
+    """One row of each component, with all its columns: that with the smallest id, then the smallest MD5 of its text.
+
+    A null id is largest. Of repeated rows, same id and same text, one stays. Rows
+    whose text is null or has no words are linked with nothing and all stay; an empty
+    table gives an empty result.
+    """
+    rows = _components(docs, id_col, text_col, width, percent).where("root is not null")
+    own = F.col(f"`{id_col}`").cast("long")
+    # the id as a string that is never null, so that one exchange serves the join and the aggregation
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "md5")).alias("x"))
+    stay = first.select(name(F.col("x.doc_id")).alias("id"), F.col("x.md5").alias("md5"))
+    text = F.col(f"`{text_col}`").cast("string")
+    # only the id, the digest and the row, as a struct in which no name clashes
+    named = docs.select(name(own).alias("id"), F.md5(F.coalesce(text, F.lit(""))).alias("md5"), F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = named.where("worded").join(stay, ["id", "md5"], "left_semi").groupBy("id", "md5").agg(F.first("row").alias("row"))
+    return found.select("row").unionAll(named.where("not worded").select("row")).select("row.*")

@@ -16,7 +16,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _fold(parts: int, part: int):
-    return F.crc32(F.col("doc_id").cast("string")) % parts == part
+    """Whether a document is in that part; one without an id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == part, F.lit(False))
 
 
 def tokenizer() -> tuple[str, str]:
@@ -62,15 +63,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("size"))
     planned = mixing.plan_mix(cut(docs), size_col="size")
-    return planned.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.col("__copies")).alias("taken"))
+    return planned.select("row.doc_id", "row.size", "source_size", "target", (F.col("row.size") * F.size("shards")).alias("taken"), "block", "shards")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_chats(_read(spark, sf_dir, "conversations"))
+    return chat_format.build_conversations(_read(spark, sf_dir, "conversations"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_quality_rules(_read(spark, sf_dir, "documents")).drop("host_rate")
+    return quality_rules.apply_quality_rules(_read(spark, sf_dir, "documents")).drop("host_rate_short", "host_rate_repeat")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -112,10 +113,13 @@ l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_m
 b AS (SELECT doc_id, host, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
  FROM w JOIN l USING (doc_id) LEFT JOIN cov USING (doc_id)),
-f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
-h AS (SELECT host, count(*) AS d, count(*) FILTER (WHERE base_failed) AS k FROM f GROUP BY host),
-p AS (SELECT sum(k) / sum(d) AS m, var_pop(k / d) AS v, avg(1 / d) AS u FROM h),
-q AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * u, 1e-6) - 1, 2), 1e6) AS s FROM p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ((k + m * s) / (d + s) > 0.8) AS kept
-FROM f JOIN h USING (host), q""",
+f AS (SELECT *, n_words < 20 AS short, 100 * n_repeat_words > 30 * n_words AS repeat FROM b),
+h AS (SELECT host, count(*) AS d, count(*) FILTER (WHERE short) AS ks, count(*) FILTER (WHERE repeat) AS kr FROM f GROUP BY host),
+p AS (SELECT sum(ks) / sum(d) AS ms, var_pop(ks / d) AS vs, sum(kr) / sum(d) AS mr, var_pop(kr / d) AS vr, avg(1 / d) AS u FROM h),
+q AS (SELECT ms, mr, least(greatest(ms * (1 - ms) / greatest(vs - ms * (1 - ms) * u, 1e-6) - 1, 2), 1e6) AS ws, least(greatest(mr * (1 - mr) / greatest(vr - mr * (1 - mr) * u, 1e-6) - 1, 2), 1e6) AS wr FROM p),
+r AS (SELECT host, d, ms, mr, ws, wr, (ks + ms * ws) / (d + ws) AS rs, (kr + mr * wr) / (d + wr) AS rr FROM h, q),
+v AS (SELECT host, rs - 3 * sqrt(rs * (1 - rs) / (d + ws + 1)) > greatest(0.5, ms) AS gs, rr - 3 * sqrt(rr * (1 - rr) / (d + wr + 1)) > greatest(0.5, mr) AS gr FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeat AS base_failed, NOT (short OR repeat OR gs OR gr) AS kept,
+ concat_ws(',', CASE WHEN gs THEN 'short' END, CASE WHEN gr THEN 'repeat' END) AS host_guilty
+FROM f JOIN v USING (host)""",
 }
