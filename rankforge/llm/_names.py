@@ -62,8 +62,9 @@ class Texts:
         self.offs = offs - offs[0]
 
     def ids(self) -> np.ndarray:
-        """Ids as int64; a null id ranks after every other."""
-        return np.asarray(self.doc_id.cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False), dtype=np.int64)
+        """Ids as unsigned numbers in the same order; a null id ranks after every other."""
+        ids = self.doc_id.cast(pa.int64()).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+        return np.asarray(ids, dtype=np.int64).view(np.uint64) ^ np.uint64(1 << 63)
 
 
 class Words:
@@ -122,6 +123,16 @@ def unpack(b: bytes) -> np.ndarray:
     return out.view("<u8").reshape(n).astype(np.uint64)
 
 
+def pack_near(a: np.ndarray) -> bytes:
+    """``pack`` of numbers that may be far from zero but near each other."""
+    base = a.min() if len(a) else np.uint64(0)
+    return int(base).to_bytes(8, "little") + pack(a - base)
+
+
+def unpack_near(b: bytes) -> np.ndarray:
+    return unpack(b[8:]) + np.uint64(int.from_bytes(b[:8], "little"))
+
+
 def pack_sorted(a: np.ndarray) -> bytes:
     d = np.ascontiguousarray(a, dtype=np.uint64).copy()
     if len(d):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._names import Texts, pack, pack_sorted, unpack, unpack_sorted
+from ._names import Texts, pack, pack_near, pack_sorted, unpack, unpack_near, unpack_sorted
 
 MESSAGE = "g long, b long, kind int, n long, names binary, more binary"
 _SCHEMA = pa.schema([("g", pa.int64()), ("b", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("names", pa.binary()), ("more", pa.binary())])
@@ -40,8 +40,8 @@ def give_back() -> None:
 class Ask:
     """Sorted distinct names, and columns of unsigned numbers beside them."""
 
-    def __init__(self, names: np.ndarray, columns: tuple[np.ndarray, ...] = (), table: np.ndarray | None = None):
-        self.names, self.columns, self.table = names, columns, table
+    def __init__(self, names: np.ndarray, columns: tuple[np.ndarray, ...] = ()):
+        self.names, self.columns = names, columns
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -51,29 +51,27 @@ def _rows(rows: list[tuple]) -> pa.Table:
 def _say(g: int, ask: Ask, state: bytes, buckets: int) -> pa.Table:
     hi = (ask.names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
     edge = np.searchsorted(hi, np.arange(buckets + 1, dtype=np.uint64))
-    table = b"" if ask.table is None else np.asarray(ask.table, "<i8").tobytes()
     rows = [(g, g % buckets, _STATE, 0, state, b"")]
     for b in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
         i, j = int(edge[b]), int(edge[b + 1])
-        cols = [pack(c[i:j]) for c in ask.columns]
-        more = b"".join(len(c).to_bytes(8, "little") + c for c in [*cols, table])
+        more = b"".join(len(c).to_bytes(8, "little") + c for c in (pack_near(c[i:j]) for c in ask.columns))
         rows.append((g, b, _ASK, j - i, pack_sorted(ask.names[i:j]), more))
     out = _rows(rows)
     give_back()
     return out
 
 
-def _columns(more: bytes) -> tuple[list[np.ndarray], np.ndarray]:
+def _columns(more: bytes) -> list[np.ndarray]:
     parts, at = [], 0
     while at < len(more):
         n = int.from_bytes(more[at : at + 8], "little")
-        parts.append(more[at + 8 : at + 8 + n])
+        parts.append(unpack_near(more[at + 8 : at + 8 + n]))
         at += 8 + n
-    return [unpack(p) for p in parts[:-1]], np.frombuffer(parts[-1], "<i8")
+    return parts
 
 
 def _answer(judge):
-    """``judge(names, message of each name, columns, tables)`` gives a number for each name."""
+    """``judge(names, columns)`` gives a number for each name; the names of one group stand together, in the order of groups."""
 
     def answer(table: pa.Table) -> pa.Table:
         kinds = np.asarray(table["kind"])
@@ -84,8 +82,8 @@ def _answer(judge):
         if asks:
             names = np.concatenate([unpack_sorted(table["names"][k].as_py(), n[k]) for k in asks])
             sizes = np.array([n[k] for k in asks])
-            cols, tables = zip(*(_columns(table["more"][k].as_py()) for k in asks), strict=True)
-            reply = judge(names, np.repeat(np.arange(len(asks)), sizes), [np.concatenate(c) for c in zip(*cols, strict=True)], tables)
+            cols = [_columns(table["more"][k].as_py()) for k in asks]
+            reply = judge(names, [np.concatenate(c) for c in zip(*cols, strict=True)])
             for k, part in zip(asks, np.split(reply, np.cumsum(sizes)[:-1]), strict=True):
                 rows.append((g[k], b[k], _REPLY, n[k], pack(part), b""))
         out = _rows(rows)
@@ -120,7 +118,7 @@ def spread(order: np.ndarray, starts: np.ndarray, values: np.ndarray) -> np.ndar
     return out
 
 
-def holders(names: np.ndarray, message: np.ndarray, columns, tables) -> np.ndarray:
+def holders(names: np.ndarray, columns) -> np.ndarray:
     """0: nobody else has the name; 1: others do, and this is the first; 2: others do."""
     order, starts = runs(names)
     many = np.diff(np.append(starts, len(order))) > 1
@@ -129,22 +127,18 @@ def holders(names: np.ndarray, message: np.ndarray, columns, tables) -> np.ndarr
     return out
 
 
-def totals(names: np.ndarray, message: np.ndarray, columns, tables) -> np.ndarray:
+def totals(names: np.ndarray, columns) -> np.ndarray:
     """The sum of the first column over all who have the name."""
     order, starts = runs(names)
     return spread(order, starts, np.add.reduceat(columns[0][order], starts))
 
 
-def owner_ids(column: np.ndarray, message: np.ndarray, tables) -> np.ndarray:
-    """Ids behind a column of positions in each message's own table."""
-    base = np.cumsum([0, *(len(t) for t in tables)])[:-1]
-    return np.concatenate([*tables, np.zeros(0, np.int64)])[base[message] + column.astype(np.int64)]
-
-
-def earlier(names: np.ndarray, message: np.ndarray, columns, tables) -> np.ndarray:
-    """1 if some holder of the name has a smaller id than this one."""
-    own = owner_ids(columns[0], message, tables)
-    order, starts = runs(names)
+def earlier(names: np.ndarray, columns) -> np.ndarray:
+    """1 if some holder of the name (and of the same second column) has a smaller first column than this one."""
+    own, second = columns
+    order = np.lexsort((second, names))
+    s, e = names[order], second[order]
+    starts = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (e[1:] != e[:-1])]))
     least = np.minimum.reduceat(own[order], starts)
     return (own > spread(order, starts, least)).astype(np.uint64)
 

@@ -13,8 +13,8 @@ while they can still matter:
    a later document differs from the earlier ones.
 3. In open buckets each window is sorted on its own identifier.
 
-Identifiers longer than 8 bytes are 64-bit hashes, and bytes are removed only
-if two of them agree: bucket and extent, or both names of a window.
+Identifiers longer than 8 bytes are hashes, and bytes are removed only if 96
+bits agree at least: bucket and extent, or both names of a window.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._names import Texts, mix, pair
-from ._rounds import Ask, distinct, earlier, holders, owner_ids, rounds, spread
+from ._rounds import Ask, distinct, earlier, holders, rounds, spread
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 _GRAM = 24
@@ -101,13 +101,9 @@ class Buckets:
         return np.concatenate([np.zeros(0, np.uint64), *out])
 
 
-def _rank(ids: np.ndarray) -> np.ndarray:
-    return np.argsort(np.argsort(ids, kind="stable"), kind="stable")
-
-
-def settle(names: np.ndarray, message: np.ndarray, columns, tables) -> np.ndarray:
+def settle(names: np.ndarray, columns) -> np.ndarray:
     """For (suffix, extent) entries: 1 if a smaller document has the same extent; 2 if the bucket is open and it doesn't."""
-    extent, own = columns[1], owner_ids(columns[0], message, tables)
+    own, extent = columns
     order = np.lexsort((own, extent, names))
     s, e = names[order], extent[order]
     new_name = np.concatenate([[True], s[1:] != s[:-1]])
@@ -131,54 +127,49 @@ class Refinement:
         return Ask(np.unique(Buckets(texts, self.length, extents=False).name)), b""
 
     def _entries(self, b: Buckets, which: np.ndarray, ids: np.ndarray):
-        """Distinct (suffix, extent) entries in the order of suffixes, with the least owner of each."""
-        name, extent, rank = b.name[which], b.extent[which], _rank(ids)[b.doc[which]]
-        order = np.lexsort((rank, extent, name))
+        """Distinct (suffix, extent) entries in the order of suffixes, with the least owner of each; the place of each, and its owner."""
+        name, extent, own = b.name[which], b.extent[which], ids[b.doc[which]]
+        order = np.lexsort((own, extent, name))
         a, e = name[order], extent[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (e[1:] != e[:-1])]) if len(a) else np.zeros(0, bool)
         place = np.empty(len(a), np.int64)
         place[order] = np.cumsum(new) - 1
-        return a[new], e[new], rank[order][new], place, rank
+        return a[new], e[new], own[order][new], place, own
 
     def ask_extents(self, texts: Texts, state: bytes, replies: np.ndarray):
-        b, ids = Buckets(texts, self.length), texts.ids()
+        b = Buckets(texts, self.length)
         _, place, count = distinct(b.name)
         live = ((replies > 0) | (count > 1))[place] if len(place) else np.zeros(0, bool)
-        names, extent, least, _, _ = self._entries(b, np.flatnonzero(live), ids)
-        return Ask(names, (least.astype(np.uint64), extent), np.sort(ids)), np.packbits(live).tobytes()
+        names, extent, least, _, _ = self._entries(b, np.flatnonzero(live), texts.ids())
+        return Ask(names, (least, extent)), np.packbits(live).tobytes()
 
     def _windows(self, b: Buckets, which: np.ndarray, ids: np.ndarray):
-        """Two 64-bit names of each window, and the distinct names with the least owner of each.
-
-        A window repeats only if both of its names do, so that it takes two
-        chance matches at once to remove text wrongly.
-        """
+        """Starts of the windows and their owners; the distinct names, the place of each window and the least owners."""
         starts, doc = b.windows(which)
-        names, place, _ = distinct(np.concatenate([b.window_names(starts, 0), b.window_names(starts, _SECOND)]))
-        least = np.full(len(names), np.iinfo(np.int64).max)
-        np.minimum.at(least, place, np.tile(_rank(ids)[doc], 2))
-        return starts, doc, names, place, least
+        names, first, place = np.unique(b.window_names(starts, 0), return_index=True, return_inverse=True)
+        least = np.full(len(names), np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(least, place, ids[doc])
+        return starts, ids[doc], names, first, place, least
 
     def ask_windows(self, texts: Texts, state: bytes, replies: np.ndarray):
         b, ids = Buckets(texts, self.length), texts.ids()
         live = np.flatnonzero(np.unpackbits(np.frombuffer(state, np.uint8), count=len(b.start)))
-        _, _, least, place, rank = self._entries(b, live, ids)
-        table = np.sort(ids)
-        done = (table[rank] > table[least[place]]) | (replies[place] == 1) if len(place) else np.zeros(0, bool)
+        _, _, least, place, own = self._entries(b, live, ids)
+        done = (own > least[place]) | (replies[place] == 1) if len(place) else np.zeros(0, bool)
         is_open = ~done & (replies[place] == 2) if len(place) else done
         known, ask = np.zeros(len(b.start), bool), np.zeros(len(b.start), bool)
         known[live[done]], ask[live[is_open]] = True, True
-        _, _, names, _, least = self._windows(b, np.flatnonzero(ask), ids)
-        return Ask(names, (least.astype(np.uint64),), table), np.packbits(np.concatenate([known, ask])).tobytes()
+        starts, _, names, first, _, least = self._windows(b, np.flatnonzero(ask), ids)
+        second = b.window_names(starts[first], _SECOND) >> np.uint64(32)
+        return Ask(names, (least, second)), np.packbits(np.concatenate([known, ask])).tobytes()
 
     def finish(self, texts: Texts, state: bytes, replies: np.ndarray) -> pa.Table:
         b, ids, n = Buckets(texts, self.length, extents=False), texts.ids(), len(texts.raw)
         bits = np.unpackbits(np.frombuffer(state, np.uint8), count=2 * len(b.start)).astype(bool)
         known, ask = np.flatnonzero(bits[: len(b.start)]), np.flatnonzero(bits[len(b.start) :])
-        starts, doc, _, place, least = self._windows(b, ask, ids)
+        starts, own, _, _, place, least = self._windows(b, ask, ids)
         if len(starts):
-            later = (replies[place] == 1) | (np.tile(ids[doc], 2) > np.sort(ids)[least[place]])
-            starts = starts[later[: len(doc)] & later[len(doc) :]]
+            starts = starts[(replies[place] == 1) | (own > least[place])]
         # removed bytes as disjoint runs: known suffixes, and single windows
         lo = np.concatenate([b.start[known], starts])
         hi = np.concatenate([b.start[known] + b.width[known] - 1, starts]) + self.length
