@@ -214,23 +214,24 @@ def _stars(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _cells(rows: DataFrame, stars: DataFrame) -> DataFrame:
     """``set_id, token, head, lo, hi, part, joined``: the cells in which the members of each list meet.
 
-    A list of at most ``BLOCK`` members is one cell. Of a longer one the members
-    in the head's star, and the others, are cut into blocks; others meet
-    everyone, members of the star meet others only.
+    A list of at most ``BLOCK`` members is one cell. Longer lists with one head
+    have nearly the same members, and are taken together; the members in the
+    head's star, and the others, are cut into blocks; others meet everyone, members
+    of the star meet others only.
     """
     short = rows.where(F.col("c") <= BLOCK)
     # lists with the same head go together, where each set is needed once, as far as they fit
     parts = short.groupBy("head").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     short = short.join(parts, "head").select("set_id", "token", "head", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.pmod(F.xxhash64("token"), "parts").alias("part"), F.lit(False).alias("joined"))
-    long = rows.where(F.col("c") > BLOCK).join(stars.withColumn("joined", F.lit(True)), ["set_id", "head"], "left")
+    long = rows.where(F.col("c") > BLOCK).select("set_id", "head").distinct().join(stars.withColumn("joined", F.lit(True)), ["set_id", "head"], "left")
     long = long.withColumn("joined", F.coalesce("joined", F.col("set_id") == F.col("head")))
     blocks = lambda which: F.ceil(F.count_if(which) / BLOCK).cast("int")
-    counts = long.groupBy("token").agg(blocks(F.col("joined")).alias("near"), blocks(~F.col("joined")).alias("far"))
-    long = long.join(counts, "token").where("far > 0")
+    counts = long.groupBy("head").agg(blocks(F.col("joined")).alias("near"), blocks(~F.col("joined")).alias("far"))
+    long = long.join(counts, "head").where("far > 0")
     own = F.when(F.col("joined"), F.pmod(F.xxhash64("set_id"), "near")).otherwise(F.col("near") + F.pmod(F.xxhash64("set_id"), "far")).cast("int")
     first = F.when(F.col("joined"), F.col("near")).otherwise(0)
-    long = long.select("set_id", "token", "head", "near", "far", "joined", own.alias("own"), F.explode(F.sequence(first, F.col("near") + F.col("far") - 1)).alias("other"))
-    long = long.select("set_id", "token", "head", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.xxhash64("near", "far").alias("part"), "joined")
+    long = long.select("set_id", "head", "joined", own.alias("own"), F.explode(F.sequence(first, F.col("near") + F.col("far") - 1)).alias("other"))
+    long = long.select("set_id", F.lit(0).cast("long").alias("token"), "head", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.lit(-1).cast("long").alias("part"), "joined")
     return short.unionAll(long)
 
 
@@ -245,7 +246,7 @@ def _heavy_links(sets: DataFrame, postings: DataFrame, boundary: int, percent: i
     stars = cut(_stars(rows, sets, percent))
     cell = cut(_cells(rows, stars))
     buckets = max(64, -(-cell.count() // BLOCK))
-    cell = cell.select("set_id", "token", "lo", "hi", "joined", F.pmod(F.xxhash64("head", "lo", "hi", "part"), F.lit(buckets)).alias("bucket"))
+    cell = cell.select("set_id", "token", "head", "lo", "hi", "joined", F.pmod(F.xxhash64("head", "lo", "hi", "part"), F.lit(buckets)).alias("bucket"))
     needed = cell.select(F.col("bucket").alias("at"), F.col("set_id").alias("sid")).distinct()
     full = needed.join(sets.select(F.col("set_id").alias("sid"), "n", "shared"), "sid")
 
@@ -258,10 +259,11 @@ def _heavy_links(sets: DataFrame, postings: DataFrame, boundary: int, percent: i
         shared = full["shared"].combine_chunks()
         shared = shared.chunk(0) if isinstance(shared, pa.ChunkedArray) else shared
         scanner = Scan(np.asarray(full["n"]).astype(np.int64), np.asarray(shared.values), np.asarray(shared.offsets), percent)
-        cells = cells.sort_by([("token", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("set_id", "ascending")])
+        cells = cells.sort_by([("head", "ascending"), ("token", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("set_id", "ascending")])
         token, lo, hi, joined = (cells[k].to_numpy() for k in ("token", "lo", "hi", "joined"))
         at = np.fromiter((place[x] for x in cells["set_id"].to_pylist()), np.int64, cells.num_rows)
-        edge = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+        head = np.fromiter((hash(x) for x in cells["head"].to_pylist()), np.int64, cells.num_rows)
+        edge = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
         parts = zip(np.split(at, edge[1:]), np.split(joined, edge[1:]), strict=True)
         for members, near in sorted(parts, key=lambda x: len(x[0]), reverse=True):  # long lists join most sets at once
             scanner.list(members, near)
