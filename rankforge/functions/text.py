@@ -54,8 +54,8 @@ def natural_key(text: Column) -> Column:
 
 def permutation(response: Column, n: Column) -> Column:
     """0-based order of ``n`` documents from a model's text: numbers once each, out-of-range ones dropped, the rest appended."""
-    named = F.transform(F.regexp_extract_all(response, F.lit(r"(\d{1,9})"), 1), lambda x: x.cast("int") - 1)
-    named = F.array_distinct(F.filter(named, lambda x: (x >= 0) & (x < n)))
+    named = F.transform(F.regexp_extract_all(response, F.lit(r"(\d+)"), 1), lambda x: x.try_cast("int") - 1)
+    named = F.array_distinct(F.filter(named, lambda x: (x >= 0) & (x < n)))  # a number too long is null, hence out of range
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.concat(named, F.array_except(every, named))
 

@@ -10,29 +10,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.readers import top_hits
+
+
+def _run_errors(run: DataFrame, pools: DataFrame) -> DataFrame:
+    """One pass over both sides: they are counted by query and document, then by query."""
+    sides = run.select("qid", "docid", F.lit(1).alias("r"), F.lit(0).alias("p")).unionAll(pools.select("qid", "docid", F.lit(0), F.lit(1)))
+    cells = sides.groupBy("qid", "docid").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
+    per = cells.groupBy("qid").agg(F.sum("r").alias("n"), F.count_if(F.expr("r > 0")).alias("u"), F.sum("p").alias("w"), F.count_if(F.expr("(r > 0) <> (p > 0)")).alias("other"))
+    both = (F.col("n") > 0) & (F.col("w") > 0)
+    found = [
+        F.when(F.col("n") > F.col("u"), F.concat(F.lit("duplicate_docids:"), "qid")),
+        F.when(both & (F.col("n") != F.col("w")), F.concat(F.lit("wrong_depth:"), "qid", F.lit(":"), F.col("n").cast("string"), F.lit(":expected_"), F.col("w").cast("string"))),
+        F.when(both & (F.col("other") > 0), F.concat(F.lit("pool_membership_mismatch:"), "qid")),
+    ]
+    own = per.select(F.explode(F.array_compact(F.array(*found))).alias("error"))
+    counts = per.agg(F.count_if(F.expr("n = 0")).alias("missing_qids"), F.count_if(F.expr("w = 0")).alias("unexpected_qids"))
+    totals = [F.when(F.col(c) > 0, F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))) for c in ("missing_qids", "unexpected_qids")]
+    return own.unionAll(counts.select(F.explode(F.array_compact(F.array(*totals))).alias("error")))
+
 
-def audit_run(run: DataFrame, pools: DataFrame, depth: int) -> DataFrame:
+def audit_run(run: DataFrame | None, pools: DataFrame) -> DataFrame:
     """``error`` strings of a run ``qid, docid`` against expected pools ``qid, docid``.
 
     Duplicates, wrong depth and membership name the query; missing and
-    unexpected queries are counted. Order within a query is free.
+    unexpected queries are counted. Order within a query is free. No run at all is
+    the one error ``missing_run``.
     """
-    own = run.groupBy("qid").agg(F.count("*").alias("n"), F.count_distinct("docid").alias("u"))
-    want = pools.groupBy("qid").agg(F.count_distinct("docid").alias("w"))
-    both = own.join(want, "qid", "full")
-    seen = both.where("n is not null and w is not null")
-    stray = run.distinct().join(pools.distinct(), ["qid", "docid"], "left_anti").select("qid")
-    lost = pools.distinct().join(run.distinct(), ["qid", "docid"], "left_anti").join(own.select("qid"), "qid", "left_semi").select("qid")
-    say = lambda df, what: df.select(F.concat(F.lit(what + ":"), "qid").alias("error"))
-    total = lambda cond, what: both.agg(F.count_if(cond).alias("k")).where("k > 0").select(F.concat(F.lit(what + ":"), F.col("k").cast("string")).alias("error"))
-    parts = [
-        say(own.where("n > u"), "duplicate_docids"),
-        say(seen.where(F.col("n") != F.least("w", F.lit(depth))), "depth_mismatch"),
-        say(stray.unionAll(lost).distinct().join(want, "qid", "left_semi"), "pool_membership_mismatch"),
-        total(F.col("n").isNull(), "missing_qids"),
-        total(F.col("w").isNull(), "unexpected_qids"),
-    ]
-    return reduce(DataFrame.unionAll, parts)
+    if run is None:
+        return pools.sparkSession.createDataFrame([("missing_run",)], "error string")
+    return _run_errors(run, pools)
+
+
+def audit_run_lines(lines: DataFrame | None, pools: DataFrame) -> DataFrame:
+    """As ``audit_run``, of the lines ``line_number, value`` of a run file; a line without six fields is an error and is left out."""
+    if lines is None:
+        return audit_run(None, pools)
+    f = F.split(F.trim("value"), r"\s+")
+    bad = lines.where((F.size(f) != 6) | (F.trim("value") == ""))
+    run = lines.where((F.size(f) == 6) & (F.trim("value") != "")).select(F.get(f, 0).alias("qid"), F.get(f, 2).alias("docid"))
+    return bad.select(F.concat(F.lit("malformed_line:"), F.col("line_number").cast("string")).alias("error")).unionAll(audit_run(run, pools))
+
+
+def run_summary(run: DataFrame) -> DataFrame:
+    """``queries, min_depth, max_depth`` of a run."""
+    per = run.groupBy("qid").agg(F.count("*").alias("n"))
+    return per.agg(F.count("*").alias("queries"), F.coalesce(F.min("n"), F.lit(0)).alias("min_depth"), F.coalesce(F.max("n"), F.lit(0)).alias("max_depth"))
 
 
 def telemetry_violations(t: DataFrame) -> DataFrame:
@@ -135,17 +158,69 @@ def protocol_hash(frame: DataFrame, column: str) -> DataFrame:
     return frame.withColumn("protocol_hash", F.pandas_udf(canonical_hash, "string")(column))
 
 
+def _json_list(*cols: str):
+    """A compact JSON array: strings quoted, numbers as they are."""
+    return F.concat(F.lit("["), F.concat_ws(",", *cols), F.lit("]"))
+
+
+def _quoted(col: str):
+    """A JSON string; ``to_json`` of a one-element array without its brackets."""
+    text = F.to_json(F.array(F.col(col).cast("string")))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
 def qrels_hash(qrels: DataFrame) -> DataFrame:
-    """One sha256 of a whole judgement set: of the sorted hashes of its queries, each of its sorted rows."""
-    row = F.to_json(F.array(F.col("qid"), F.col("docid"), F.col("rel").cast("string")))
-    per = qrels.groupBy("qid").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), "\n"), 256).alias("h"))
-    return per.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "qid", "h"))), "\n"), 256).alias("hash"))
+    """``hash``: sha256 of the compact JSON list of all judgements ``[qid, docid, rel, iteration]``, sorted.
+
+    ``iteration`` is "0" where there is no such column. The hash is one of a whole
+    judgement set, so its rows meet in one task; they are short.
+    """
+    it = F.col("iteration").cast("string") if "iteration" in qrels.columns else F.lit("0")
+    rows = qrels.select(F.col("qid").cast("string").alias("q"), F.col("docid").cast("string").alias("d"), F.col("rel").cast("int").alias("r"), it.alias("i"))
+    rows = rows.select(F.struct("q", "d", "r", "i").alias("key"), _json_list(_quoted("q"), _quoted("d"), F.col("r").cast("string"), _quoted("i")).alias("json"))
+    every = F.array_sort(F.collect_list(F.struct("key", "json")))
+    return rows.agg(F.sha2(_json_list(F.array_join(F.transform(every, lambda x: x["json"]), ",")), 256).alias("hash"))
+
+
+def canonical_json(values: pd.Series) -> pd.Series:
+    """JSON texts with sorted keys and no spaces."""
+    return values.map(lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+
+
+def input_hash(records: DataFrame) -> DataFrame:
+    """``hash``: sha256 of the canonical JSON ``record`` of each ``qid``, in the order of ids, each with a line end."""
+    lines = records.select("qid", F.pandas_udf(canonical_json, "string")("record").alias("line"))
+    every = F.array_sort(F.collect_list(F.struct("qid", "line")))
+    return lines.agg(F.sha2(F.array_join(F.transform(every, lambda x: F.concat(x["line"], F.lit("\n"))), ""), 256).alias("hash"))
+
+
+def local_passages(official: DataFrame, local: DataFrame) -> DataFrame:
+    """The official pool with the local passages' content, once the two agree in ids and depth: else an error for the query."""
+    own = local.select("qid", "pos", F.col("docid").alias("own"), F.col("content").alias("text"))
+    both = official.join(own, ["qid", "pos"], "full")
+    bad = ~F.coalesce(F.col("docid") == F.col("own"), F.lit(False))
+    content = F.when(bad, F.raise_error(F.concat(F.lit("pools differ for "), "qid")).cast("string")).otherwise(F.col("text"))
+    return both.withColumn("content", content).select(official.columns)
+
+
+def native_row_violations(telemetry: DataFrame) -> DataFrame:
+    """``qid, rule`` where a native row breaks an identity, isn't ``ok``, or has no method or no depth."""
+    extra = {"status": "status = 'ok'", "method": "length(method) > 0", "depth": "output_depth > 0"}
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(name)) for name, rule in extra.items()]))
+    return telemetry_violations(telemetry).unionAll(telemetry.select("qid", F.explode(broken).alias("rule")))
+
+
+def evaluation_gate(aggregates: DataFrame, required: list[str]) -> DataFrame:
+    """``metric, reason`` of the required aggregate metrics that are missing or not above 0."""
+    want = aggregates.sparkSession.createDataFrame([(m,) for m in required], "metric string")
+    got = want.join(aggregates.where("qid = 'all'").groupBy("metric").agg(F.max("value").alias("value")), "metric", "left")
+    return got.where("value is null or isnan(value) or value <= 0").select("metric", F.when(F.col("value").isNull(), "missing").otherwise("not_positive").alias("reason"))
 
 
 def final_attempt(run: DataFrame, pools: DataFrame, telemetry: DataFrame, depth: int) -> DataFrame:
     """All that must hold before an attempt is done: ``check, detail`` of what doesn't."""
     parts = [
-        audit_run(run.select("qid", "docid"), pools.select("qid", "docid"), depth).select(F.lit("run").alias("check"), F.col("error").alias("detail")),
+        audit_run(run.select("qid", "docid"), top_hits(pools, depth).select("qid", "docid")).select(F.lit("run").alias("check"), F.col("error").alias("detail")),
         telemetry_violations(telemetry).select(F.lit("telemetry").alias("check"), F.concat_ws(":", "qid", "rule").alias("detail")),
         completeness(telemetry, pools).select(F.lit("completeness").alias("check"), F.concat_ws(":", "qid", F.col("n").cast("string")).alias("detail")),
         query_sets(pools, telemetry, run).select(F.lit("queries").alias("check"), F.concat_ws(":", "qid", "missing_in").alias("detail")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -169,6 +170,114 @@ class TextComparator(Comparator):
         return self._attempts("permute", query, docs, lambda raw: grammar.parse_permutation(raw, len(docs)))
 
 
+class LikelihoodComparator(Comparator):
+    """Reads ``score(query, docs) -> log-likelihood of each label`` of a best-of-window prompt: largest is best, least is worst."""
+
+    def __init__(self, score: Callable):
+        self.score = score
+
+    def best(self, query, docs):
+        found = list(self.score(query, docs))
+        return max(range(len(docs)), key=lambda k: (found[k], -k))
+
+    def worst(self, query, docs):
+        found = list(self.score(query, docs))
+        return min(range(len(docs)), key=lambda k: (found[k], k))
+
+    def both(self, query, docs):
+        """One reading answers both."""
+        found = list(self.score(query, docs))
+        return max(range(len(docs)), key=lambda k: (found[k], -k)), min(range(len(docs)), key=lambda k: (found[k], -k))
+
+
+class DuoComparator(Comparator):
+    """``probability(query, a, b)`` that ``a`` is better when shown first; the larger of the two orders decides."""
+
+    def __init__(self, probability: Callable):
+        self.probability = probability
+
+    def prefers(self, query, a, b):
+        return self.probability(query, a, b) > self.probability(query, b, a)
+
+    def best(self, query, docs):
+        return max(range(len(docs)), key=lambda k: (sum(self.prefers(query, docs[k], d) for d in docs if d is not docs[k]), -k))
+
+
+def bounded_retry(call: Callable, transient: tuple[type[Exception], ...], attempts: int = 5, wait: Callable[[int], None] = lambda attempt: None) -> Callable:
+    """``call``, tried again on transient errors up to ``attempts`` times in all; the last error is raised."""
+
+    def tried(*args):
+        for attempt in range(attempts):
+            try:
+                return call(*args)
+            except transient:
+                if attempt + 1 == attempts:
+                    raise
+                wait(attempt)
+
+    return tried
+
+
+class ChatPairwise(Comparator):
+    """Pairwise answers ``Passage A`` or ``Passage B`` of ``ask(query, a, b) -> text``, in both orders."""
+
+    def __init__(self, ask: Callable):
+        self.ask = ask
+
+    def _first(self, query, a, b) -> bool | None:
+        found = re.findall(r"passage\s*([ab])\b", self.ask(query, a, b).lower())
+        return found[0] == "a" if found else None
+
+    def prefers(self, query, a, b):
+        return self._first(query, a, b) is True and self._first(query, b, a) is False
+
+
+class ChatSetwise(Comparator):
+    """The label in ``ask(query, docs) -> text``, letters or ``[1]`` brackets; an answer without one is the first label."""
+
+    def __init__(self, ask: Callable, brackets: bool = False):
+        self.ask, self.brackets = ask, brackets
+
+    def best(self, query, docs):
+        text = self.ask(query, docs)
+        if self.brackets:
+            found = [int(x) for x in re.findall(r"\[(\d+)\]", text)]
+            return next((x - 1 for x in reversed(found) if 1 <= x <= len(docs)), 0)
+        label = grammar.parse_single(text, grammar.LETTERS, len(docs))
+        return 0 if label is None else grammar.labels(grammar.LETTERS, len(docs)).index(label)
+
+
+class SelectionComparator(Comparator):
+    """Selections as lines that name ``Document n``; an answer without such a line gets one corrective turn, then fails.
+
+    ``generate(query, docs, m, before)`` is given the answer to be corrected, or None.
+    ``events`` keeps a row for each selection, with what ``selection_counts`` adds.
+    """
+
+    def __init__(self, generate: Callable):
+        self.generate, self.events = generate, []
+
+    def select(self, query, docs, m):
+        before, attempts = None, []
+        for _ in range(2):
+            text, prompt, completion, seconds = self.generate(query, docs, m, before)
+            valid = any("Document" in line for line in text.splitlines())
+            attempts.append((prompt, completion, seconds, valid))
+            if valid:
+                break
+            before = text
+        retried = attempts[1:]
+        event = {"n": len(docs), "m": m, "status": "ok" if valid else "failed", "retry_calls": len(retried), "initial_format_valid": attempts[0][3], "format_valid": valid, "format_repair_succeeded": bool(retried) and valid}
+        event |= {"prompt_tokens": sum(a[0] for a in attempts), "completion_tokens": sum(a[1] for a in attempts), "duration_seconds": sum(a[2] for a in attempts), "retry_seconds": sum(a[2] for a in retried)}
+        self.events.append(event)
+        if not valid:
+            raise ValueError("no Document line after one corrective turn")
+        named = [int(x) for line in text.splitlines() for x in re.findall(r"Document\s*\[?(\d+)", line)]
+        places = [x - 1 for x in named if 1 <= x <= len(docs)]
+        event["selected"] = [docs[k].docid for k in places]
+        return places
+
+
 class VotingComparator(Comparator):
     """Shows ``m`` orders of a window and takes the most frequent answer; ties go to the least position."""
 

@@ -56,6 +56,7 @@ def rerank(pool: DataFrame, method: str, k: int, comparator: Comparator | Callab
     ranking; other queries go on. Pools of one document or none need no call.
     ``comparator`` may be an instance or a function that makes one for each query.
     """
+    validate(method, k, k, c, reverse=how == "reverse", shuffle=how == "shuffle")
     make = comparator if callable(comparator) else (lambda: comparator or ScoreComparator())
     extra = [x for x in ("query", "text") if x in pool.columns]
 
@@ -83,6 +84,50 @@ def rerank(pool: DataFrame, method: str, k: int, comparator: Comparator | Callab
     return pool.select("qid", "pos", "docid", "score", "hidden", *extra).groupBy("qid").applyInArrow(group, OUTPUT)
 
 
+def rerank_batched(pool: DataFrame, method: str, k: int, answer_many: Callable[[list], list], c: int = 2, batch_queries: int = 64, **options) -> DataFrame:
+    """As ``rerank``, with the requests of about ``batch_queries`` queries answered in one batch a round.
+
+    ``answer_many`` is given ``(kind, query, docs)`` for each open query and gives as many answers: places in
+    the window, or an exception that ends its query. A batch is one Arrow group, so that a backend
+    that serves batches is kept busy; queries are dealt to batches by hash.
+    """
+    validate(method, k, k, c)
+    batches = max(1, -(-pool.select("qid").distinct().count() // batch_queries))
+
+    def group(table: pa.Table) -> pa.Table:
+        pools: dict[str, list[Doc]] = {}
+        for i, r in enumerate(sorted(table.to_pylist(), key=lambda r: (r["qid"], r["pos"]))):
+            pools.setdefault(r["qid"], []).append(Doc(r["docid"], r["score"], None, i, r["hidden"]))
+        began = time.perf_counter()
+        steps = {q: procedures.build(method, q, docs, k, c, **options) for q, docs in pools.items() if len(docs) > 1}
+        ask = lambda asked: answer_many([(r[0], q, [pools[q][i] for i in r[1]]) for q, r in asked])
+        found = procedures.run_rounds(steps, ask) | {q: ([0], procedures.Trace(), None) for q, docs in pools.items() if len(docs) == 1}
+        seconds, out = (time.perf_counter() - began) / max(1, len(pools)), []
+        for q, (prefix, trace, error) in found.items():
+            if error is None:
+                out += [{"kind": "ranking", "qid": q, "docid": pools[q][i].docid, "rank": r + 1, "score": -float(r + 1)} for r, i in enumerate(procedures.materialise(prefix, len(pools[q])))]
+            none = dict.fromkeys(("retries", "prompt_tokens", "completion_tokens", "retry_prompt_tokens", "retry_completion_tokens"), 0)
+            out.append({"kind": "telemetry", "qid": q, "llm_calls": trace.calls, "non_llm_bypasses": trace.bypasses, "wall_seconds": seconds, "retry_seconds": 0.0, "status": "ok" if error is None else "error", "error": error, **none})
+        return pa.Table.from_pylist(out, schema=_ARROW)
+
+    dealt = pool.select("qid", "pos", "docid", "score", "hidden", F.pmod(F.xxhash64("qid"), F.lit(batches)).alias("batch"))
+    return dealt.groupBy("batch").applyInArrow(group, OUTPUT)
+
+
+def answer_by_score(asked: list) -> list:
+    """A batched backend that reads hidden scores, as ``ScoreComparator`` does."""
+    judge, out = ScoreComparator(), []
+    for kind, query, docs in asked:
+        out.append(judge.prefers(query, *docs) if kind == "prefers" else getattr(judge, kind)(query, docs))
+    return out
+
+
+def ensemble(pool: DataFrame, k: int, comparator=None, sort: str = "heapsort", how: str = "rrf", c: int = 2, alpha: float = 0.5) -> DataFrame:
+    """``qid, docid, rank, score``: the pool ranked top-down and bottom-up, and the two fused."""
+    down, up = (rankings(rerank(pool, f"{way}_{sort}", k, comparator, c)) for way in ("topdown", "bottomup"))
+    return fuse(down, up, how, alpha)
+
+
 def rankings(out: DataFrame, depth: int | None = None) -> DataFrame:
     got = out.where("kind = 'ranking'").select("qid", "docid", "rank", "score")
     return got if depth is None else got.where(F.col("rank") <= depth)

@@ -201,9 +201,17 @@ def condition_deltas(values: DataFrame, keys: list[str], base: str = "forward")
 
 
 def position_bias(log: DataFrame) -> DataFrame:
-    """``type, position, label, count, frequency, expected, mark`` for all positions of a type's longest window, unused ones too."""
+    """``type, position, label, count, frequency, expected, mark`` for all positions of a type's longest window, unused ones too.
+
+    Labels are those of the longest window, the last by order if there are
+    several. Types whose rows name more than one ``label_scheme`` are an error.
+    """
+    if "label_scheme" in log.columns:
+        schemes = log.groupBy("type").agg(F.count_distinct("label_scheme").alias("schemes"))
+        mixed = F.when(F.col("schemes") > 1, F.raise_error(F.concat(F.lit("mixed label schemes in "), "type")).cast("string")).otherwise(F.col("type"))
+        log = log.join(schemes, "type").withColumn("type", mixed)
     one = log.select("type", "positions", F.array_position("positions", F.col("selected")).alias("position"))
-    size = one.groupBy("type").agg(F.max(F.size("positions")).alias("n"), F.count_if(F.col("position") > 0).alias("total"), F.max_by("positions", F.size("positions")).alias("labels"))
+    size = one.groupBy("type").agg(F.max(F.size("positions")).alias("n"), F.count_if(F.col("position") > 0).alias("total"), F.max(F.struct(F.size("positions"), "positions"))["positions"].alias("labels"))
     hits = one.where("position > 0").groupBy("type", F.col("position").cast("int").alias("position")).agg(F.count("*").alias("hits"))
     cells = size.select("type", "n", "total", "labels", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("position")).where("n > 0")
     freq, exp = F.try_divide(F.coalesce("hits", F.lit(0)), F.col("total")), 1 / F.col("n")
@@ -247,3 +255,46 @@ def group_totals(telemetry: DataFrame, keys: list[str]) -> DataFrame:
     ok = telemetry.where("status = 'ok'")
     wall = ok.groupBy(*keys, F.coalesce("batch_id", F.concat(F.lit("q:"), "qid")).alias("unit")).agg(F.max("wall_seconds").alias("w")).groupBy(*keys).agg(F.sum("w").alias("wall_seconds"))
     return ok.groupBy(*keys).agg(F.count("*").alias("queries"), F.sum("llm_calls").alias("llm_calls"), F.sum("total_tokens").alias("total_tokens")).join(wall, keys)
+
+
+def selection_accuracy(log: DataFrame) -> DataFrame:
+    """``type, position, correct, total, accuracy``: selections of the most (or for ``worst`` types the least) relevant of the window.
+
+    ``log`` has ``type, positions, selected, relevances``; rows without relevances or
+    with a label beyond the window don't count. Position -1 is all positions.
+    """
+    at = F.array_position("positions", F.col("selected")).cast("int")
+    rows = log.where("relevances is not null").withColumn("at", at).where("at > 0")
+    want = F.when(F.col("type").isin("best", "dual_best"), F.array_max("relevances")).when(F.col("type").isin("worst", "dual_worst"), F.array_min("relevances"))
+    right = F.coalesce(F.element_at("relevances", F.col("at")) == want, F.lit(False))
+    cells = rows.select("type", F.explode(F.array(F.col("at") - 1, F.lit(-1))).alias("position"), right.alias("right"))
+    got = cells.groupBy("type", "position").agg(F.count_if("right").alias("correct"), F.count("*").alias("total"))
+    return got.withColumn("accuracy", F.col("correct") / F.col("total"))
+
+
+#: The whole-pool methods that tables over models keep.
+WHOLE_POOL_METHODS = ("dualend", "maxctx_topdown", "maxctx_bottomup")
+
+
+def cross_model_union(summaries: dict[str, DataFrame], family, every_method: bool = False) -> DataFrame:
+    """Stability summaries of several models (by tag) in one table with ``model_tag, model_family``; only whole-pool methods unless ``every_method``."""
+    out = None
+    for tag, table in summaries.items():
+        part = table.withColumn("model_tag", F.lit(tag)).withColumn("model_family", family(F.lit(tag)))
+        part = part if every_method else part.where(F.col("method").isin(*WHOLE_POOL_METHODS))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def parse_specs(specs: DataFrame) -> DataFrame:
+    """``name, family, system, reference, metric, direction`` of ``spec`` texts with six fields between bars; others are errors."""
+    f = F.split("spec", r"\|")
+    good = (F.size(f) == 6) & F.get(f, 5).isin("higher", "lower")
+    f = F.when(good, f).otherwise(F.raise_error(F.concat(F.lit("bad comparison: "), "spec")).cast("array<string>"))
+    names = ("name", "family", "system", "reference", "metric", "direction")
+    return specs.select(f.alias("f")).select(*[F.get("f", k).alias(n) for k, n in enumerate(names)])
+
+
+def valid_ordinals(pairs: DataFrame, order: list[str]) -> DataFrame:
+    """Comparisons ``…, n`` that have queries in common, with ``ordinal`` counted from 0 in the order of the loop; others take no number."""
+    return pairs.where("n > 0").withColumn("ordinal", F.row_number().over(Window.orderBy(*order)) - 1)

@@ -20,10 +20,13 @@ def _tokens(df: DataFrame, key: str) -> DataFrame:
 
 
 def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``item_id, doc_id, n``: distinct tokens in common. Documents' tokens meet queries' in one join; pairs without one never exist."""
+    """``item_id, doc_id, n``: distinct tokens in common. Documents' tokens meet queries' in one join; pairs without one never exist.
+
+    Persisted: a session's queries share one plan, which Spark recognises, so the join is done once.
+    """
     q = _tokens(read(spark, sf_dir, "benchmark"), "item_id").withColumnRenamed("id", "item_id")
     d = _tokens(read(spark, sf_dir, "documents"), "doc_id").withColumnRenamed("id", "doc_id")
-    return d.join(q, "tok").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    return d.join(q, "tok").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).persist()
 
 
 def first_stage(spark: SparkSession, sf_dir: str, hits: int = HITS) -> DataFrame:

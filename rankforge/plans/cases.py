@@ -1,0 +1,82 @@
+"""Registered queries of grammars over fixed cases, with the results that they must have as SQL values."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import labels, udfs
+from ..operators import stats
+from ..sources import readers
+from .register import query
+
+L, B, N = labels.LETTERS, labels.BIGRAMS, labels.NUMERIC
+
+#: Text, scheme, documents, strict, and the label that must be read.
+SINGLE = [
+    ("10", L, 10, True, "J"), ("**7**</s>", L, 10, True, "G"), ("**7**</s>", L, 3, True, None), ("D</s>", L, 3, True, None), ("Basking Shark</s>", L, 4, True, None),
+    ("AB</s>", B, 100, True, "AB"), ("D</s>", B, 100, True, "AD"), ("**7**</s>", B, 100, True, "AG"),
+    ("0", N, 50, True, None), ("-1", N, 50, True, None), ("51", N, 50, True, None), ("(Passage 21) is the least relevant", N, 50, True, "21"), ("D</s>", N, 100, True, "4"),
+    ("Passage [B]", L, 4, False, "B"), ("The best is [C].", L, 4, False, "C"), ("<think>A or B</think> D", L, 4, False, "D"), ("", L, 3, False, None), ("3", N, 5, False, "3"),
+]
+#: Text, scheme, documents, strict, and the best and worst label.
+DUAL = [
+    ("Best: 3, Worst: 4", N, 10, True, "3", "4"), ("**Best**: 3, **Worst**: 4", N, 10, True, "3", "4"), ("Best: 17, Worst: 42", N, 10, True, None, None), ("Best: 17, Worst: 42", N, 10, False, None, None),
+    ("Passage 3 and Passage 3, then 7", N, 10, True, "3", "7"), ("Passage 5 beats 7", N, 10, True, "5", "7"), ("only 5", N, 10, True, None, None), ("only 5", N, 10, False, None, None), ("Best: 2", N, 10, True, None, None),
+    ("Best: A, Worst: C", L, 4, True, "A", "C"), ("Best: [A], Worst: [C]", L, 4, True, "A", "C"), ("Best: 1, Worst: 3", L, 4, False, "A", "C"), ("Passage A, Passage C", L, 4, True, "A", "C"), ("A, C", L, 4, True, "A", "C"),
+    ("1, 3", L, 4, True, "A", "C"), ("Best: A, Worst: Q", L, 4, True, None, None), ("Most relevant: B. Least relevant: D", L, 4, True, "B", "D"), ("mangled output", N, 4, True, None, None),
+]
+#: Text, documents, and why it is no answer of the numeric scheme.
+NOOPS = [
+    ("None of the passages is relevant", 5, "lexical_refusal"), ("9", 5, "numeric_out_of_range"), ("Best: 3, Worst: 42", 10, "numeric_out_of_range"), ("4", 5, None),
+    ("again and again " * 12, 5, "degenerate_repetition"), (" ".join(f"word{k}" for k in range(40)), 5, "unparseable_after_exhaustion"), ("hm", 5, None),
+]
+#: Path below the results, and run, model, top, condition, method, family.
+PATHS = [
+    ("run3/qwen-dl19/top50_reverse/phase1/maxcontext_dualend.eval", "run3", "qwen-dl19", "top50", "reverse", "dualend", "phase1"),
+    ("run1/qwen-dl20/top100/max-context/topdown/x.eval", "run1", "qwen-dl20", "top100", "forward", "maxctx_topdown", "max-context"),
+    ("run1/m-dl20/top10_shuffle/max-context/bottomup/x.eval", "run1", "m-dl20", "top10", "shuffle", "maxctx_bottomup", "max-context"),
+    ("run2/m-dl19/original/bottomup/ws-3/bottomup_heapsort.eval", "run2", "m-dl19", "unknown", "forward", "orig_bu_ws3_heapsort", "original_bottomup_ws3"),
+    ("run2/m-dl19/original/bottomup/ws-ps/bottomup_bubblesort.eval", "run2", "m-dl19", "unknown", "forward", "orig_bu_wsps_bubblesort", "original_bottomup_wsps"),
+    ("run2/m-dl19/original/bottomup/bottomup_bubblesort.eval", "run2", "m-dl19", "unknown", "forward", "orig_bu_bubblesort", "original_bottomup"),
+    ("run2/m-dl19/original/ws-3/topdown_heapsort.eval", "run2", "m-dl19", "unknown", "forward", "orig_ws3_heapsort", "original_ws3"),
+    ("run2/m-dl19/original/ws-ps/topdown_heapsort.eval", "run2", "m-dl19", "unknown", "forward", "orig_wsps_heapsort", "original_wsps"),
+    ("run2/other/listwise.eval", "run2", "unknown", "unknown", "forward", "listwise", "unknown"),
+]
+#: Values, and the half width of their 95 % interval, from the t table.
+SMALL = [("two", [1.0, 3.0], 12.706), ("three", [1.0, 2.0, 3.0], 4.303 / 3**0.5), ("five", [1.0, 2.0, 3.0, 4.0, 5.0], 2.776 / 2**0.5)]
+
+
+def _sql(rows: list[tuple], names: str) -> str:
+    """The rows as SQL values."""
+    say = lambda v: "NULL" if v is None else f"{v}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(say, r)) + ')' for r in rows)}) AS t({names})"
+
+
+@query(_sql([(k, c[-1]) for k, c in enumerate(SINGLE)], "place, label"))
+def label_cases(spark, d):
+    rows = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(SINGLE)], "place int, raw string, scheme string, n int, strict boolean")
+    return rows.select("place", udfs.parse_single("raw", "scheme", "n", "strict").alias("label"))
+
+
+@query(_sql([(k, *c[-2:]) for k, c in enumerate(DUAL)], "place, best, worst"))
+def dual_label_cases(spark, d):
+    rows = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(DUAL)], "place int, raw string, scheme string, n int, strict boolean")
+    return rows.select("place", udfs.parse_dual("raw", "scheme", "n", "strict").alias("x")).select("place", "x.best", "x.worst")
+
+
+@query(_sql([(k, c[-1]) for k, c in enumerate(NOOPS)], "place, reason"))
+def noop_cases(spark, d):
+    rows = spark.createDataFrame([(k, *c[:2]) for k, c in enumerate(NOOPS)], "place int, raw string, n int")
+    return rows.select("place", udfs.noop_reason("raw", F.lit(N), "n").alias("reason"))
+
+
+@query(_sql(PATHS, "path, run_id, model, topk, condition, method, method_family"))
+def run_path_cases(spark, d):
+    rows = spark.createDataFrame([(p[0],) for p in PATHS], "path string")
+    return rows.select("path", readers.run_dimensions(F.col("path")).alias("x")).select("path", "x.*")
+
+
+@query(_sql([(n, len(v), round(sum(v) / len(v) - h, 5), round(sum(v) / len(v) + h, 5)) for n, v, h in SMALL], "name, n, ci95_low, ci95_high"))
+def small_sample_intervals(spark, d):
+    rows = spark.createDataFrame([(n, x) for n, v, _ in SMALL for x in v], "name string, value double")
+    return stats.summarize(rows, ["name"]).select("name", F.col("n").cast("int").alias("n"), F.round("ci95_low", 5).alias("ci95_low"), F.round("ci95_high", 5).alias("ci95_high"))

@@ -9,33 +9,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import labels, text, udfs
-from ..operators import audit, metrics, rerank, stats
+from ..operators import audit, metrics, rerank, stats, tournaments
 from ..operators.comparators import NoisyComparator, TextComparator
 from ..sources import readers, writers
 from ..streaming import jobs
-from . import base
+from . import base, cases, files  # noqa: F401  (cases and files register queries)
 from .base import LOG_SQL, POOL_SQL, VALUES_SQL
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .register import QUERIES, SQL, query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
 
 
 def _r(name: str, places: int = 6):
@@ -358,6 +345,30 @@ def nearest_rank_p95(spark, d):
     return stats.nearest_rank_p95(base.run_values(spark, d), ["method", "condition"])
 
 
+_BIAS_RELS = "array(1 + event_id % 3, event_id % 5, 1, 2, event_id % 7, 3, 2)"
+
+
+@query(f"""WITH l AS (SELECT event_type, 3 + event_id % 5 AS n, 1 + (user_id * 7 + event_id) % (4 + event_id % 5) AS sel, [1 + event_id % 3, event_id % 5, 1, 2, event_id % 7, 3, 2] AS r7 FROM events),
+c AS (SELECT CASE WHEN event_type < 'm' THEN 'best' ELSE 'dual_worst' END AS type, sel, r7[1:n] AS r FROM l WHERE sel <= n),
+k AS (SELECT type, sel - 1 AS place, (CASE WHEN type = 'best' THEN list_max(r) ELSE list_min(r) END) = r[sel] AS ok FROM c)
+SELECT type, position, count_if(ok) AS correct, count(*) AS total, round(count_if(ok) / count(*), 6) AS accuracy FROM (SELECT type, unnest([place, -1]) AS position, ok FROM k) GROUP BY ALL""")
+def selection_accuracy(spark, d):
+    log = base.read(spark, d, "events").join(base.comparison_log(spark, d).withColumnRenamed("type", "t0"), F.col("event_id").cast("string") == F.col("qid"))
+    kind = F.when(F.col("event_type") < "m", "best").otherwise("dual_worst")
+    log = log.select(kind.alias("type"), "positions", "selected", F.slice(F.expr(_BIAS_RELS), F.lit(1), F.size("positions")).alias("relevances"))
+    return stats.selection_accuracy(log).select("type", F.col("position").cast("long").alias("position"), "correct", "total", _r("accuracy"))
+
+
+@query(f"""WITH v AS ({VALUES_SQL}), s AS (SELECT method, condition, run_id, count(*) AS n, round(avg(value), 6) AS mean FROM v GROUP BY ALL)
+SELECT run_id AS model_tag, 'other' AS model_family, CASE method WHEN 'A' THEN 'dualend' WHEN 'N' THEN 'maxctx_topdown' END AS method, condition, n, mean FROM s WHERE method <> 'R'""")
+def cross_model_union(spark, d):
+    """The runs stand for models here; one of three methods is no whole-pool method."""
+    name = F.when(F.col("method") == "A", "dualend").when(F.col("method") == "N", "maxctx_topdown").otherwise("topdown_heapsort")
+    v = base.run_values(spark, d).withColumn("method", name).groupBy("method", "condition", "run_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    tables = {f"run{k}": v.where(F.col("run_id") == f"run{k}").drop("run_id") for k in range(1, 8)}
+    return stats.cross_model_union(tables, lambda tag: F.lit("other")).select("model_tag", "model_family", "method", "condition", "n", "mean")
+
+
 _MACRO = "SELECT o_orderstatus AS method, o_orderpriority AS dataset, (o_custkey % 9)::VARCHAR AS model, CASE WHEN count(*) > 5 THEN round(avg(o_totalprice), 4) END AS value, CASE WHEN count(*) > 5 THEN 'complete' ELSE 'incomplete' END AS status, count(*) AS queries FROM orders GROUP BY ALL"
 
 
@@ -402,30 +413,29 @@ def position_bias_adjusted(spark, d):
 # ---- audits -----------------------------------------------------------------------
 
 
-@query(base.pool_sql(20) + """, run AS (SELECT qid, docid FROM pool WHERE qid::INT % 5 <> 0 AND NOT (qid::INT % 7 = 1 AND pos = 2) UNION ALL SELECT qid, docid FROM pool WHERE qid::INT % 3 = 1 AND pos = 1 AND qid::INT % 5 <> 0 UNION ALL SELECT 'extra', 'd'),
-o AS (SELECT qid, count(*) AS n, count(DISTINCT docid) AS u FROM run GROUP BY qid), w AS (SELECT qid, count(DISTINCT docid) AS w FROM pool GROUP BY qid)
-SELECT 'duplicate_docids:' || qid AS error FROM o WHERE n > u UNION ALL SELECT 'depth_mismatch:' || qid FROM o JOIN w USING (qid) WHERE n <> least(w, 20)
-UNION ALL SELECT DISTINCT 'pool_membership_mismatch:' || qid FROM pool ANTI JOIN run USING (qid, docid) SEMI JOIN o USING (qid)
+@query(POOL_SQL + """, run AS (SELECT qid, docid FROM pool WHERE qid::INT % 5 <> 0 AND NOT (qid::INT % 7 = 1 AND pos = 2) UNION ALL SELECT qid, docid FROM pool WHERE qid::INT % 3 = 1 AND pos = 1 AND qid::INT % 5 <> 0 UNION ALL SELECT 'extra', 'd'),
+o AS (SELECT qid, count(*) AS n, count(DISTINCT docid) AS u, list_sort(list(DISTINCT docid)) AS s FROM run GROUP BY qid), w AS (SELECT qid, count(*) AS w, list_sort(list(DISTINCT docid)) AS s FROM pool GROUP BY qid)
+SELECT 'duplicate_docids:' || qid AS error FROM o WHERE n > u UNION ALL SELECT 'wrong_depth:' || qid || ':' || n || ':expected_' || w FROM o JOIN w USING (qid) WHERE n <> w
+UNION ALL SELECT 'pool_membership_mismatch:' || qid FROM o JOIN w USING (qid) WHERE o.s <> w.s
 UNION ALL SELECT 'missing_qids:' || count(*) FROM w ANTI JOIN o USING (qid) HAVING count(*) > 0 UNION ALL SELECT 'unexpected_qids:' || count(*) FROM o ANTI JOIN w USING (qid) HAVING count(*) > 0""")
 def audit_run(spark, d):
-    """At depth 20, which its SQL has."""
-    pool, n = base.first_stage(spark, d, 20), F.col("qid").cast("int")
+    pool, n = base.first_stage(spark, d), F.col("qid").cast("int")
     run = pool.where((n % 5 != 0) & ~((n % 7 == 1) & (F.col("pos") == 2))).select("qid", "docid").unionAll(pool.where((n % 3 == 1) & (F.col("pos") == 1) & (n % 5 != 0)).select("qid", "docid"))
     run = run.unionAll(spark.createDataFrame([("extra", "d")], "qid string, docid string"))
-    return audit.audit_run(run, pool.select("qid", "docid"), 20)
+    return audit.audit_run(run, pool.select("qid", "docid"))
 
 
 _TEL = "SELECT o_orderkey::VARCHAR AS qid, o_orderkey % 50 AS p, o_orderkey % 9 AS c, CASE WHEN o_orderkey % 17 = 0 THEN 1 ELSE 0 END AS off, CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS step FROM orders"
 
 
-@query(f"WITH t AS ({_TEL}) SELECT qid, 'actual_total' AS rule FROM t WHERE off = 1 UNION ALL SELECT qid, 'steps' FROM t WHERE step = 1")
+@query(f"WITH t AS ({_TEL}) SELECT qid, unnest(['nominal_total', 'actual_total']) AS rule FROM t WHERE off = 1 UNION ALL SELECT qid, 'steps' FROM t WHERE step = 1")
 def telemetry_violations(spark, d):
     k = F.col("o_orderkey")
     t = base.read(spark, d, "orders").select(k.cast("string").alias("qid"), (k % 50).alias("p"), (k % 9).alias("c"), (k % 17 == 0).cast("long").alias("off"), (k % 19 == 0).cast("long").alias("step"))
     zero = ", ".join(f"0L as retry_{x}_tokens" for x in ("prompt", "completion", "total"))
     t = t.selectExpr("1 as schema_version", "qid", "p as nominal_prompt_tokens", "c as nominal_completion_tokens", "p + c + off as nominal_total_tokens", zero.split(", ")[0], zero.split(", ")[1], zero.split(", ")[2], "p as actual_prompt_tokens", "c as actual_completion_tokens", "p + c as actual_total_tokens", "c as llm_calls", "c as retry_inclusive_llm_calls", "c + 1 + step as selection_steps", "1L as non_llm_bypasses", "2.0D as wall_seconds", "0.5D as retry_seconds", "1.5D as retry_excluded_wall_seconds")
-    # a nominal total that is off breaks its own identity too; only one of the two is reported here
-    return audit.telemetry_violations(t).where("rule <> 'nominal_total'")
+    # a nominal total that is off breaks its own identity too
+    return audit.telemetry_violations(t)
 
 
 @query(POOL_SQL + """, l AS (SELECT qid, pos, CASE WHEN qid::INT % 4 = 1 AND pos = 3 THEN 'x' || docid ELSE docid END AS docid, CASE WHEN qid::INT % 6 = 2 AND pos = 1 THEN score + 1 ELSE score END AS score FROM pool WHERE qid::INT % 9 <> 0 AND NOT (qid::INT % 9 = 4 AND pos = 20)),
@@ -459,6 +469,86 @@ def context_fit(spark, d):
     return audit.context_fit(base.read(spark, d, "documents").select(F.length("text").cast("long").alias("tokens")), 2000)
 
 
+_TEL2 = "SELECT o_orderkey::VARCHAR AS qid, o_orderkey % 11 AS k FROM orders"
+
+
+@query(f"WITH t AS ({_TEL2}) SELECT qid, 'status' AS rule FROM t WHERE k = 0 UNION ALL SELECT qid, 'depth' FROM t WHERE k = 1 UNION ALL SELECT qid, 'method' FROM t WHERE k = 2 UNION ALL SELECT qid, 'not_negative' FROM t WHERE k = 3 UNION ALL SELECT qid, 'steps' FROM t WHERE k = 3 UNION ALL SELECT qid, 'version' FROM t WHERE k = 4")
+def native_row_violations(spark, d):
+    k = F.col("o_orderkey") % 11
+    t = base.read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("qid"), F.when(k == 0, "error").otherwise("ok").alias("status"), F.when(k == 1, 0).otherwise(10).alias("output_depth"), F.when(k == 2, "").otherwise("m").alias("method"), F.when(k == 3, -1).otherwise(5).cast("long").alias("llm_calls"), F.when(k == 4, 2).otherwise(1).alias("schema_version"))
+    zero = {f"{part}_{what}_tokens": F.lit(0) for part in ("nominal", "retry", "actual") for what in ("prompt", "completion", "total")}
+    t = t.withColumns(zero | {"retry_inclusive_llm_calls": F.lit(5), "selection_steps": F.lit(6), "non_llm_bypasses": F.lit(1), "wall_seconds": F.lit(2.0), "retry_seconds": F.lit(0.5), "retry_excluded_wall_seconds": F.lit(1.5)})
+    return audit.native_row_violations(t)
+
+
+@query(POOL_SQL + """ SELECT sha256('[' || string_agg('["' || qid || '","' || docid || '",' || rel || ',"0"]', ',' ORDER BY qid, docid) || ']') AS hash FROM qrels WHERE rel > 0""")
+def qrels_hash(spark, d):
+    return audit.qrels_hash(base.judgements(spark, d))
+
+
+@query(POOL_SQL + """, h AS (SELECT qid, string_agg('{"docid":"' || docid || '","rank":' || pos || '}', ',' ORDER BY pos) AS hits FROM pool GROUP BY qid)
+SELECT sha256(string_agg('{"hits":[' || hits || '],"qid":"' || qid || '","query":"q ' || qid || '"}' || chr(10), '' ORDER BY qid)) AS hash FROM h""")
+def input_hash(spark, d):
+    hits = base.first_stage(spark, d).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "docid"))), lambda x: F.struct(x["pos"].alias("rank"), x["docid"].alias("docid"))).alias("hits"))
+    record = F.to_json(F.struct("qid", F.concat(F.lit("q "), "qid").alias("query"), "hits"))
+    return audit.input_hash(hits.select("qid", record.alias("record")))
+
+
+@query(POOL_SQL + " SELECT qid, pos, docid, score, 'local ' || docid AS content FROM pool")
+def local_passages(spark, d):
+    pool = base.first_stage(spark, d).select("qid", F.col("pos").cast("long").alias("pos"), "docid", "score")
+    return audit.local_passages(pool.withColumn("content", F.lit("official")), pool.withColumn("content", F.concat(F.lit("local "), "docid")))
+
+
+# ---- tournaments ----------------------------------------------------------------------
+
+_EVENTS = "SELECT o_custkey::VARCHAR AS qid, o_orderkey, 2 + o_orderkey % 3 AS m, o_orderkey % 5 AS s, o_orderkey % 2 AS dup, o_orderkey % 7 = 0 AS bad FROM orders"
+
+
+@query(f"""WITH e AS ({_EVENTS}), c AS (SELECT *, s - CASE WHEN dup = 1 AND s > 1 THEN 1 ELSE 0 END AS u FROM e)
+SELECT qid, count(*) AS nominal_calls, count_if(bad) AS retry_calls, count(*) + count_if(bad) AS retry_inclusive_llm_calls, sum(s - u)::BIGINT AS duplicate_slots, count_if(s > u) AS duplicate_calls, sum(greatest(m - s, 0))::BIGINT AS under_selection_slots, count_if(m > s) AS under_selection_calls,
+sum(greatest(s - m, 0))::BIGINT AS over_selection_slots, count_if(s > m) AS over_selection_calls, count_if(bad) AS format_repair_successes, greatest(10 - 0.2 * count_if(bad), 0)::DOUBLE AS retry_excluded_wall_seconds FROM c GROUP BY qid""")
+def tournament_telemetry(spark, d):
+    """Events of one tournament call each: selections of 0 to 4 with doubles, every seventh after a repair."""
+    k = F.col("o_orderkey")
+    names = F.slice(F.when(k % 2 == 1, F.array(*map(F.lit, "aabcd"))).otherwise(F.array(*map(F.lit, "abcde"))), F.lit(1), (k % 5).cast("int"))
+    bad = k % 7 == 0
+    costs = [F.lit(10).alias("prompt_tokens"), F.lit(2).alias("completion_tokens"), F.lit(0.5).alias("duration_seconds"), F.when(bad, 0.2).otherwise(0.0).alias("retry_seconds")]
+    e = base.read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("qid"), (2 + k % 3).alias("m"), names.alias("selected"), bad.cast("int").alias("retry_calls"), F.lit(True).alias("format_valid"), (~bad).alias("initial_format_valid"), bad.alias("format_repair_succeeded"), *costs)
+    got = tournaments.tournament_telemetry(tournaments.selection_counts(e), e.select("qid").distinct().withColumn("wall_seconds", F.lit(10.0)))
+    return got.select("qid", "nominal_calls", F.col("retry_calls").cast("long").alias("retry_calls"), "retry_inclusive_llm_calls", "duplicate_slots", "duplicate_calls", "under_selection_slots", "under_selection_calls", "over_selection_slots", "over_selection_calls", "format_repair_successes", _r("retry_excluded_wall_seconds"))
+
+
+@query(POOL_SQL + ", s AS (SELECT qid, docid FROM pool WHERE hidden::BIGINT % 2 = 0 UNION ALL SELECT qid, docid FROM pool WHERE hidden::BIGINT % 3 = 0), c AS (SELECT qid, docid, count(*) AS points FROM s GROUP BY ALL) SELECT qid, docid, coalesce(points, 0) AS points, row_number() OVER (PARTITION BY qid ORDER BY coalesce(points, 0) DESC, pos) AS rank FROM pool LEFT JOIN c USING (qid, docid)")
+def tournament_points(spark, d):
+    pool = base.first_stage(spark, d)
+    some = lambda k: pool.where(F.col("hidden").cast("long") % k == 0).select("qid", "docid")
+    return tournaments.tournament_points(some(2).unionAll(some(3)), pool).select("qid", "docid", "points", F.col("rank").cast("long").alias("rank"))
+
+
+# ---- other drivers of procedures ------------------------------------------------------
+
+
+@query(POOL_SQL + _SORTED.format(k=10))
+def rerank_batched(spark, d):
+    """Many queries' requests answered in one batch each round."""
+    got = rerank.rerank_batched(base.first_stage(spark, d), "topdown_heapsort", 10, rerank.answer_by_score, c=3)
+    return rerank.rankings(got).select("qid", "docid", F.col("rank").cast("long").alias("rank"))
+
+
+@query(POOL_SQL + """, a AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hidden DESC) AS r FROM pool), b AS (SELECT qid, docid, CASE WHEN r <= 10 THEN r ELSE 10 + row_number() OVER (PARTITION BY qid, r > 10 ORDER BY pos) END AS rank FROM a)
+SELECT qid, docid, rank, round(2 / (60 + rank), 8) AS score FROM b""")
+def bidirectional_ensemble(spark, d):
+    """Top-down and bottom-up heaps of the same pool, fused by reciprocal rank; with exact answers the two agree."""
+    got = rerank.ensemble(base.first_stage(spark, d), 10, c=3)
+    return got.select("qid", "docid", F.col("rank").cast("long").alias("rank"), _r("score", 8))
+
+
+@query(POOL_SQL + " SELECT qid, docid, row_number() OVER (PARTITION BY qid ORDER BY pos DESC) AS pos FROM pool")
+def input_order(spark, d):
+    return readers.input_order(base.first_stage(spark, d), "inverse").select("qid", "docid", F.col("pos").cast("long").alias("pos"))
+
+
 # ---- functions ----------------------------------------------------------------------
 
 

@@ -14,14 +14,15 @@ def _fail(cond: Column, message: Column | str, value: Column) -> Column:
     return F.when(cond, F.raise_error(message).cast("string")).otherwise(value)
 
 
-def read_run(spark: SparkSession, path, strict: bool = True) -> DataFrame:
-    """Six-column run lines. ``pos`` is the order within a query by the file's rank.
+def parse_run(lines: DataFrame, strict: bool = True) -> DataFrame:
+    """Run rows of text lines in ``value``; ``pos`` is the order within a query by the file's rank.
 
-    Under ``strict`` a malformed line is an error; else it is dropped.
+    Under ``strict`` a line without six fields, or without numbers, is an error; else it is dropped.
     """
     f = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    ok = (F.size(f) == 6) & F.expr("try_cast(split(trim(value), '\\\\s+')[3] as int)").isNotNull() & F.expr("try_cast(split(trim(value), '\\\\s+')[4] as double)").isNotNull()
+    lines = lines.where(F.trim("value") != "")
+    rank, score = F.get(f, 3).try_cast("int"), F.get(f, 4).try_cast("double")
+    ok = (F.size(f) == 6) & rank.isNotNull() & score.isNotNull()
     if strict:
         f = F.when(ok, f).otherwise(F.raise_error(F.concat(F.lit("malformed run line: "), "value")).cast("array<string>"))
     else:
@@ -30,19 +31,36 @@ def read_run(spark: SparkSession, path, strict: bool = True) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("rank", F.desc("score"), "docid")).cast("long"))
 
 
+def read_run(spark: SparkSession, path, strict: bool = True) -> DataFrame:
+    """Six-column run files; see ``parse_run``."""
+    return parse_run(spark.read.text(path), strict)
+
+
+def numbered_lines(spark: SparkSession, path) -> DataFrame:
+    """``path, line_number, value``: a file's lines, numbered from 1. Files are read whole, so each must be as small as a run."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("k", "value"))
+    return text.select("path", (F.col("k") + 1).alias("line_number"), "value")
+
+
 def top_hits(run: DataFrame, hits: int) -> DataFrame:
     """First ``hits`` of each query, before any join: joins only see what is kept."""
     return run.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("pos"))).where(F.col("pos") <= hits)
 
 
 def exact_depth(run: DataFrame, depth: int = 100) -> DataFrame:
-    """The run, with an error unless each query has exactly ``depth`` distinct documents."""
+    """The first ``depth`` rows of each query, with an error unless they are ``depth`` distinct documents."""
+    run = top_hits(run, depth)
     n = run.groupBy("qid").agg(F.count("*").alias("__n"), F.count_distinct("docid").alias("__u"))
     joined = run.join(n, "qid")
     bad = (F.col("__n") != depth) | (F.col("__u") != depth)
     return joined.withColumn("docid", _fail(bad, F.concat(F.lit("wrong depth for "), "qid"), F.col("docid"))).drop("__n", "__u")
 
 
+def strict_pools(run: DataFrame, cap: int = 100, limit: int | None = None) -> DataFrame:
+    """``qid, docids`` of the first ``limit`` queries, each pool of exactly ``cap`` distinct documents: short ones and doubled ones are errors."""
+    return expected_pools(exact_depth(run if limit is None else first_queries(run, limit), cap), cap)
+
+
 def expected_pools(run: DataFrame, cap: int = 100) -> DataFrame:
     return top_hits(run, cap).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "docid"))), lambda x: x["docid"]).alias("docids"))
 
@@ -79,15 +97,22 @@ def read_hits_jsonl(spark: SparkSession, path, depth: int = 100) -> DataFrame:
     """A row for each hit of ``{qid, query, hits: [{docid, rank, score, content}]}`` lines."""
     rows = read_jsonl(spark, path, "qid string, query string, hits array<struct<docid:string,rank:int,score:double,content:string>>")
     bad = (F.size("hits") != depth) | (F.size(F.array_distinct(F.transform("hits", lambda h: h["docid"]))) != depth)
+    bad = bad | (F.count("*").over(Window.partitionBy("qid")) > 1)  # one line for each query
     rows = rows.withColumn("qid", _fail(bad, F.concat(F.lit("wrong hits for "), "qid"), F.col("qid")))
     return rows.select("qid", "query", F.posexplode("hits").alias("pos", "h")).select("qid", "query", (F.col("pos") + 1).alias("pos"), "h.*")
 
 
 def read_jsonl(spark: SparkSession, path, schema_: str, strict: bool = True) -> DataFrame:
+    """JSON lines; blank ones are skipped. Under ``strict`` one that isn't JSON is an error, else a row of nulls."""
     reader = spark.read.schema(schema_).option("mode", "FAILFAST" if strict else "PERMISSIVE")
     return reader.json(path)
 
 
+def broken_json(lines: DataFrame) -> DataFrame:
+    """``path, line_number, value`` of the lines, as ``numbered_lines`` gives them, that are no JSON."""
+    return lines.where((F.trim("value") != "") & F.try_parse_json("value").isNull())
+
+
 def read_comparisons(spark: SparkSession, path) -> DataFrame:
     return read_jsonl(spark, path, schema.COMPARISON).withColumn("label_scheme", F.coalesce("label_scheme", F.lit("letters_a_w")))
 
@@ -103,17 +128,24 @@ def read_telemetry(spark: SparkSession, path) -> DataFrame:
 # ---- evaluations ----------------------------------------------------------------
 
 
+def parse_evals(lines: DataFrame) -> DataFrame:
+    """``metric, qid, value, path, at`` of lines ``value, path, at`` with three fields and a number."""
+    f = F.split(F.trim("value"), r"\s+")
+    rows = lines.where(F.size(f) == 3).select(F.get(f, 0).alias("metric"), F.get(f, 1).alias("qid"), F.get(f, 2).try_cast("double").alias("value"), "path", "at")
+    return rows.where("value is not null")
+
+
 def read_evals(spark: SparkSession, path) -> DataFrame:
     """All ``metric qid value`` lines with three fields and a number, as ``metric, qid, value, path, at``."""
-    f = F.split(F.trim("value"), r"\s+")
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"))
-    return lines.where(F.size(f) == 3).select(F.get(f, 0).alias("metric"), F.get(f, 1).alias("qid"), F.expr("try_cast(split(trim(value), '\\\\s+')[2] as double)").alias("value"), "path", "at").where("value is not null")
+    return parse_evals(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at")))
 
 
 def per_query(evals: DataFrame, metric: str, strict: bool = True) -> DataFrame:
-    """Rows of one metric without ``all``. A query twice is an error, or the last line counts."""
+    """Rows of one metric without ``all``. Under ``strict`` a query twice, or no row at all, is an error; else the last line counts."""
     rows = evals.where((F.col("metric") == metric) & (F.col("qid") != "all"))
     g = rows.groupBy("metric", "qid").agg(F.max_by("value", "at").alias("value"), F.count("*").alias("n"))
+    if strict and g.isEmpty():
+        raise ValueError(f"no rows for metric {metric}")
     qid = _fail(F.col("n") > 1, F.concat(F.lit("duplicate qid "), "qid"), F.col("qid")) if strict else F.col("qid")
     return g.select("metric", qid.alias("qid"), "value")
 
@@ -137,14 +169,41 @@ LOG_LINES = {
 }
 
 
+def _measures(text: DataFrame, patterns: dict[str, str], flags: str = "") -> DataFrame:
+    """``path, metric, value`` for every pattern, null where it isn't found in the ``value`` of a ``path``."""
+    found = [F.struct(F.lit(k).alias("metric"), F.nullif(F.regexp_extract("value", flags + p, 1), F.lit("")).try_cast("double").alias("value")) for k, p in patterns.items()]
+    return text.select("path", F.explode(F.array(*found)).alias("m")).select("path", "m.metric", "m.value")
+
+
+def log_measures(text: DataFrame) -> DataFrame:
+    """``path, metric, value`` for each measure found in log texts ``path, value``; prompt and completion tokens also as their total. No retries line means 0."""
+    found = _measures(text, LOG_LINES).withColumn("value", F.when(F.col("metric") == "retries_fired", F.coalesce("value", F.lit(0.0))).otherwise(F.col("value")))
+    tokens = found.where("metric in ('avg_prompt_tokens', 'avg_completion_tokens')").groupBy("path").agg(F.when(F.count("value") == 2, F.sum("value")).alias("value"))
+    return found.unionAll(tokens.select("path", F.lit("avg_total_tokens"), "value")).where("value is not null")
+
+
 def read_logs(spark: SparkSession, path) -> DataFrame:
-    """``path, metric, value`` for each measure found; prompt and completion tokens also as their total. No retries line means 0."""
-    text = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    cols = {k: F.expr(f"try_cast(nullif(regexp_extract(value, '{p.replace(chr(92), chr(92) * 2)}', 1), '') as double)") for k, p in LOG_LINES.items()}
-    cols["retries_fired"] = F.coalesce(cols["retries_fired"], F.lit(0.0))
-    cols["avg_total_tokens"] = cols["avg_prompt_tokens"] + cols["avg_completion_tokens"]
-    cells = F.array(*[F.struct(F.lit(k).alias("metric"), c.alias("value")) for k, c in cols.items()])
-    return text.select("path", F.explode(cells).alias("m")).select("path", "m.metric", "m.value").where("value is not null")
+    return log_measures(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path")))
+
+
+#: The counters of fallbacks in a log, with their labels, and how they are aggregated.
+FALLBACK_LINES = {
+    "parse_fallbacks": ("Avg parse fallbacks", "average_per_query"),
+    "strict_parse_fallbacks": ("Avg strict parse fallbacks", "average_per_query"),
+    "unparseable_after_exhaustion_fallbacks": ("Avg unparseable after exhaustion fallbacks", "average_per_query"),
+    "bm25_bypasses": ("Avg BM25 bypass", "average_per_query"),
+    "parse_failure_bm25_fallback": ("Avg parse_failure_bm25_fallback", "average_per_query"),
+    "retries_fired": ("Total retries fired", "total"),
+}
+_NUMBER = r":\s*([-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?)"
+
+
+def fallback_counters(text: DataFrame) -> DataFrame:
+    """``path, counter, value, aggregation``, a row for each counter of each log text ``path, value``: null if it isn't there, but 0 retries."""
+    found = _measures(text, {k: label + _NUMBER for k, (label, _) in FALLBACK_LINES.items()}, "(?i)")
+    how = F.create_map(*[F.lit(x) for k, (_, kind) in FALLBACK_LINES.items() for x in (k, kind)])
+    value = F.when(F.col("metric") == "retries_fired", F.coalesce("value", F.lit(0.0))).otherwise(F.col("value"))
+    return found.select("path", F.col("metric").alias("counter"), value.alias("value"), how[F.col("metric")].alias("aggregation"))
 
 
 def cell_of(path: Column) -> Column:
@@ -154,13 +213,51 @@ def cell_of(path: Column) -> Column:
     return F.when(path.rlike(parts), F.struct(at(1).alias("tag"), at(2).alias("model"), at(3).alias("dataset"), at(4).alias("method"), at(5).cast("int").alias("pool"), F.when(at(6) == "", "forward").otherwise(at(6)).alias("condition")))
 
 
+#: Directories that name a method family, the prefix of the method, and the part taken off the file's stem. First match wins.
+METHOD_PATHS = [
+    ("/max-context/topdown/", "max-context", "maxctx_topdown", None),
+    ("/max-context/bottomup/", "max-context", "maxctx_bottomup", None),
+    ("/original/bottomup/ws-3/", "original_bottomup_ws3", "orig_bu_ws3_", "bottomup_"),
+    ("/original/bottomup/ws-ps/", "original_bottomup_wsps", "orig_bu_wsps_", "bottomup_"),
+    ("/original/bottomup/", "original_bottomup", "orig_bu_", "bottomup_"),
+    ("/original/ws-3/", "original_ws3", "orig_ws3_", "topdown_"),
+    ("/original/ws-ps/", "original_wsps", "orig_wsps_", "topdown_"),
+]
+
+
 def run_dimensions(path: Column) -> Column:
-    """``topk, condition, model, method`` read off the parts of a path, null where there are none."""
-    some = lambda p, k: F.nullif(F.regexp_extract(path, p, k), F.lit(""))
-    # fixed values: method directories by the words in them, first match wins
-    names = ["maxcontext_dualend", "maxcontext_topdown", "maxcontext_bottomup", "dualend_cocktail", "dualend_selection", "bottomup_heapsort", "bottomup_bubblesort", "topdown_heapsort", "topdown_bubblesort"]
-    method = F.coalesce(*[F.when(path.contains(n), F.lit(n)) for n in names], F.lit("unknown"))
-    return F.struct(some(r"top(\d+)(?:_(\w+))?/", 1).cast("int").alias("topk"), F.coalesce(some(r"top\d+_(\w+)/", 1), F.lit("forward")).alias("condition"), some(r"([^/]+-dl\d+)/", 1).alias("model"), method.alias("method"))
+    """``run_id, model, topk, condition, method, method_family`` of a path below the folder of results."""
+    parts, slashed = F.split(path, "/"), F.concat(F.lit("/"), path, F.lit("/"))
+    first = lambda pattern: F.get(F.filter(parts, lambda x: x.rlike(pattern)), 0)
+    top = first(r"^top\d+(_(reverse|shuffle))?$")
+    stem = F.regexp_replace(F.element_at(parts, -1), r"(.)\.[^.]*$", "$1")
+    dual = slashed.contains("/phase1/") & (stem == "maxcontext_dualend")
+    method, family = F.when(dual, "dualend"), F.when(dual, "phase1")
+    for folder, name, prefix, off in METHOD_PATHS:
+        inside = slashed.contains(folder)
+        method = method.when(inside, F.lit(prefix) if off is None else F.concat(F.lit(prefix), F.replace(stem, F.lit(off), F.lit(""))))
+        family = family.when(inside, name)
+    condition = F.coalesce(F.nullif(F.regexp_extract(top, r"_(reverse|shuffle)$", 1), F.lit("")), F.lit("forward"))
+    return F.struct(
+        F.get(parts, 0).alias("run_id"),
+        F.coalesce(first(r"^.+-dl\d+$"), F.lit("unknown")).alias("model"),
+        F.coalesce(F.nullif(F.regexp_extract(top, r"^(top\d+)", 1), F.lit("")), F.lit("unknown")).alias("topk"),
+        condition.alias("condition"),
+        method.otherwise(stem).alias("method"),
+        family.otherwise("unknown").alias("method_family"),
+    )
+
+
+def input_order(pool: DataFrame, how: str, seed: int = 929) -> DataFrame:
+    """The pool with ``pos`` in reverse (``inverse``) or shuffled (``random``: by a hash of seed, query and document, so that reruns agree)."""
+    key = {"inverse": F.desc("pos"), "random": F.xxhash64(F.lit(seed), "qid", "docid")}[how]
+    return pool.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy(key, "docid")))
+
+
+def discover(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """``path, length`` of the files below ``root`` whose name fits the glob ``pattern``, at any depth; contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
+    return files.select("path", "length")
 
 
 def collect_attempts(manifests: DataFrame, telemetry: DataFrame, smoke: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -60,8 +60,8 @@ def test_audit_strings(spark):
     pool = spark.createDataFrame([("q1", "a"), ("q1", "b"), ("q2", "c")], "qid string, docid string")
     clean = spark.createDataFrame([("q1", "b"), ("q1", "a"), ("q2", "c")], "qid string, docid string")
     dirty = spark.createDataFrame([("q1", "b"), ("q1", "b")], "qid string, docid string")
-    assert audit.audit_run(clean, pool, 100).count() == 0
-    assert {r.error for r in audit.audit_run(dirty, pool, 100).collect()} == {"duplicate_docids:q1", "pool_membership_mismatch:q1", "missing_qids:1"}
+    assert audit.audit_run(clean, pool).count() == 0
+    assert {r.error for r in audit.audit_run(dirty, pool).collect()} == {"duplicate_docids:q1", "pool_membership_mismatch:q1", "missing_qids:1"}
 
 
 def test_paired_mismatch_is_an_error(spark):
