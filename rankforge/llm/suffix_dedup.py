@@ -203,4 +203,4 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length < 32:
         raise ValueError("length must be 32 bytes or more")
     talk = Refinement(length)
-    return rounds(docs, id_col, text_col, [talk.ask_suffixes, talk.ask_extents, talk.ask_windows], [holders, settle, earlier], talk.finish, RESULT, group_bytes=2 << 20, bucket_bytes=16 << 20)
+    return rounds(docs, id_col, text_col, [talk.ask_suffixes, talk.ask_extents, talk.ask_windows], [holders, settle, earlier], talk.finish, RESULT, group_bytes=1 << 20, bucket_bytes=8 << 20)
