@@ -30,12 +30,12 @@ def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_stage(spark: SparkSession, sf_dir: str, hits: int = HITS) -> DataFrame:
-    """``qid, pos, docid, score, hidden``: the pool of each query and what a perfect comparator sees."""
+    """``qid, pos, docid, score, hidden``: the pool of each query and what a perfect comparator sees; persisted, as ``overlaps`` is."""
     o = overlaps(spark, sf_dir).withColumn("docid", F.col("doc_id").cast("string"))
     pos = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("n"), "docid"))
     o = o.withColumn("pos", pos).where(F.col("pos") <= hits)
     hidden = ((F.col("doc_id") * 7919 + F.col("item_id") * 104729) % 1000003).cast("double")
-    return o.select(F.col("item_id").cast("string").alias("qid"), "pos", "docid", F.col("n").cast("double").alias("score"), hidden.alias("hidden"))
+    return o.select(F.col("item_id").cast("string").alias("qid"), "pos", "docid", F.col("n").cast("double").alias("score"), hidden.alias("hidden")).persist()
 
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = _tokens(read(spark, sf_dir, "benchmark"), "item_id").groupBy(F.col("id").alias("item_id")).agg(F.count("*").alias("size"))
     o = overlaps(spark, sf_dir).join(size, "item_id")
     rel = F.when(10 * F.col("n") >= 6 * F.col("size"), 2).when(10 * F.col("n") >= 3 * F.col("size"), 1).otherwise(0)
-    return o.select(F.col("item_id").cast("string").alias("qid"), F.col("doc_id").cast("string").alias("docid"), rel.alias("rel")).where("rel > 0")
+    return o.select(F.col("item_id").cast("string").alias("qid"), F.col("doc_id").cast("string").alias("docid"), rel.alias("rel")).where("rel > 0").persist()
 
 
 def pool_sql(hits: int = HITS) -> str:
