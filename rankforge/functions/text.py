@@ -15,11 +15,6 @@ def cap_words(text: Column, words: int = 300) -> Column:
     return truncate(text, words)
 
 
-def fit_words(text: Column, words: int, budget: int, per_word: float = 1.0) -> Column:
-    """As many of the first ``words`` words as a budget of tokens holds."""
-    return truncate(text, max(0, min(words, int(budget / per_word))))
-
-
 def normal_hash(text: Column) -> Column:
     """sha256 of the text with runs of (Unicode) white space as one space."""
     return F.sha2(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 256)
@@ -58,11 +53,3 @@ def permutation(response: Column, n: Column) -> Column:
     named = F.array_distinct(F.filter(named, lambda x: (x >= 0) & (x < n)))  # a number too long is null, hence out of range
     every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return F.concat(named, F.array_except(every, named))
-
-
-def prompt(kind: str, query: Column, passages: Column) -> Column:
-    """A prompt for ``best``, ``worst`` or ``dual`` over an array of passages, numbered from 1."""
-    ask = {"best": "which one is most relevant to the query", "worst": "which one is least relevant to the query", "dual": "which one is most and which one is least relevant to the query"}[kind]
-    reply = {"best": "Answer with its number only.", "worst": "Answer with its number only.", "dual": "Answer as 'Best: <number>, Worst: <number>'."}[kind]
-    shown = F.array_join(F.transform(passages, lambda p, i: F.concat(F.lit("Passage "), (i + 1).cast("string"), F.lit(": \""), p, F.lit("\""))), "\n\n")
-    return F.concat(F.lit("Given the query \""), query, F.lit(f"\", {ask}?\n\n"), shown, F.lit(f"\n\n{reply}"))

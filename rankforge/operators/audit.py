@@ -217,12 +217,75 @@ def evaluation_gate(aggregates: DataFrame, required: list[str]) -> DataFrame:
     return got.where("value is null or isnan(value) or value <= 0").select("metric", F.when(F.col("value").isNull(), "missing").otherwise("not_positive").alias("reason"))
 
 
-def final_attempt(run: DataFrame, pools: DataFrame, telemetry: DataFrame, depth: int) -> DataFrame:
-    """All that must hold before an attempt is done: ``check, detail`` of what doesn't."""
-    parts = [
-        audit_run(run.select("qid", "docid"), top_hits(pools, depth).select("qid", "docid")).select(F.lit("run").alias("check"), F.col("error").alias("detail")),
-        telemetry_violations(telemetry).select(F.lit("telemetry").alias("check"), F.concat_ws(":", "qid", "rule").alias("detail")),
-        completeness(telemetry, pools).select(F.lit("completeness").alias("check"), F.concat_ws(":", "qid", F.col("n").cast("string")).alias("detail")),
-        query_sets(pools, telemetry, run).select(F.lit("queries").alias("check"), F.concat_ws(":", "qid", "missing_in").alias("detail")),
-    ]
-    return reduce(DataFrame.unionAll, parts)
+def _attempt_counts(run: DataFrame, expected: DataFrame) -> DataFrame:
+    """``qid, n, distinct, outside, size``: rows, documents and documents beyond the pool of a run, and the pool's size; one shuffle by document, one by query."""
+    sides = run.select("qid", "docid", F.lit(1).alias("r"), F.lit(0).alias("p")).unionAll(expected.select("qid", "docid", F.lit(0), F.lit(1)))
+    cells = sides.groupBy("qid", "docid").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
+    return cells.groupBy("qid").agg(F.sum("r").alias("n"), F.count_if(F.expr("r > 0")).alias("distinct"), F.count_if(F.expr("r > 0 and p = 0")).alias("outside"), F.sum("p").alias("size"))
+
+
+def _reasons(df: DataFrame, rules: dict[str, str]) -> DataFrame:
+    """``qid, reason`` for each rule that isn't true of a row; null is not true."""
+    broken = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.lit(name)) for name, rule in rules.items()]))
+    return df.select("qid", F.explode(broken).alias("reason"))
+
+
+def _as_launched(launch: dict, names: tuple[str, ...]) -> dict[str, str]:
+    say = lambda v: str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return {f"launch:{name}": f"{name} <=> {say(launch[name])}" for name in names}
+
+
+def _attempt(run: DataFrame, told: DataFrame, expected: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Counts of an attempt, and what is wrong with its sets of queries, its depths and its members; ``told`` has a row for each answered query."""
+    counts = _attempt_counts(run, expected)
+    both = counts.join(told.groupBy("qid").agg(F.count("*").alias("told")), "qid", "full")
+    rules = {
+        "not_in_run": "n > 0",
+        "not_in_telemetry": "told > 0",
+        "not_in_first_stage": "size > 0",
+        "repeated_in_telemetry": "coalesce(told, 0) <= 1",
+        "depth_or_uniqueness": f"coalesce(n, 0) = 0 or (n = {depth} and distinct = {depth})",
+        "outside_pool": "coalesce(size, 0) = 0 or outside = 0",
+    }
+    return counts, _reasons(both, rules)
+
+
+def native_attempt(run: DataFrame, telemetry: DataFrame, pools: DataFrame, launch: dict, summary: DataFrame) -> DataFrame:
+    """``qid, reason`` of all that keeps an attempt from being done; none if it is.
+
+    ``launch`` has ``method, model, dataset, output_objective, output_depth,
+    pool_cap``, which each row of ``telemetry`` must repeat, failed ones
+    too. A failed query may be told of again, an answered one may not. The
+    run, the answered queries and the first stage cut to ``pool_cap`` must
+    have the same queries. ``summary`` is one row of totals over the
+    answered queries; what differs has a null ``qid``. Null fields differ
+    from all values; an empty attempt of an empty first stage is only held
+    against its summary.
+    """
+    if launch["pool_cap"] < launch["output_depth"]:
+        raise ValueError(f"a pool of {launch['pool_cap']} can't fill a depth of {launch['output_depth']}")
+    answered = telemetry.where("status = 'ok'")
+    counts, found = _attempt(run, answered, top_hits(pools, launch["pool_cap"]), launch["output_depth"])
+    rows = telemetry.join(counts.select("qid", F.col("size").alias("__size")), "qid", "left")
+    rules = _as_launched(launch, ("method", "model", "dataset", "output_objective", "output_depth", "pool_cap"))
+    rules |= {"status": "status in ('ok', 'error')", "outside_first_stage": "__size > 0", "live_pool_size": "coalesce(__size, 0) = 0 or live_pool_size = __size"}
+    sums = ("llm_calls", "actual_prompt_tokens", "actual_completion_tokens")
+    total = answered.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"want_{c}") for c in sums]).crossJoin(counts.agg(F.count_if(F.expr("n > 0")).alias("want_queries")))  # one row each
+    held = {f"summary:{c}": f"{c} <=> want_{c}" for c in ("queries", *sums)} | {"summary:output_depth": f"output_depth <=> {launch['output_depth']}"}
+    totals = _reasons(summary.crossJoin(total).withColumn("qid", F.lit(None).cast("string")), held)
+    own = telemetry_violations(telemetry).withColumnRenamed("rule", "reason")
+    return reduce(DataFrame.unionAll, [found, _reasons(rows, rules), own, totals])
+
+
+def official_attempt(run: DataFrame, telemetry: DataFrame, pools: DataFrame, launch: dict, calls: int | None = None, hits: int = 100) -> DataFrame:
+    """``qid, reason`` of what is wrong with an attempt of another project's method.
+
+    Sets of queries, depth and pools as in ``native_attempt``; each row must
+    repeat the launch's ``output_objective`` and ``output_depth`` and have
+    ``llm_calls`` above 0, and as many as ``calls`` where that is given.
+    """
+    _, found = _attempt(run, telemetry, top_hits(pools, hits), launch["output_depth"])
+    rules = _as_launched(launch, ("output_objective", "output_depth")) | {"no_calls": "llm_calls > 0"}
+    if calls is not None:
+        rules["calls"] = f"coalesce(llm_calls, 0) <= 0 or llm_calls = {calls}"
+    return found.unionAll(_reasons(telemetry, rules))

@@ -13,7 +13,7 @@ from ..operators import audit, metrics, rerank, stats, tournaments
 from ..operators.comparators import NoisyComparator, TextComparator
 from ..sources import readers, writers
 from ..streaming import jobs
-from . import base, cases, files  # noqa: F401  (cases and files register queries)
+from . import attempts, base, cases, files  # noqa: F401  (attempts, cases and files register queries)
 from .base import LOG_SQL, POOL_SQL, VALUES_SQL
 from .register import QUERIES, SQL, query
 
