@@ -7,6 +7,11 @@ sorted, delta-coded and packed, one message for a group and bucket, so a name
 that is very frequent costs a group one entry a round whatever its count: a
 hot name can't make a bucket large.
 
+Groups and buckets both grow with the input. Beyond ``DIRECT`` buckets a group
+writes to ``FAN`` relays only, whatever the input; a relay merges what ``FAN``
+groups said about its range of names, asks the range's buckets, and parts the
+replies. Messages stay of some hundred names then, for one exchange more each way.
+
 The whole dialogue is one lazy plan. The exchange that deals the documents is
 the same in every round, so Spark reuses it; lost executors only cost the
 stages that they held.
@@ -15,6 +20,7 @@ stages that they held.
 from __future__ import annotations
 
 import ctypes
+import itertools
 import math
 
 import numpy as np
@@ -27,6 +33,10 @@ from ._names import Texts, pack, pack_near, pack_sorted, unpack, unpack_near, un
 MESSAGE = "g long, b long, kind int, n long, names binary, more binary"
 _SCHEMA = pa.schema([("g", pa.int64()), ("b", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("names", pa.binary()), ("more", pa.binary())])
 _ASK, _STATE, _REPLY = 0, 1, 2
+#: Most buckets that groups write to themselves.
+DIRECT = 4096
+#: Where there are more: ranges of names, each a relay's, that a group writes to, and groups that share their relays.
+FAN = 1024
 
 
 def give_back() -> None:
@@ -48,15 +58,30 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _SCHEMA.types, strict=True)] if rows else [pa.array([], t) for t in _SCHEMA.types], schema=_SCHEMA)
 
 
-def _say(g: int, ask: Ask, state: bytes, buckets: int) -> pa.Table:
-    hi = (ask.names >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    edge = np.searchsorted(hi, np.arange(buckets + 1, dtype=np.uint64))
-    rows = [(g, g % buckets, _STATE, 0, state, b"")]
-    for b in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
-        i, j = int(edge[b]), int(edge[b + 1])
+class Way:
+    """Who reads the names of a group: buckets, or relays where buckets are many."""
+
+    def __init__(self, buckets: int, relayed: bool):
+        self.relayed, self.parts, self.fan = relayed, FAN if relayed else buckets, FAN
+
+    def reader(self, g: int, part: int) -> int:
+        return g // self.fan * self.fan + part if self.relayed else part
+
+
+def _asks(sender: int, ask: Ask, parts: int, reader) -> list[tuple]:
+    """A message for each of ``parts`` ranges of names that has any."""
+    part = (ask.names >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist() if len(part) else []
+    rows = []
+    for i, j in itertools.pairwise(edge):
         more = b"".join(len(c).to_bytes(8, "little") + c for c in (pack_near(c[i:j]) for c in ask.columns))
-        rows.append((g, b, _ASK, j - i, pack_sorted(ask.names[i:j]), more))
-    out = _rows(rows)
+        rows.append((sender, reader(int(part[i])), _ASK, j - i, pack_sorted(ask.names[i:j]), more))
+    return rows
+
+
+def _say(g: int, ask: Ask, state: bytes, way: Way) -> pa.Table:
+    rows = [(g, way.reader(g, g % way.parts), _STATE, 0, state, b"")]
+    out = _rows(rows + _asks(g, ask, way.parts, lambda part: way.reader(g, part)))
     give_back()
     return out
 
@@ -70,22 +95,34 @@ def _columns(more: bytes) -> list[np.ndarray]:
     return parts
 
 
+class Heap:
+    """All names that one reader was sent: those of a sender stand together, in the order of senders."""
+
+    def __init__(self, table: pa.Table):
+        kinds = np.asarray(table["kind"])
+        g, n = table["g"].to_pylist(), table["n"].to_pylist()
+        asks = sorted(np.flatnonzero(kinds == _ASK).tolist(), key=lambda k: g[k])
+        self.senders, self.sizes = [g[k] for k in asks], [n[k] for k in asks]
+        self.names = np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(table["names"][k].as_py(), n[k]) for k in asks)])
+        columns = [_columns(table["more"][k].as_py()) for k in asks]
+        self.columns = [np.concatenate(c) for c in zip(*columns, strict=True)]
+        #: States pass through.
+        self.states = [(g[k], table["b"][k].as_py(), _STATE, 0, table["names"][k].as_py(), b"") for k in np.flatnonzero(kinds == _STATE).tolist()]
+
+    def replies(self, reader: int, values: np.ndarray) -> list[tuple]:
+        """``values`` of the names, as a message to each sender."""
+        parts = np.split(values, np.cumsum(self.sizes)[:-1]) if self.sizes else []
+        return [(g, reader, _REPLY, n, pack(part), b"") for g, n, part in zip(self.senders, self.sizes, parts, strict=True)]
+
+
 def _answer(judge):
-    """``judge(names, columns)`` gives a number for each name; the names of one group stand together, in the order of groups."""
+    """``judge(names, columns)`` gives a number for each name; the names of one sender stand together, in the order of senders."""
 
     def answer(table: pa.Table) -> pa.Table:
-        kinds = np.asarray(table["kind"])
-        asks = np.flatnonzero(kinds == _ASK)
-        g, b, n = table["g"].to_pylist(), table["b"].to_pylist(), table["n"].to_pylist()
-        asks = sorted(asks.tolist(), key=lambda k: g[k])
-        rows = [(g[k], b[k], _STATE, 0, table["names"][k].as_py(), b"") for k in np.flatnonzero(kinds == _STATE).tolist()]
-        if asks:
-            names = np.concatenate([unpack_sorted(table["names"][k].as_py(), n[k]) for k in asks])
-            sizes = np.array([n[k] for k in asks])
-            cols = [_columns(table["more"][k].as_py()) for k in asks]
-            reply = judge(names, [np.concatenate(c) for c in zip(*cols, strict=True)])
-            for k, part in zip(asks, np.split(reply, np.cumsum(sizes)[:-1]), strict=True):
-                rows.append((g[k], b[k], _REPLY, n[k], pack(part), b""))
+        heap = Heap(table)
+        rows = heap.states
+        if heap.senders:
+            rows = rows + heap.replies(table["b"][0].as_py(), judge(heap.names, heap.columns))
         out = _rows(rows)
         give_back()
         return out
@@ -93,6 +130,29 @@ def _answer(judge):
     return answer
 
 
+def _relay_asks(buckets: int):
+    """A relay's names, of all its groups, as a message to each of its buckets."""
+
+    def up(table: pa.Table) -> pa.Table:
+        heap = Heap(table)
+        order = np.argsort(heap.names, kind="stable")
+        out = _rows(_asks(table["b"][0].as_py(), Ask(heap.names[order], tuple(c[order] for c in heap.columns)), buckets, lambda b: b))
+        give_back()
+        return out
+
+    return up
+
+
+def _relay_replies(table: pa.Table, replies: pa.Table) -> pa.Table:
+    """What buckets answered to a relay, as a message to each of its groups."""
+    heap, (_, heard) = Heap(table), _heard(replies)
+    values = np.empty(len(heap.names), np.uint64)
+    values[np.argsort(heap.names, kind="stable")] = heard
+    out = _rows(heap.states + heap.replies(table["b"][0].as_py(), values))
+    give_back()
+    return out
+
+
 def _heard(table: pa.Table) -> tuple[bytes, np.ndarray]:
     """The group's own state, and the replies in the order of its names."""
     state, parts = b"", []
@@ -143,10 +203,10 @@ def earlier(names: np.ndarray, columns) -> np.ndarray:
     return (own > spread(order, starts, least)).astype(np.uint64)
 
 
-def _next(step, buckets: int):
+def _next(step, way: Way):
     def then(table: pa.Table, replies: pa.Table) -> pa.Table:
         ask, state = step(Texts(table), *_heard(replies))
-        return _say(table["g"][0].as_py(), ask, state, buckets)
+        return _say(table["g"][0].as_py(), ask, state, way)
 
     return then
 
@@ -162,19 +222,23 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, asks: list, judges: list
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     groups = max(96, math.ceil(total / group_bytes))
     buckets = max(48, math.ceil(total / bucket_bytes))
+    way = Way(buckets, buckets > DIRECT)
     own = F.col(f"`{id_col}`").cast("long")
     # dealt by id and text, so that rows without an id, or with the same one, do not meet in one group
     base = docs.select(F.pmod(F.xxhash64(own, text), F.lit(groups)).alias("g"), own.alias("doc_id"), text.alias("text"))
 
     def first(table: pa.Table) -> pa.Table:
         ask, state = asks[0](Texts(table), b"", None)
-        return _say(table["g"][0].as_py(), ask, state, buckets)
+        return _say(table["g"][0].as_py(), ask, state, way)
 
     said = base.groupBy("g").applyInArrow(first, MESSAGE)
     for k, judge in enumerate(judges):
-        heard = said.groupBy("b").applyInArrow(_answer(judge), MESSAGE)
+        asked = said.groupBy("b").applyInArrow(_relay_asks(buckets), MESSAGE) if way.relayed else said
+        heard = asked.groupBy("b").applyInArrow(_answer(judge), MESSAGE)
+        if way.relayed:
+            heard = said.groupBy("b").cogroup(heard.groupBy("g")).applyInArrow(_relay_replies, MESSAGE)
         if k + 1 < len(asks):
-            said = base.groupBy("g").cogroup(heard.groupBy("g")).applyInArrow(_next(asks[k + 1], buckets), MESSAGE)
+            said = base.groupBy("g").cogroup(heard.groupBy("g")).applyInArrow(_next(asks[k + 1], way), MESSAGE)
 
     def last(table: pa.Table, replies: pa.Table) -> pa.Table:
         out = finish(Texts(table), *_heard(replies))
