@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set a local one only where none is named."""
+    """Use the cluster's shared checkpoint folder; set a local one only where none is named and executors share this machine."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rankforge-checkpoint-"))
 
 
