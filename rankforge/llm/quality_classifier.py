@@ -176,11 +176,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     Word vectors come from all texts. Labels come from the rows of ``labels``
     (``id_col``, ``label_col``) for which ``train``, a condition on the id
     column named ``doc_id``, holds: all of them up to ``max_labelled``, else
-    those with the least hashes. Null labels and ids are left out; without
+    those with the least hashes; of documents that share a labelled id one is
+    learned from. Null labels and ids are left out; without
     labels of both kinds every score is the share of label 1, or 0.5. Null and
     empty texts are scored like any others; other columns are not read.
     """
     spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     words, shapes = word_vectors(own)
     shared = spark.sparkContext.broadcast((words, shapes))
@@ -189,18 +191,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
 
     def vectors(batches):
         for batch in batches:
-            for part, raw, offs in pieces(batch, 1):
+            for part, raw, offs in pieces(batch, 2):
                 x = pool(raw, offs, *shared.value)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], ["label", "vector"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())], ["doc_id", "label", "vector"])
 
-    # at most max_labelled rows of fixed size come to the driver
-    rows = own.join(picked, "doc_id").select("label", "text").mapInArrow(vectors, "label int, vector binary").collect()
+    known = own.join(picked, "doc_id").select("doc_id", "label", "text").mapInArrow(vectors, f"doc_id {kind}, label int, vector binary")
+    # one row of fixed size for each picked id comes to the driver
+    rows = known.groupBy("doc_id").agg(F.max(F.struct("label", "vector")).alias("x")).select("x.*").collect()
     rows.sort(key=lambda r: (r.label, bytes(r.vector)))
     y = np.array([r.label for r in rows], np.float64)
     x = np.array([np.frombuffer(r.vector, "<f4") for r in rows]).reshape(len(rows), 2 * DIM + 1)
     net = Network().fit(x, y) if len(set(y)) == 2 else None
     flat = float(y.mean()) if len(y) else 0.5
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
