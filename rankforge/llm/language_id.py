@@ -24,6 +24,7 @@ _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
+_LANGS = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
 
 def pieces(batch, text: int):
@@ -71,14 +72,14 @@ def count_languages(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r.lang for r in found], np.array([np.frombuffer(r.counts, "<i8") for r in found]).reshape(len(found), BUCKETS)
 
 
-def infer(like: np.ndarray, offs: np.ndarray, steps: int = 8, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the best language and its proportion, from words' log-likelihoods (word, language)."""
+def infer(like: np.ndarray, offs: np.ndarray, steps: int = 8, penalty: float = 3.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the best language, its proportion, and the proportions of the chosen set, from words' log-likelihoods (word, language)."""
     n_docs, n_lang = len(offs) - 1, like.shape[1]
-    best, score = np.full(n_docs, -1), np.zeros(n_docs)
+    best, score, mixture = np.full(n_docs, -1), np.zeros(n_docs), np.zeros((n_docs, n_lang))
     size = np.diff(offs)
     full = np.flatnonzero(size > 0)
     if not len(full) or not n_lang:
-        return best, score
+        return best, score, mixture
     doc, at = np.repeat(np.arange(len(full)), size[full]), offs[:-1][full]
     top = like.max(axis=1, keepdims=True)
     p = np.exp(like - top, dtype=np.float64)
@@ -101,21 +102,24 @@ def infer(like: np.ndarray, offs: np.ndarray, steps: int = 8, penalty: float = 3
             part = em(part, 2)
         value = np.add.reduceat(np.log((p * part[doc]).sum(axis=1) + 1e-300), at) - penalty * (k - 1) * np.log(size[full] + 1)
         better = value > best_value
+        mixture[full[better]] = part[better]
         best_value[better] = value[better]
         lead = part.argmax(axis=1)
         chosen[better] = lead[better]
         if k > 1:
             proportion[better] = part[np.arange(len(full)), lead][better]
     best[full], score[full] = chosen, np.clip(proportion, 0, 1)
-    return best, score
+    return best, score, mixture
 
 
 def predict_language(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``doc_id, lang_pred, score`` for each row of ``docs``.
+    """``doc_id, lang_pred, score, langs`` for each row of ``docs``.
+
+    ``langs`` is the chosen set: an array of ``lang, share``, largest share first.
 
     Languages are learned from all rows for which ``train`` holds and whose
     text and language are not null; nothing but the text enters a prediction.
-    ``und`` and 0 go to null texts, texts without letters, and all texts if
+    ``und``, 0 and an empty set go to null texts, texts without letters, and all texts if
     nothing could be learned. The counts of each language, 128 KB, are held by
     the driver and every worker; languages are few by nature.
     """
@@ -142,13 +146,15 @@ def predict_language(docs: DataFrame, train: Column, id_col: str = "doc_id", tex
                 first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(use) else use
                 like = np.add.reduceat(table[gram], first, axis=0) if len(use) else np.zeros((0, len(names)), np.float32)
                 words = np.searchsorted(use[first], offs)
-                best, score = infer(like, words)
+                best, score, mixture = infer(like, words)
                 texts = part.column(1)
-                pred = []
+                pred, sets = [], []
                 for k, b in enumerate(best.tolist()):
                     ok = b >= 0 and (bool(((raw[offs[k] : offs[k + 1]] | 32) - 97 < 26).any()) or any(c.isalpha() for c in texts[k].as_py()))
                     pred.append(names[b] if ok else "und")
                     score[k] = score[k] if ok else 0.0
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                    held = np.flatnonzero(mixture[k]) if ok else []
+                    sets.append([{"lang": names[j], "share": float(mixture[k, j])} for j in sorted(held, key=lambda j: -mixture[k, j])])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(sets, _LANGS)], ["doc_id", "lang_pred", "score", "langs"])
 
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, langs array<struct<lang:string,share:double>>")

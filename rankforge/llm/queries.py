@@ -57,7 +57,7 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language_id.predict_language(_read(spark, sf_dir, "documents"), ~_fold(4, 2))
-    return out.select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", _fold(4, 2).alias("held_out"), "lang_pred", "score", "langs")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
