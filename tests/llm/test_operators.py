@@ -295,10 +295,14 @@ def test_language_id(spark):
     rng = random.Random(1)
     rows = [(k, " ".join(rng.choice((en if k % 2 else fr).split()) for _ in range(30)), "en" if k % 2 else "fr", None, 0) for k in range(200)]
     rows += [(900, None, "en", None, 0), (901, "12 34", None, None, 0), (902, "", "fr", None, 0)]
+    rows.append((903, " ".join(rng.choice(en.split()) for _ in range(60)) + " " + " ".join(rng.choice(fr.split()) for _ in range(30)), None, None, 0))
     from pyspark.sql import functions as F
 
     got = {r.doc_id: r for r in language_id.predict_language(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") % 4 < 2).collect()}
     assert sum(got[k].lang_pred == ("en" if k % 2 else "fr") for k in range(200)) >= 198
+    assert [x.lang for x in got[903].langs] == ["en", "fr"] and got[903].lang_pred == "en" and abs(got[903].langs[1].share - 1 / 3) < 0.1
+    assert {tuple(x.lang for x in got[k].langs) for k in range(200)} == {("en",), ("fr",)}
+    assert all(got[k].langs == [] for k in (900, 901, 902))
     assert all(got[k].lang_pred == "und" and got[k].score == 0 for k in (900, 901, 902)) and all(0 <= r.score <= 1 for r in got.values())
 
 
@@ -465,6 +469,44 @@ def test_many_rows_without_id(spark):
     assert substring_dedup.dedup_substrings(df).where("doc_id = 1").first().n_removed == 120_000
 
 
+def test_relays(spark, docs, monkeypatch):
+    """Groups that write to relays give what groups that write to buckets give."""
+    from rankforge.llm import _rounds
+
+    df = docs[1]
+    found = [lambda: substring_dedup.dedup_substrings(df, window=6), lambda: suffix_dedup.dedup_suffixes(df, length=40), lambda: ngram_join.jaccard_components(df)]
+    plain = [bag(map(list, f().collect())) for f in found]
+    monkeypatch.setattr(_rounds, "DIRECT", 8)
+    monkeypatch.setattr(_rounds, "FAN", 5)
+    assert [bag(map(list, f().collect())) for f in found] == plain
+
+
+def test_repeated_labelled_ids(spark):
+    """Documents that repeat an id bring no more rows to the driver than the bound, and keep their scores."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(k % 40, f"word{k % 2} " * (9 + k % 3), None, None, 0) for k in range(400)], SCHEMA)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    got = quality_classifier.score_quality(df, labels, F.lit(True), max_labelled=40).collect()
+    assert len(got) == 400 and all((r.score >= 0.5) == bool(r.doc_id % 2) for r in got)
+
+
+def test_checkpoint_folder_must_be_shared():
+    """On a cluster no folder of one machine serves checkpoints."""
+    from types import SimpleNamespace as Fake
+
+    from rankforge.llm._session import checkpoint_ready
+
+    undefined = Fake(getCheckpointDir=lambda: Fake(isDefined=lambda: False))
+    chosen = []
+    sc = Fake(master="spark://host:7077", _jsc=Fake(sc=lambda: undefined), getConf=lambda: {}, setCheckpointDir=chosen.append)
+    with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
+        checkpoint_ready(Fake(sparkContext=sc))
+    sc.getConf = lambda: {"spark.checkpoint.dir": "shared"}
+    checkpoint_ready(Fake(sparkContext=sc))
+    assert chosen == ["shared"]
+
+
 def test_pipeline(spark, tmp_path, docs):
     import base64
 
