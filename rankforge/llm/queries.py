@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, language_id, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, suffix_dedup
-from ._session import cut
+from . import byte_bpe, chat_format, exact_dedup, fill_middle, importance, language_id, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, suffix_dedup, warc
+from ._session import cut, shared_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -74,8 +74,28 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_quality_rules(_read(spark, sf_dir, "documents")).drop("host_rate_short", "host_rate_repeat")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_read(spark, sf_dir, "documents"))
+    restored = fill_middle.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_warc(_read(spark, sf_dir, "pages"), path)
+    read = warc.read_warc(spark, path)
+    found = F.struct(F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
+    narrow = read.select("record_id", "type", "page_id", "refers_to", found.alias("found")).select("record_id", "type", "page_id", "refers_to", "found.*")
+    out = warc.resolve_revisits(cut(narrow))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_substring_dedup, op2_byte_bpe, op3_suffix_dedup, op4_quality_classifier, op5_exact_dedup, op6_ngram_jaccard_join, op7_language_id, op8_source_mix, op9_chat_format, op10_quality_rules]
+    found = [op1_substring_dedup, op2_byte_bpe, op3_suffix_dedup, op4_quality_classifier, op5_exact_dedup, op6_ngram_jaccard_join, op7_language_id, op8_source_mix, op9_chat_format, op10_quality_rules, op11_fill_middle, op12_importance_resampling, op13_warc]
     return {f.__name__: f for f in found}
 
 
@@ -122,4 +142,31 @@ v AS (SELECT host, rs - 3 * sqrt(rs * (1 - rs) / (d + ws + 1)) > greatest(0.5, m
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeat AS base_failed, NOT (short OR repeat OR gs OR gr) AS kept,
  concat_ws(',', CASE WHEN gs THEN 'short' END, CASE WHEN gr THEN 'repeat' END) AS host_guilty
 FROM f JOIN v USING (host)""",
+    "op11_fill_middle": """
+WITH h AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+x AS (SELECT doc_id, t, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda k: ('0x' || substr(s, k::INT, 8))::BIGINT) AS g FROM h),
+c AS (SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS lo, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS hi,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 90 THEN 'plain' WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:lo], '') AS pre, array_to_string(u[lo + 1:hi], '') AS mid, array_to_string(u[hi + 1:], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op12_importance_resampling": r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS r(i)),
+w AS MATERIALIZED (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+ UNION ALL SELECT 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS MATERIALIZED (SELECT kind, id, array_to_string(ws[i:i + k], ' ') AS g, count(*) AS n FROM w, range(3) AS o(k), unnest(range(1, len(ws) - k + 1)) AS t(i) GROUP BY ALL),
+s AS (SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM f)),
+crc AS MATERIALIZED (SELECT g, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM s, tab),
+c AS (SELECT bucket, sum(n) FILTER (WHERE kind = 'd') AS s, sum(n) FILTER (WHERE kind = 'b') AS t FROM f JOIN crc USING (g) GROUP BY bucket),
+z AS (SELECT sum(s) AS sn, sum(t) AS tn FROM c),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce(sn, 0) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce(tn, 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM c, z),
+d AS (SELECT id AS doc_id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM f JOIN crc USING (g) JOIN gain USING (bucket) WHERE kind = 'd' GROUP BY id),
+v AS (SELECT w.id AS doc_id, coalesce(len(ws), 0) >= 20 AS can, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+ coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || w.id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM w LEFT JOIN d ON d.doc_id = w.id WHERE kind = 'd'),
+r AS (SELECT *, row_number() OVER (ORDER BY can DESC, score DESC, doc_id) AS k, (count(*) FILTER (WHERE can) OVER ()) * 5 // 100 AS most FROM v)
+SELECT doc_id, n_features, weight, score, CASE WHEN k <= most THEN k END AS rank FROM r""",
+    "op13_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""",
 }
