@@ -73,7 +73,7 @@ class Scan:
         return state, total
 
     def find(self, text: np.ndarray, state: np.ndarray, unit: np.ndarray) -> np.ndarray:
-        """Where in each of the texts (by number, entered in ``state``) unit number ``unit`` begins; each has that unit."""
+        """Where in each of the texts (by number, entered in ``state``, none of them empty) unit number ``unit`` begins; at its end, if it has no more units."""
         lane = np.array([self.first[t] + np.searchsorted(self.before[self.first[t] : self.first[t + 1], s] & _UNITS, u, "right") - 1 for t, s, u in zip(text, state, unit, strict=True)], np.int64)
         at, left = self.entry[lane, state], unit - (self.before[lane, state] & _UNITS)
         place = np.full(len(lane), -1)
@@ -82,7 +82,7 @@ class Scan:
             left = left - (_COUNT.ravel()[k] & _UNITS)
             place[(left < 0) & (place < 0)] = j
             at = _STEP.ravel()[k]
-        return (lane - self.first[text]) * _LANE + place
+        return np.where(place < 0, self.lengths[text], (lane - self.first[text]) * _LANE + place)
 
 
 def prefixes(after: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,8 +123,8 @@ def _cut_short(text: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
         units, marks = scan.count[:, _OUT] & _UNITS, scan.count[:, _OUT] >> 32
         found = [units, marks]
         for unit in _cut_units(units, a.to_numpy()[turn], b.to_numpy()[turn]):
-            place, inner = scan.lengths.copy(), np.flatnonzero(unit < units)
-            place[inner] = scan.find(inner, np.zeros(len(inner), np.int64), unit[inner])
+            place, some = np.zeros(len(units), np.int64), np.flatnonzero(units)
+            place[some] = scan.find(some, np.zeros(len(some), np.int64), unit[some])
             found.append(place)
         rows.append(np.stack(found, 1))
     return pd.DataFrame(np.concatenate(rows) if rows else np.zeros((0, 4), np.int64), columns=["n", "marks", "first", "second"])
@@ -154,21 +154,21 @@ def _resolve(chunks: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for which, unit in enumerate(_cut_units(np.array([units]), *(chunks[c].to_numpy()[:1] for c in "ab"))):
         unit = int(unit[0])
-        j = int(np.searchsorted(total & _UNITS, unit, "right"))  # the first chunk by whose end more units have begun
-        inner = unit < units
-        rows.append((chunks["key"].iloc[0], units, marks, which, int(chunks["k"].iloc[j]) if inner else -1, int(state[j - 1]) if inner and j else 0, unit - int(total[j - 1] & _UNITS) if inner and j else unit, int(ends[j - 1]) if inner and j else 0 if inner else int(ends[-1])))
+        j = min(int(np.searchsorted(total & _UNITS, unit, "right")), len(chunks) - 1)  # the first chunk by whose end more units have begun
+        rows.append((chunks["key"].iloc[0], units, marks, which, int(chunks["k"].iloc[j]), int(state[j - 1]) if j else 0, unit - int(total[j - 1] & _UNITS) if j else unit, int(ends[j - 1]) if j else 0))
     return pd.DataFrame(rows, columns=["key", "n", "marks", "which", "k", "state", "unit", "before"])
 
 
 def _cut_giants(giants: DataFrame, chunk: int) -> DataFrame:
     """``key`` and the cuts of each giant: its chunks are scanned and searched wherever they are dealt to; equal giants are told apart by nothing and counted once."""
     pieces = giants.select("key", "a", "b", F.posexplode(F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{chunk}}}"), F.lit(0))).alias("k", "piece"))
-    dealt = pieces.repartition(int(giants.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # round robin: no key is hot
+    tasks = int(giants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = pieces.repartition(tasks)  # round robin: no key is hot
     functions = dealt.select("key", "a", "b", "k", F.pandas_udf(_scan_piece, _FUNCTION)("piece").alias("f")).groupBy("key", "k").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("f").alias("f"))
-    cuts = functions.select("key", "k", "a", "b", "f.*").groupBy("key").applyInPandas(_resolve, "key string, n long, marks long, which int, k int, state int, unit long, before long")
-    inner = cuts.where("k >= 0").join(pieces.select("key", "k", "piece"), ["key", "k"])
-    places = inner.select("key", "n", "marks", "which", (F.col("before") + F.pandas_udf(_find_in_piece, "long")("piece", "state", "unit")).alias("place"))
-    places = places.unionAll(cuts.where("k < 0").select("key", "n", "marks", "which", "before"))
+    by_giant = functions.select("key", "k", "a", "b", "f.*").repartition(tasks, "key")  # few bytes, much work: not to be merged into one task
+    cuts = by_giant.groupBy("key").applyInPandas(_resolve, "key string, n long, marks long, which int, k int, state int, unit long, before long")
+    both = cuts.join(pieces.select("key", "k", "piece"), ["key", "k"])
+    places = both.select("key", "n", "marks", "which", (F.col("before") + F.pandas_udf(_find_in_piece, "long")("piece", "state", "unit")).alias("place"))
     return places.groupBy("key").agg(F.struct(F.max("n").alias("n"), F.max("marks").alias("marks"), F.max(F.when(F.col("which") == 0, F.col("place"))).alias("first"), F.max(F.when(F.col("which") == 1, F.col("place"))).alias("second")).alias("cuts"))
 
 
