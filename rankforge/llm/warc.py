@@ -1,14 +1,15 @@
 """WARC archives: written with revisits and segmented records, read back by segment reassembly.
 
 A record's block is an HTTP response in chunked transfer framing. A block beyond
-the segment size is written as a first segment and continuation records, which are
-dealt over the archives like any others. Reading groups continuation records by
-their origin's identifier, orders them by segment number, verifies the total
-length and then decodes the framing.
+the segment size is written as a first segment and continuation records, which may
+be in any archive. Reading groups continuation records by their origin's
+identifier, orders them by segment number, verifies the total length and then
+decodes the framing.
 
 Archives are written by Spark's text writer, whose line end is a record's: so
-the committer makes them whole or absent on any file system. They are plain or
-compressed as a whole.
+the committer makes them whole or absent on any file system. As segments bound a
+record, a number of records bounds an archive. They are compressed as a whole, or
+plain.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n"
 
-#: Bytes of a payload from which an equal one is a revisit; of an archive; of a segment; of a chunk of the transfer framing.
-LEAST_REVISIT, ARCHIVE, SEGMENT, FRAME = 100, 1 << 24, 1 << 14, 1 << 12
+#: Bytes of a payload from which an equal one is a revisit; of an archive before compression, at most; of a segment; of a chunk of the transfer framing.
+LEAST_REVISIT, ARCHIVE, SEGMENT, FRAME = 100, 1 << 26, 1 << 14, 1 << 12
 
 
 def record_id(*parts) -> str:
@@ -117,15 +118,14 @@ def with_first(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return out.select("page_id", "url", "payload", "digest", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"), (F.col("first").isNotNull() & ~same).alias("revisit"))
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", least: int = LEAST_REVISIT, archive: int = ARCHIVE, segment: int = SEGMENT, frame: int = FRAME, compression: str = "none") -> None:
-    """A record for each row, in archives of about ``archive`` bytes in a new folder ``path``.
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z", least: int = LEAST_REVISIT, archive: int = ARCHIVE, segment: int = SEGMENT, frame: int = FRAME, compression: str = "gzip") -> None:
+    """A record for each row, in archives of at most ``archive`` bytes (fields of a KB a record allowed for) in a new folder ``path``.
 
     A null html is an empty payload, null ids and urls leave their fields out.
     Rows alike in id, url and html get records alike, identifier included. An
     empty table gives a folder without records. Further columns are not looked at.
     """
     rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("payload") + 800), F.lit(0))).first()[0]
 
     def write(batches):
         for batch in batches:
@@ -141,9 +141,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
             yield pa.record_batch([pa.array(got, pa.binary())], ["record"])
 
     records = with_first(rows, least).mapInArrow(write, "record binary")
-    dealt = records.repartition(max(1, -(-total // archive)), F.xxhash64("record"))  # segments alike or not, all are dealt alike
     # bytes as they are: the cast changes none of them, and the line end ends a record
-    dealt.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    lines = records.select(F.col("record").cast("string").alias("value")).write
+    lines.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", max(1, archive // (segment + 1024))).text(path)
 
 
 # ---- reading ----------------------------------------------------------------------
