@@ -114,12 +114,30 @@ def query_sets(first_stage: DataFrame, telemetry: DataFrame, run: DataFrame) ->
     return all3.select("qid", F.explode(lost).alias("missing_in"))
 
 
+#: Lines of a block in which rows look for the row before.
+_BLOCK = 1 << 16
+
+
+def _query_before(run: DataFrame) -> DataFrame:
+    """``run`` with ``before``, the query of the row before it in the file, null for the first.
+
+    Rows meet in blocks of file positions; the last query of each block, one row
+    a block, is handed on to the next.
+    """
+    rows = run.withColumn("__block", F.floor(F.col("file_pos") / _BLOCK))
+    lasts = rows.groupBy("__block").agg(F.max(F.struct("file_pos", "qid"))["qid"].alias("last"))
+    lasts = lasts.select("__block", F.lag("last").over(Window.orderBy("__block")).alias("__carried"))  # a row for each 65,536 lines
+    own = F.lag("qid").over(Window.partitionBy("__block").orderBy("file_pos"))
+    return rows.join(lasts, "__block").withColumn("before", F.coalesce(own, "__carried")).drop("__block", "__carried")
+
+
 def rank_positions(run: DataFrame) -> DataFrame:
-    """Rows whose rank isn't their 1-based position in the file, and queries whose rows aren't together."""
-    pos = F.row_number().over(Window.partitionBy("qid").orderBy("pos"))
-    gap = F.col("pos") - F.lag("pos").over(Window.partitionBy("qid").orderBy("pos"))
-    r = run.select("qid", "docid", F.col("rank"), pos.alias("at"), gap.alias("gap"))
-    return r.where("rank <> at or gap > 1").select("qid", "docid", "rank", "at", (F.coalesce("gap", F.lit(1)) > 1).alias("apart"))
+    """``qid, docid, rank, at, apart`` of the rows whose rank isn't their 1-based position in the file, or that another query's rows part from those before.
+
+    ``run`` has ``pos`` and ``file_pos``, as ``parse_run`` gives them.
+    """
+    apart = (F.col("pos") > 1) & (F.col("before") != F.col("qid"))
+    return _query_before(run).where((F.col("rank") != F.col("pos")) | apart).select("qid", "docid", "rank", F.col("pos").alias("at"), apart.alias("apart"))
 
 
 def completion_marker(logs: DataFrame) -> DataFrame:

@@ -6,32 +6,70 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, stats
 from ..sources import readers, writers
+from ..sources.run_source import in_file_order, use_run_source
+from ..sources.shared import shared_folder
 from . import base
 from .base import POOL_SQL
 from .register import query
 
 
-def _run_lines(spark, d):
-    """The pool as lines of a run file, with blank ones between."""
+#: The pool as a run file has it whose lines follow a hash: rows in another order than their ranks.
+_FILE = POOL_SQL + """, k AS (SELECT *, md5(qid || ':' || docid) AS h FROM pool), file AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY h) AS place, 2 * row_number() OVER (ORDER BY h) - 1 AS file_pos FROM k)"""
+
+
+def _written_run(spark, d, key=None):
+    """The pool written as run files, in the order of a hash or of ``key``, with blank lines between; read back."""
     pool = base.first_stage(spark, d)
     line = F.concat_ws(" ", "qid", F.lit("Q0"), "docid", F.col("pos").cast("string"), F.col("score").cast("string"), F.lit(" t "))
-    return pool.select(F.explode(F.array(line, F.lit("  "))).alias("value"))
+    key = F.md5(F.concat_ws(":", "qid", "docid")) if key is None else key
+    lines = pool.select(key.alias("key"), F.posexplode(F.array(line, F.lit("  "))).alias("blank", "value"))
+    path = shared_folder(spark, "run")
+    writers.write_lines(lines, path, "key", "blank")
+    return readers.read_run(spark, path)
 
 
-@query(POOL_SQL + " SELECT qid, docid, pos AS rank, score, 't' AS tag, pos FROM pool")
+@query(_FILE + " SELECT qid, docid, pos AS rank, score, 't' AS tag, place AS pos, file_pos FROM file")
 def run_scan(spark, d):
-    return readers.parse_run(_run_lines(spark, d)).select("qid", "docid", F.col("rank").cast("long").alias("rank"), "score", "tag", "pos")
+    return _written_run(spark, d).select("qid", "docid", F.col("rank").cast("long").alias("rank"), "score", "tag", "pos", "file_pos")
 
 
-@query(POOL_SQL + " SELECT qid, docid, pos FROM pool WHERE pos <= 40")
+@query(_FILE + " SELECT qid, docid, place AS pos FROM file WHERE place <= 40")
 def load_run_to_depth(spark, d):
     """Longer runs are cut to the depth, and only then checked."""
-    return readers.exact_depth(readers.parse_run(_run_lines(spark, d)), 40).select("qid", "docid", F.col("pos").cast("long").alias("pos"))
+    return readers.exact_depth(_written_run(spark, d), 40).select("qid", "docid", F.col("pos").cast("long").alias("pos"))
+
 
+_FIRST = ", q AS (SELECT qid FROM file GROUP BY qid ORDER BY min(file_pos) LIMIT 7)"
 
-@query(POOL_SQL + ", q AS (SELECT DISTINCT qid FROM pool ORDER BY qid LIMIT 7) SELECT qid, string_agg(docid, ' ' ORDER BY pos) AS docids FROM pool SEMI JOIN q USING (qid) WHERE pos <= 30 GROUP BY qid")
+
+@query(_FILE + _FIRST + " SELECT qid, string_agg(docid, ' ' ORDER BY place) AS docids FROM file SEMI JOIN q USING (qid) WHERE place <= 30 GROUP BY qid")
 def strict_pools(spark, d):
-    return readers.strict_pools(readers.parse_run(_run_lines(spark, d)), 30, 7).select("qid", F.array_join("docids", " ").alias("docids"))
+    return readers.strict_pools(_written_run(spark, d), 30, 7).select("qid", F.array_join("docids", " ").alias("docids"))
+
+
+@query(_FILE + _FIRST + " SELECT qid, docid FROM file SEMI JOIN q USING (qid)")
+def query_limit(spark, d):
+    return readers.first_queries(_written_run(spark, d), 7).select("qid", "docid")
+
+
+@query(POOL_SQL + """, o AS (SELECT *, qid::BIGINT % 5 = 2 AND pos % 2 = 0 AS late, CASE WHEN qid::BIGINT % 3 = 1 THEN -pos ELSE pos END AS k FROM pool),
+f AS (SELECT *, row_number() OVER w AS n, lag(qid) OVER w AS before FROM o WINDOW w AS (ORDER BY late, qid, k)), g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n) AS place FROM f)
+SELECT qid, docid, pos AS rank, place AS "at", place > 1 AND before <> qid AS apart FROM g WHERE pos <> place OR (place > 1 AND before <> qid)""")
+def rank_positions(spark, d):
+    """A third of the queries stand in reverse order, a fifth have half of their rows behind all others."""
+    n, pos = F.col("qid").cast("long"), F.col("pos")
+    key = F.struct(((n % 5 == 2) & (pos % 2 == 0)).alias("late"), "qid", F.when(n % 3 == 1, -pos).otherwise(pos).alias("k"))
+    return audit.rank_positions(_written_run(spark, d, key)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(POOL_SQL + " SELECT qid, docid, pos AS rank, score, 'made' AS tag, row_number() OVER (PARTITION BY qid ORDER BY pos) AS pos FROM pool WHERE pos <= 10")
+def run_source(spark, d):
+    """The pool written and read back through the data source of runs; the depth is cut while lines are read."""
+    kind, path = use_run_source(spark), shared_folder(spark, "run")
+    pool = base.first_stage(spark, d).select("qid", "docid", F.col("pos").alias("rank"), "score")
+    pool.repartition("qid").sortWithinPartitions("qid", "rank").write.format(kind).option("tag", "made").mode("append").save(path)
+    rows = in_file_order(spark.read.format(kind).load(path).where("rank <= 10"))
+    return rows.select("qid", "docid", F.col("rank").cast("long").alias("rank"), "score", "tag", "pos")
 
 
 _EVALS = "SELECT l_suppkey::VARCHAR AS qid, CASE WHEN l_linenumber = 1 THEN 'ndcg_cut_10' ELSE 'map_cut_100' END AS metric, round(avg(l_discount), 4) AS value FROM lineitem GROUP BY ALL"
@@ -108,5 +146,6 @@ def effective_text(spark, d):
 @query(POOL_SQL + " SELECT qid || chr(9) || 'Q0' || chr(9) || docid || chr(9) || pos || chr(9) || '-' || pos || chr(9) || 't' AS value FROM pool WHERE pos <= 5")
 def run_lines_round_trip(spark, d):
     """Lines written, read back, and written again."""
-    got = readers.parse_run(writers.run_lines(base.first_stage(spark, d).select("qid", "docid", F.col("pos").alias("rank"), "score"), "t", 5, by_rank=True))
-    return writers.run_lines(got.select("qid", "docid", "rank", "score"), "t", 5, by_rank=True).select("value")
+    path = shared_folder(spark, "run")
+    writers.write_run(base.first_stage(spark, d).select("qid", "docid", F.col("pos").alias("rank"), "score"), path, "t", 5, by_rank=True)
+    return writers.run_lines(readers.read_run(spark, path).select("qid", "docid", "rank", "score"), "t", 5, by_rank=True).select("value")

@@ -57,11 +57,6 @@ def expected_pools(spark, d):
     return readers.expected_pools(base.first_stage(spark, d), 5).select("qid", F.array_join("docids", ",").alias("docids"))
 
 
-@query(POOL_SQL + " SELECT qid, docid FROM pool WHERE qid IN (SELECT DISTINCT qid FROM pool ORDER BY qid LIMIT 7)")
-def query_limit(spark, d):
-    return readers.first_queries(base.first_stage(spark, d), 7).select("qid", "docid")
-
-
 # ---- re-ranking -----------------------------------------------------------------
 
 _SORTED = " SELECT qid, docid, CASE WHEN r <= {k} THEN r ELSE {k} + row_number() OVER (PARTITION BY qid, r > {k} ORDER BY pos) END AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hidden DESC) AS r FROM pool)"

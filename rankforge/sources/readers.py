@@ -15,31 +15,46 @@ def _fail(cond: Column, message: Column | str, value: Column) -> Column:
 
 
 def parse_run(lines: DataFrame, strict: bool = True) -> DataFrame:
-    """Run rows of text lines in ``value``; ``pos`` is the order within a query by the file's rank.
+    """Run rows of text lines ``value`` numbered by ``position`` or ``line_number``; ``pos`` is the order within a query in the file, whatever the ranks say, and ``file_pos`` the line's number.
 
-    Under ``strict`` a line without six fields, or without numbers, is an error; else it is dropped.
+    Blank lines are passed over. Under ``strict`` a line without six fields, or
+    without numbers, is an error that names it; else it is dropped.
     """
+    at = next((c for c in ("position", "line_number") if c in lines.columns), None)
+    if at is None:
+        raise ValueError("lines without position or line_number have no order")
     f = F.split(F.trim("value"), r"\s+")
     lines = lines.where(F.trim("value") != "")
     rank, score = F.get(f, 3).try_cast("int"), F.get(f, 4).try_cast("double")
     ok = (F.size(f) == 6) & rank.isNotNull() & score.isNotNull()
     if strict:
-        f = F.when(ok, f).otherwise(F.raise_error(F.concat(F.lit("malformed run line: "), "value")).cast("array<string>"))
+        where = [F.col(c).cast("string") for c in ("path", "line_number") if c in lines.columns] or [F.col(at).cast("string")]
+        f = F.when(ok, f).otherwise(F.raise_error(F.concat(F.lit("malformed run line "), F.concat_ws(":", *where), F.lit(": "), "value")).cast("array<string>"))
     else:
         lines = lines.where(ok)
-    rows = lines.select(f.alias("f")).select(F.get("f", 0).alias("qid"), F.get("f", 2).alias("docid"), F.get("f", 3).cast("int").alias("rank"), F.get("f", 4).cast("double").alias("score"), F.get("f", 5).alias("tag"))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("rank", F.desc("score"), "docid")).cast("long"))
+    rows = lines.select(f.alias("f"), F.col(at).cast("long").alias("file_pos")).select(F.get("f", 0).alias("qid"), F.get("f", 2).alias("docid"), F.get("f", 3).cast("int").alias("rank"), F.get("f", 4).cast("double").alias("score"), F.get("f", 5).alias("tag"), "file_pos")
+    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("file_pos")).cast("long"))
 
 
 def read_run(spark: SparkSession, path, strict: bool = True) -> DataFrame:
-    """Six-column run files; see ``parse_run``."""
-    return parse_run(spark.read.text(path), strict)
+    """Six-column run files, of any size; see ``parse_run``."""
+    return parse_run(numbered_lines(spark, path), strict)
 
 
 def numbered_lines(spark: SparkSession, path) -> DataFrame:
-    """``path, line_number, value``: a file's lines, numbered from 1. Files are read whole, so each must be as small as a run."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("k", "value"))
-    return text.select("path", (F.col("k") + 1).alias("line_number"), "value")
+    """``path, line_number, position, value``: lines numbered from 1 in each file, and over all files in the order of their paths.
+
+    Files are read in splits, side by side. A first pass counts each split's
+    lines; sums over the splits before give its offset, and a line's number is
+    that offset and its place in the split. Both passes cut the same files into
+    the same splits. What is broadcast has one row for each split.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__id"))
+    splits = lines.groupBy("path", "__split").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = lambda w: F.coalesce(F.sum("__n").over(w.orderBy("path", "__split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("path", "__split", "__first", before(Window.partitionBy("path")).alias("__in_file"), before(Window).alias("__in_all"))
+    place = F.col("__id") - F.col("__first") + 1
+    return lines.join(F.broadcast(offsets), ["path", "__split"]).select("path", (F.col("__in_file") + place).alias("line_number"), (F.col("__in_all") + place).alias("position"), "value")
 
 
 def top_hits(run: DataFrame, hits: int) -> DataFrame:
@@ -66,7 +81,7 @@ def expected_pools(run: DataFrame, cap: int = 100) -> DataFrame:
 
 
 def first_queries(run: DataFrame, limit: int) -> DataFrame:
-    """Rows of the first ``limit`` queries, by the file order ``file_pos`` of their first row (``pos`` and id without one)."""
+    """Rows of the first ``limit`` queries, by the file order ``file_pos`` of their first row (by id without one)."""
     key = F.min("file_pos") if "file_pos" in run.columns else F.lit(0)
     keep = run.groupBy("qid").agg(key.alias("k")).orderBy("k", "qid").limit(limit).select("qid")
     return run.join(keep, "qid", "left_semi")

@@ -25,6 +25,12 @@ def write_run(ranking: DataFrame, path: str, tag: str = "rankforge", depth: int
     lines.sortWithinPartitions("qid", "rank").select("value").write.mode("overwrite").text(path)
 
 
+def write_lines(lines: DataFrame, path: str, *order: str) -> None:
+    """``value`` of each row as a line, in the order of the columns ``order`` over all part files."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(n, *order).sortWithinPartitions(*order).select("value").write.text(path)
+
+
 def write_jsonl(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).json(path)
 
