@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import written
+from . import random_parts, ranks
+
 # --- fixed values: two-sided 95 % points of Student's t for 1 to 30 degrees of freedom, then the normal one ---
 T95 = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179, 2.160, 2.145, 2.131, 2.120, 2.110, 2.101, 2.093, 2.086, 2.080, 2.074, 2.069, 2.064, 2.060, 2.056, 2.052, 2.048, 2.045, 2.042]
 Z95 = 1.96
@@ -40,18 +41,25 @@ def pivot_runs(values: DataFrame, keys: list[str], runs: list[str]) -> DataFrame
     return wide.withColumn("missing_run_ids", missing)
 
 
-def query_stability(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Per-query spread over runs, summed up over queries; queries of one run have no spread and are left out."""
+def query_stability(values: DataFrame, keys: list[str], held: int = ranks.HELD) -> DataFrame:
+    """Per-query spread over runs, summed up over queries; queries of one run have no spread and are left out. No task holds a group of more than ``held`` queries."""
     per = values.groupBy(*keys, "qid").agg(F.stddev_samp("value").alias("std"), (F.max("value") - F.min("value")).alias("range")).where("std is not null")
+    per = written(per.select(F.struct(*keys).alias("key"), "std", "range"))
     aggs = [F.count("*").alias("queries")]
     for c in ("std", "range"):
-        aggs += [F.avg(c).alias(f"mean_{c}"), F.percentile(c, F.lit(0.5)).alias(f"median_{c}"), F.percentile(c, F.lit(0.9)).alias(f"p90_{c}"), F.max(c).alias(f"max_{c}")]
+        aggs += [F.avg(c).alias(f"mean_{c}"), F.max(c).alias(f"max_{c}")]
     aggs += [F.count_if(F.col("std") > t).alias(f"std_above_{str(t).replace('.', '_')}") for t in (0.001, 0.005, 0.01)]
-    return per.groupBy(*keys).agg(*aggs)
+    out = per.groupBy("key").agg(*aggs)
+    for c in ("std", "range"):
+        out = out.join(ranks.percentiles(per, ["key"], c, {f"median_{c}": 0.5, f"p90_{c}": 0.9}, held=held), "key")
+    return out.select("key.*", *[c for c in out.columns if c != "key"])
 
 
-def nearest_rank_p95(values: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    return values.groupBy(*keys).agg(F.expr(f"percentile_disc(0.95) within group (order by {value})").alias("p95"))
+def nearest_rank_p95(values: DataFrame, keys: list[str], value: str = "value", held: int = ranks.HELD) -> DataFrame:
+    """``*keys, p95``; null for a group without values."""
+    groups = values.select(F.struct(*keys).alias("key"), F.col(value).alias("value"))
+    found = ranks.percentiles(groups, ["key"], "value", {"p95": 0.95}, discrete=True, held=held)
+    return groups.select("key").distinct().join(found, "key", "left").select("key.*", "p95")
 
 
 def most_stable(summary: DataFrame, n: int = 10) -> DataFrame:
@@ -77,74 +85,73 @@ def pair_lenient(system: DataFrame, reference: DataFrame) -> DataFrame:
     return system.select("metric", "qid", F.col("value").alias("a")).join(reference.select("metric", "qid", F.col("value").alias("b")), ["metric", "qid"])
 
 
-def _twister(seed: int) -> np.random.RandomState:
-    """numpy's generator with the state of ``random.Random(seed)``: both give the same numbers from here."""
-    state = random.Random(seed).getstate()[1]
-    same = np.random.RandomState()
-    same.set_state(("MT19937", np.array(state[:-1], dtype=np.uint32), state[-1]))
-    return same
-
-
-def _blocks(samples: int, n: int):
-    """Rows of blocks of about a million numbers each, ``samples`` rows in all."""
-    rows = max(1, 2**20 // n)
-    return (min(rows, samples - at) for at in range(0, samples, rows))
-
-
 def bootstrap(values: list[float], samples: int, seed: int) -> tuple[float, float, float]:
     """Mean and percentile interval of resampled means, drawn as ``random.Random(seed).randrange`` would."""
-    twister, v, n = _twister(seed), np.asarray(values, dtype=float), len(values)
-    drawn, means = np.empty(0, dtype=np.uint32), []
-    for rows in _blocks(samples, n):
-        while len(drawn) < rows * n:  # randrange takes the top bits of a word, and the next word where they are too large
-            word = twister.randint(0, 2**32, size=rows * n, dtype=np.uint32) >> np.uint32(32 - n.bit_length())
-            drawn = np.concatenate([drawn, word[word < n]])
-        means.append(v[drawn[: rows * n]].reshape(rows, n).mean(axis=1))
-        drawn = drawn[rows * n :]
-    means = np.sort(np.concatenate(means))
-    return sum(values) / n, float(means[int(0.025 * samples)]), float(means[min(samples - 1, int(0.975 * samples))])
+    v = np.asarray(values, dtype=float)
+    means = np.sort(random_parts.bootstrap_means(v, seed, samples, 0, 1, 0, 0))
+    return sum(values) / len(values), float(means[int(0.025 * samples)]), float(means[min(samples - 1, int(0.975 * samples))])
 
 
 def sign_flip(values: list[float], samples: int, seed: int, shift: float = 0.0, two_sided: bool = True) -> float:
     """Share of random signs, a sign kept where ``random.Random(seed).random() < 0.5``, with a mean at least as large; ties count up to rounding."""
-    twister, v, n = _twister(seed), np.asarray(values, dtype=float) + shift, len(values)
-    size = np.abs if two_sided else np.asarray
-    seen, hits = size(v.mean()), 0
-    for rows in _blocks(samples, n):
-        signs = np.where(twister.random_sample((rows, n)) < 0.5, 1.0, -1.0)
-        hits += int((size(signs @ v / n) >= seen - 1e-12).sum())
-    return (hits + 1) / (samples + 1)
+    v = np.asarray(values, dtype=float) + shift
+    return (random_parts.sign_flip_hits(v, seed, 0, samples, two_sided) + 1) / (samples + 1)
 
 
 def randomization(a: list[float], b: list[float], samples: int, seed: int) -> float:
     d = np.asarray(a) - np.asarray(b)
-    seen = abs(d.mean())
-    if seen == 0:
-        return 1.0
-    rng, hits = np.random.default_rng(seed), 0
-    for rows in _blocks(samples, len(d)):
-        signs = rng.choice([-1.0, 1.0], size=(rows, len(d)))
-        hits += int((np.abs(signs @ d / len(d)) >= seen - 1e-12).sum())
-    return (1 + hits) / (samples + 1)
+    return 1.0 if d.mean() == 0 else (1 + random_parts.randomization_hits(d, seed, 0, samples)) / (samples + 1)
 
 
-def paired_tests(pairs: DataFrame, samples: int = 10_000, seed: int = 929, delta: float = 0.01, random_samples: int = 100_000) -> DataFrame:
-    """Superiority and non-inferiority of each comparison in ``ordinal, name, family, qid, a, b``.
+#: Numbers that a part draws, about.
+PART_DRAWS = 1 << 25
 
-    The seed of a comparison is the base seed plus its ordinal, whatever the
-    partitioning. A group holds one value a query. The bootstrap and the sign
-    flips take ``samples``, the randomisation test ``random_samples``.
-    """
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("qid")
-        d, s = (g.a - g.b).tolist(), seed + int(g.ordinal.iloc[0])
-        mean, lo, hi = bootstrap(d, samples, s)
-        row = (g.ordinal.iloc[0], g["name"].iloc[0], g.family.iloc[0], len(g), mean, lo, hi, sign_flip(d, samples, s), sign_flip(d, samples, s, delta, False), randomization(g.a, g.b, random_samples, s))
-        return pd.DataFrame([row], columns=["ordinal", "name", "family", "n", "mean_delta", "ci_low", "ci_high", "p_superior", "p_noninferior", "p_random"])
+def paired_tests(pairs: DataFrame, samples: int = 10_000, seed: int = 929, delta: float = 0.01, random_samples: int = 100_000, parts: int | None = None) -> DataFrame:
+    """Superiority and non-inferiority of each comparison in ``ordinal, name, family, qid, a, b``.
 
-    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "ordinal")  # few rows, long work: not to be merged
-    return dealt.groupBy("ordinal").applyInPandas(one, "ordinal int, name string, family string, n long, mean_delta double, ci_low double, ci_high double, p_superior double, p_noninferior double, p_random double")
+    The seed of a comparison is the base seed plus its ordinal. The bootstrap
+    and the sign flips take ``samples``, the randomisation test
+    ``random_samples``. A comparison's samples are drawn in ``parts`` (by default
+    as many as its work asks for), each at its place in the seed's streams:
+    results don't depend on their number. Counts of parts are summed up, the
+    interval's ends are found by counting passes over all means; a row holds the
+    comparison's values, one a query.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("qid", "a", "b")))
+    cells = pairs.groupBy("ordinal").agg(F.first("name").alias("name"), F.first("family").alias("family"), F.transform(rows, lambda x: x["a"] - x["b"]).alias("d"))
+    number = F.lit(parts) if parts else F.ceil((2 * samples + random_samples) * F.size("d") / PART_DRAWS)
+    cells = written(cells.select(F.col("ordinal").cast("int").alias("ordinal"), "name", "family", "d", F.greatest(number.cast("int"), F.lit(1)).alias("parts")))
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells.select("ordinal", "d", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition(tasks, "ordinal", "part")  # few rows, long work: not to be merged
+
+    def count(batches):
+        for g in batches:
+            yield pd.DataFrame({"ordinal": g.ordinal, "part": g.part, "found": [random_parts.count_indices(len(d), seed + o, samples, p, n) for o, d, p, n in zip(g.ordinal, g.d, g.part, g.parts, strict=True)]})
+
+    counted = dealt.mapInPandas(count, "ordinal int, part int, found long")
+    before = F.coalesce(F.sum("found").over(Window.partitionBy("ordinal").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = dealt.join(counted.withColumn("before", before), ["ordinal", "part"]).repartition(tasks, "ordinal", "part")
+
+    def draw(batches):
+        for g in batches:
+            for o, p, d, n, found, start in zip(g.ordinal, g.part, g.d, g.parts, g.found, g.before, strict=True):
+                d, s = np.asarray(d, dtype=float), seed + o
+                flips = [samples * k // n for k in (p, p + 1)]
+                tries = [random_samples * k // n for k in (p, p + 1)]
+                means = random_parts.bootstrap_means(d, s, samples, p, n, start, found)
+                hits = [random_parts.sign_flip_hits(d, s, *flips, True), random_parts.sign_flip_hits(d + delta, s, *flips, False), random_parts.randomization_hits(d, s, *tries)]
+                yield pd.DataFrame({"ordinal": [o], "mean": [sum(d.tolist()) / len(d)], "superior": hits[:1], "noninferior": hits[1:2], "random": hits[2:], "level": [bool(d.mean() == 0)], "means": [means]})
+
+    drawn = written(placed.mapInPandas(draw, "ordinal int, mean double, superior long, noninferior long, random long, level boolean, means array<double>"))
+    share = lambda c, n: (F.sum(c) + 1) / (n + 1)
+    sums = drawn.groupBy("ordinal").agg(F.max("mean").alias("mean_delta"), share("superior", samples).alias("p_superior"), share("noninferior", samples).alias("p_noninferior"), F.when(F.max("level"), 1.0).otherwise(share("random", random_samples)).alias("p_random"))
+    low, high = int(0.025 * samples), min(samples - 1, int(0.975 * samples))
+    ends = cells.select("ordinal", F.explode(F.array(F.lit(low), F.lit(high))).alias("rank"))
+    found = ranks.order_statistics(drawn.select("ordinal", F.explode("means").alias("mean")), ["ordinal"], "mean", ends)
+    found = found.groupBy("ordinal").agg(F.max(F.when(F.col("rank") == low, F.col("value"))).alias("ci_low"), F.max(F.when(F.col("rank") == high, F.col("value"))).alias("ci_high"))
+    out = cells.select("ordinal", "name", "family", F.size("d").cast("long").alias("n")).join(sums, "ordinal").join(found, "ordinal")
+    return out.select("ordinal", "name", "family", "n", "mean_delta", "ci_low", "ci_high", "p_superior", "p_noninferior", "p_random")
 
 
 def holm(tests: DataFrame, p: str = "p", family: str = "family", order: str = "ordinal", name: str = "p_holm") -> DataFrame:
