@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import labels, text, udfs
-from ..operators import audit, metrics, rerank, stats, tournaments
+from ..operators import audit, metrics, ranks, rerank, stats, tournaments
 from ..operators.comparators import NoisyComparator, TextComparator
 from ..sources import readers, writers
 from ..streaming import jobs
-from . import attempts, base, cases, files  # noqa: F401  (attempts, cases and files register queries)
+from . import attempts, base, cases, files, streams  # noqa: F401  (these register queries)
 from .base import LOG_SQL, POOL_SQL, VALUES_SQL
 from .register import QUERIES, SQL, query
 
@@ -340,6 +340,13 @@ def nearest_rank_p95(spark, d):
     return stats.nearest_rank_p95(base.run_values(spark, d), ["method", "condition"])
 
 
+@query("SELECT l_returnflag AS method, quantile_disc(l_extendedprice, 0.05) AS p05, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY ALL")
+def percentiles_by_passes(spark, d):
+    """Groups of a third of all rows: no task holds one."""
+    line = base.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("method"), "l_extendedprice")
+    return ranks.percentiles(line, ["method"], "l_extendedprice", {"p05": 0.05, "p50": 0.5, "p95": 0.95}, discrete=True, held=0)
+
+
 _BIAS_RELS = "array(1 + event_id % 3, event_id % 5, 1, 2, event_id % 7, 3, 2)"
 
 
