@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.readers import top_hits
+from ..sources.shared import written
 
 
 def _run_errors(run: DataFrame, pools: DataFrame) -> DataFrame:
@@ -187,17 +190,42 @@ def _quoted(col: str):
     return F.substring(text, F.lit(2), F.length(text) - 2)
 
 
+def ordered_digest(lines: DataFrame, order: list[str], line: str = "line", opening: str = "", between: str = "", closing: str = "") -> DataFrame:
+    """``hash``: sha256 of the lines, strung together in the order of the columns ``order``.
+
+    Rows are dealt and sorted by ranges over the cluster and written; then one
+    task, which a hash of a whole needs, reads them as a stream into one hash
+    state. It holds one batch at any number of rows, and fails unless they
+    come in order.
+    """
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lines.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = written(dealt.select(F.monotonically_increasing_id().alias("at"), F.col(line).alias("line")))
+
+    def digest(batches):
+        state, last, gap = hashlib.sha256(opening.encode()), -1, b""
+        for batch in batches:
+            for at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if at <= last:
+                    raise ValueError("lines out of order")
+                state.update(gap + text.encode("utf-8", "surrogatepass"))
+                last, gap = at, between.encode()
+        state.update(closing.encode())
+        yield pa.record_batch([pa.array([state.hexdigest()])], ["hash"])
+
+    none = hashlib.sha256((opening + closing).encode()).hexdigest()
+    return rows.coalesce(1).mapInArrow(digest, "hash string").agg(F.coalesce(F.max("hash"), F.lit(none)).alias("hash"))
+
+
 def qrels_hash(qrels: DataFrame) -> DataFrame:
     """``hash``: sha256 of the compact JSON list of all judgements ``[qid, docid, rel, iteration]``, sorted.
 
-    ``iteration`` is "0" where there is no such column. The hash is one of a whole
-    judgement set, so its rows meet in one task; they are short.
+    ``iteration`` is "0" where there is no such column.
     """
     it = F.col("iteration").cast("string") if "iteration" in qrels.columns else F.lit("0")
     rows = qrels.select(F.col("qid").cast("string").alias("q"), F.col("docid").cast("string").alias("d"), F.col("rel").cast("int").alias("r"), it.alias("i"))
-    rows = rows.select(F.struct("q", "d", "r", "i").alias("key"), _json_list(_quoted("q"), _quoted("d"), F.col("r").cast("string"), _quoted("i")).alias("json"))
-    every = F.array_sort(F.collect_list(F.struct("key", "json")))
-    return rows.agg(F.sha2(_json_list(F.array_join(F.transform(every, lambda x: x["json"]), ",")), 256).alias("hash"))
+    rows = rows.withColumn("line", _json_list(_quoted("q"), _quoted("d"), F.col("r").cast("string"), _quoted("i")))
+    return ordered_digest(rows, ["q", "d", "r", "i"], opening="[", between=",", closing="]")
 
 
 def canonical_json(values: pd.Series) -> pd.Series:
@@ -208,8 +236,7 @@ def canonical_json(values: pd.Series) -> pd.Series:
 def input_hash(records: DataFrame) -> DataFrame:
     """``hash``: sha256 of the canonical JSON ``record`` of each ``qid``, in the order of ids, each with a line end."""
     lines = records.select("qid", F.pandas_udf(canonical_json, "string")("record").alias("line"))
-    every = F.array_sort(F.collect_list(F.struct("qid", "line")))
-    return lines.agg(F.sha2(F.array_join(F.transform(every, lambda x: F.concat(x["line"], F.lit("\n"))), ""), 256).alias("hash"))
+    return ordered_digest(lines.withColumn("line", F.concat("line", F.lit("\n"))), ["qid", "line"])
 
 
 def local_passages(official: DataFrame, local: DataFrame) -> DataFrame:

@@ -273,22 +273,3 @@ def discover(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """``path, length`` of the files below ``root`` whose name fits the glob ``pattern``, at any depth; contents aren't read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
     return files.select("path", "length")
-
-
-def collect_attempts(manifests: DataFrame, telemetry: DataFrame, smoke: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Telemetry of the latest finished attempts, and the attempts left out with a reason.
-
-    ``manifests``: ``attempt, cell, latest, has_manifest, done, smoke``; ``telemetry`` may be a
-    union by name of all schema versions, with ``query_wall_seconds`` or ``wall_seconds``.
-    """
-    why = F.when(~F.col("has_manifest"), "no manifest").when(~F.col("done"), "not done").when(F.col("smoke") & F.lit(not smoke), "smoke").when(~F.col("latest"), "superseded")
-    judged = manifests.withColumn("reason", why)
-    cols = set(telemetry.columns)
-    first = lambda *names: F.coalesce(*[F.col(n) for n in names if n in cols], F.lit(None))
-    rows = telemetry.join(judged.where("reason is null").select("attempt", "cell"), "attempt")
-    out = rows.withColumn("wall_seconds", first("wall_seconds", "query_wall_seconds").cast("double")).withColumn("llm_calls", first("llm_calls", "calls", "total_calls").cast("long"))
-    return out, judged.where("reason is not null").select("attempt", "cell", "reason")
-
-
-def file_hashes(spark: SparkSession, path) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
