@@ -35,6 +35,8 @@ _SCHEMA = pa.schema([("g", pa.int64()), ("b", pa.int64()), ("kind", pa.int32()),
 _ASK, _STATE, _REPLY = 0, 1, 2
 #: Most buckets that groups write to themselves.
 DIRECT = 4096
+#: Rows alike in id and text that may meet in one group; of more, each is dealt by its place too.
+ALIKE = 1024
 #: Where there are more: ranges of names, each a relay's, that a group writes to, and groups that share their relays.
 FAN = 1024
 
@@ -218,14 +220,23 @@ def rounds(docs: DataFrame, id_col: str, text_col: str, asks: list, judges: list
     the text that a group, and the names of the text that a bucket stands for;
     the numbers of both grow with the input.
     """
-    text = F.col(f"`{text_col}`").cast("string")
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    text, own = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
+    # one pass over the texts, and a narrow exchange: how much there is, and whether rows are alike in masses
+    kinds = docs.groupBy(own.alias("id"), F.md5(F.coalesce(text, F.lit(""))).alias("md5")).agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes"))
+    total, most = kinds.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     groups = max(96, math.ceil(total / group_bytes))
     buckets = max(48, math.ceil(total / bucket_bytes))
     way = Way(buckets, buckets > DIRECT)
-    own = F.col(f"`{id_col}`").cast("long")
     # dealt by id and text, so that rows without an id, or with the same one, do not meet in one group
-    base = docs.select(F.pmod(F.xxhash64(own, text), F.lit(groups)).alias("g"), own.alias("doc_id"), text.alias("text"))
+    base = docs.select(own.alias("doc_id"), text.alias("text"))
+    deal = [F.col("doc_id"), F.col("text")]
+    if most > ALIKE:
+        masses = kinds.where(F.col("n") > ALIKE).select("id", "md5", F.lit(True).alias("mass"))
+        base = base.withColumn("place", F.monotonically_increasing_id())
+        same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("md5"))
+        base = base.join(masses, same, "left")
+        deal.append(F.when(F.col("mass"), F.floor(F.col("place") / ALIKE)))
+    base = base.select(F.pmod(F.xxhash64(*deal), F.lit(groups)).alias("g"), "doc_id", "text")
 
     def first(table: pa.Table) -> pa.Table:
         ask, state = asks[0](Texts(table), b"", None)

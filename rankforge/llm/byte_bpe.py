@@ -74,7 +74,7 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str):
         self.rank = _vocabulary(ranks)
         self.split = regex.compile(pattern).findall
-        self.spaced, self.odd = pattern == SPACED, re.compile(r" \s").search
+        self.spaced, self.odd = pattern == SPACED, re.compile(r" \s|\s \Z").search
         self.base = max(self.rank.values()) + 1
         self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         merges = {}
@@ -232,7 +232,8 @@ class Codec:
         """Parts of a text that the pattern can't match across, as keys of ``known``.
 
         No match of the pattern but white space goes on past a space, so where
-        no space stands before white space the text falls apart before each.
+        no space stands before white space, or after it at the very end, the text
+        falls apart before each.
         A key ending in a lone surrogate stands for itself, others for a space and themselves.
         """
         if not self.spaced or self.odd(text):

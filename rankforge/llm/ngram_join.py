@@ -23,7 +23,7 @@ the counts of the data at hand.
 from __future__ import annotations
 
 import hashlib
-from itertools import combinations
+from itertools import combinations, islice
 from math import comb
 
 import numpy as np
@@ -37,8 +37,10 @@ from ._session import cut
 from .components import connected_components
 
 SETS = "doc_id long, n_shingles long, md5 string, set_id binary, prefix int, shared array<long>"
-#: Boundaries that the cost is worked out for: a light set of more has over 10**12 subsets.
-BOUNDARIES = 64
+#: Boundaries that the cost is worked out for, and the most subsets that a light set may have of one size: sets of more are heavy.
+BOUNDARIES, SUBSETS = 64, 1 << 17
+#: Subsets that a task holds at once.
+TURN = 1 << 14
 #: Rows of inverted lists that a group of the scan holds, and members of a list that meet in it.
 BLOCK = 1024
 
@@ -127,34 +129,43 @@ def _choose_boundary(sets: DataFrame, postings: DataFrame, percent: int) -> int:
         rows = sum(c * comb(n, least_overlap(n, m, percent)) for n, c in many.items() for m in range(-(-percent * n // 100), n * 100 // percent + 1) if min(n, m) <= x)
         return rows + sum(c for n, c in scan.items() if n > x)
 
-    return min(range(BOUNDARIES + 1), key=lambda x: (cost(x), x))
+    return min(range(most_light(percent) + 1), key=lambda x: (cost(x), x))
+
+
+def most_light(percent: int) -> int:
+    """The largest boundary at which no set has more than ``SUBSETS`` subsets of a size that it needs."""
+    for x in range(1, BOUNDARIES + 1):
+        if any(comb(n, least_overlap(n, m, percent)) > SUBSETS for n in range(x, x * 100 // percent + 1) for m in range(-(-percent * n // 100), n * 100 // percent + 1) if min(n, m) == x):
+            return x - 1
+    return BOUNDARIES
 
 
 def _light_links(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
-    """Stars between sets with a common subset of the size that their sizes need."""
+    """Stars between sets with a common subset of the size that their sizes need. A subset is known by 128 bits."""
+    kinds = {"lo": pa.int32(), "hi": pa.int32(), "key": pa.int64(), "more": pa.int64(), "n": pa.int32(), "set_id": pa.binary()}
 
     def subsets(batches):
         for batch in batches:
-            out = [[], [], [], [], []]
             for sid, n, shared in zip(*(batch.column(k).to_pylist() for k in ("set_id", "n", "shared")), strict=True):
-                names = mix(np.array(shared, np.int64).view(np.uint64))
+                names = np.array(shared, np.int64).view(np.uint64)
+                both = mix(names), mix(names ^ np.uint64(0x5BD1E995))
                 for m in range(-(-percent * n // 100), n * 100 // percent + 1):
                     need = least_overlap(n, m, percent)
-                    if min(n, m) <= boundary and need <= len(names):
-                        pick = np.array(list(combinations(range(len(names)), need)), np.int64)
-                        for key in mix(names[pick].sum(axis=1, dtype=np.uint64)).view(np.int64).tolist():
-                            for col, v in zip(out, (min(n, m), max(n, m), key, n, sid), strict=True):
-                                col.append(v)
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["lo", "hi", "key", "n", "set_id"])
-                    out = [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["lo", "hi", "key", "n", "set_id"])
-
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-    rows = sets.where((F.col("n") <= boundary * 100 // percent)).mapInArrow(subsets, "lo int, hi int, key long, n int, set_id binary")
-    buckets = rows.groupBy("lo", "hi", "key").agg(F.min("set_id").alias("v"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.count("*").alias("c")).where("c > 1 and n0 = lo and n1 = hi")
+                    if min(n, m) > boundary or need > len(names):
+                        continue
+                    every = combinations(range(len(names)), need)
+                    while pick := list(islice(every, TURN)):
+                        at = np.array(pick, np.int64)
+                        key, more = (mix(x[at].sum(axis=1, dtype=np.uint64)).view(np.int64) for x in both)
+                        k = len(pick)
+                        columns = [np.full(k, min(n, m)), np.full(k, max(n, m)), key, more, np.full(k, n), [sid] * k]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    rows = sets.where((F.col("n") <= boundary * 100 // percent)).mapInArrow(subsets, "lo int, hi int, key long, more long, n int, set_id binary")
+    same = ["lo", "hi", "key", "more"]
+    buckets = rows.groupBy(*same).agg(F.min("set_id").alias("v"), F.min("n").alias("n0"), F.max("n").alias("n1"), F.count("*").alias("c")).where("c > 1 and n0 = lo and n1 = hi")
     # members of unequal sizes all link to the other size, so a star of them is connected by links
-    return rows.join(buckets.select("lo", "hi", "key", "v"), ["lo", "hi", "key"]).select(F.col("set_id").alias("u"), "v")
+    return rows.join(buckets.select(*same, "v"), same).select(F.col("set_id").alias("u"), "v")
 
 
 class Scan:
