@@ -163,6 +163,34 @@ def smoke_gate(run: DataFrame, metrics: DataFrame, depth: int) -> DataFrame:
     return g.where(F.col("n") != depth).select("qid", F.lit("row_count").alias("rule")).unionAll(g.where("t <> u").select("qid", F.lit("top10_distinct").alias("rule"))).unionAll(all_.select(F.lit("all").alias("qid"), F.lit("ndcg_zero").alias("rule")))
 
 
+#: The averages that a smoke run's log must have; the first five are answers that a fallback stood in for.
+SMOKE_COUNTERS = (
+    "parse fallbacks",
+    "numeric out-of-range fallbacks",
+    "degenerate repetition fallbacks",
+    "unparseable after exhaustion fallbacks",
+    "duplicate label fallbacks",
+    "parse_failure_strict",
+    "parse_failure_bm25_fallback",
+)
+
+
+def smoke_logs(logs: DataFrame, least_retries: int = 3) -> DataFrame:
+    """``path, rule`` for each rule that a smoke run's log text ``path, value`` breaks.
+
+    No line of an error; all counters there; no strict or first-stage failure; and where
+    fallbacks were accepted, at least ``least_retries`` retries before them.
+    """
+    counter = {c: F.nullif(F.regexp_extract("value", rf"(?m)^Avg {c}: ([0-9]+(?:\.[0-9]+)?)$", 1), F.lit("")).cast("double") for c in SMOKE_COUNTERS}
+    retries = F.coalesce(F.nullif(F.regexp_extract("value", r"(?m)^Total retries fired: ([0-9]+)$", 1), F.lit("")).cast("long"), F.lit(0))
+    rules = [F.when(F.col("value").rlike("Traceback|ERROR|exceeds model limit"), F.lit("error_line"))]
+    rules += [F.when(v.isNull(), F.lit(f"missing:{c}")) for c, v in counter.items()]
+    rules += [F.when(counter[c] != 0, F.lit(c)) for c in SMOKE_COUNTERS[5:]]
+    accepted = reduce(lambda a, b: a + b, [counter[c] for c in SMOKE_COUNTERS[:5]])
+    rules.append(F.when((accepted > 0) & (retries < least_retries), F.lit("retries")))
+    return logs.select("path", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+
+
 def context_fit(prompts: DataFrame, limit: int, reserve: int = 256) -> DataFrame:
     """How many prompts ``qid, tokens`` fit a context of ``limit`` tokens with ``reserve`` kept for the answer."""
     return prompts.agg(F.count("*").alias("prompts"), F.max("tokens").alias("most"), F.expr("percentile_disc(0.95) within group (order by tokens)").alias("p95"), F.count_if(F.col("tokens") > limit - reserve).alias("too_long"))

@@ -123,6 +123,19 @@ def log_measures(spark, d):
     return readers.log_measures(_logs(spark, d))
 
 
+@query("""WITH o AS (SELECT o_orderkey::VARCHAR AS path, o_orderkey AS k FROM orders) SELECT path, 'missing:duplicate label fallbacks' AS rule FROM o WHERE k % 13 = 0 UNION ALL SELECT path, 'parse_failure_strict' FROM o WHERE k % 11 = 0
+UNION ALL SELECT path, 'retries' FROM o WHERE k % 13 <> 0 AND k % 4 > 0 AND k % 6 < 3 UNION ALL SELECT path, 'error_line' FROM o WHERE k % 17 = 0""")
+def smoke_logs(spark, d):
+    """A smoke run's log for each order, some with faults."""
+    k = F.col("o_orderkey")
+    value = {c: F.lit("0") for c in audit.SMOKE_COUNTERS}
+    value["parse fallbacks"] = F.concat((k % 4).cast("string"), F.lit(".0"))
+    value["parse_failure_strict"] = F.when(k % 11 == 0, "0.5").otherwise("0")
+    value["duplicate label fallbacks"] = F.when(k % 13 != 0, "0")
+    lines = [F.concat(F.lit(f"Avg {c}: "), v) for c, v in value.items()] + [F.concat(F.lit("Total retries fired: "), (k % 6).cast("string")), F.when(k % 17 == 0, "Traceback (most recent call last):")]
+    return audit.smoke_logs(base.read(spark, d, "orders").select(k.cast("string").alias("path"), F.concat_ws("\n", *lines).alias("value")))
+
+
 @query("SELECT o_orderkey::VARCHAR AS name, o_orderstatus AS family, 's' || o_custkey AS system, 'r' AS reference, 'ndcg_cut_10' AS metric, CASE WHEN o_orderkey % 2 = 0 THEN 'higher' ELSE 'lower' END AS direction FROM orders")
 def comparison_specs(spark, d):
     o = base.read(spark, d, "orders")
