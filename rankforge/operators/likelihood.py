@@ -25,11 +25,11 @@ def query_likelihood(pool: DataFrame, queries: DataFrame, docs: DataFrame, mu: f
     pool, so nothing grows with queries times documents.
     """
     asked = queries.select("qid", F.explode(_tokens("text")).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("asked"))
-    said = docs.select("docid", _tokens("text").alias("toks"))
-    collection = said.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("in_all"))
+    collection = docs.select(F.explode(_tokens("text")).alias("tok")).groupBy("tok").agg(F.count("*").alias("in_all"))
     known = asked.join(collection, "tok")
-    total = said.agg(F.sum(F.size("toks")).alias("tokens"))
-    kept = said.join(pool.select("docid").distinct(), "docid", "left_semi")
+    total = collection.agg(F.sum("in_all").alias("tokens"))
+    # texts are split after the join that picks them: they are shorter than their tokens, and their counts need no other exchange
+    kept = docs.select("docid", "text").join(pool.select("docid").distinct(), "docid", "left_semi").select("docid", _tokens("text").alias("toks"))
     length = kept.groupBy("docid").agg(F.sum(F.size("toks")).alias("length"))
     counts = kept.select("docid", F.explode("toks").alias("tok")).groupBy("docid", "tok").agg(F.count("*").alias("in_doc"))
     rows = pool.select("qid", "docid", "pos").join(length, "docid", "left")
