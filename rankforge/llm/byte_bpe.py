@@ -74,7 +74,8 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str):
         self.rank = _vocabulary(ranks)
         self.split = regex.compile(pattern).findall
-        self.spaced, self.odd = pattern == SPACED, re.compile(r" \s|\s \Z").search
+        self.spaced, twice = pattern == SPACED, re.compile(r" \s").search
+        self.odd = lambda text: twice(text) or (text[-1:] == " " and text[-2:-1].isspace())
         self.base = max(self.rank.values()) + 1
         self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         merges = {}
@@ -334,6 +335,32 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     return own.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
 
 
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``decode_ids`` of ``encode_texts``, in one Python worker a task in place of two.
+
+    Nulls, repeated rows and an empty table are as in ``encode_texts``: a null
+    text has no ids and no bytes, each row has its own, no row gives none.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((_ranks(path), pattern))
+
+    def run(batches):
+        import pyarrow.compute  # noqa: F401
+
+        codec, decoder = _codec(*shared.value), _decoder(shared.value[0])
+        for batch in batches:
+            for lo, hi in _slices(pa.compute.binary_length(batch.column(1)).to_pylist()):
+                part = batch.slice(lo, hi - lo)
+                ids, count = codec.encode(part.column(1).to_pylist())
+                body, ends = decoder.decode(ids.astype(np.int64), count)
+                cells = lambda at, flat, n=hi - lo: pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), cells(np.concatenate([[0], np.cumsum(count)]) * 4, ids.astype("<u4")), cells(ends, body)], ["doc_id", "n_tokens", "ids", "decoded"])
+        pa.default_memory_pool().release_unused()
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    own = docs.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
+    return own.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+
+
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``encoded`` (``doc_id, n_tokens, ids``) with ``decoded``, the bytes that the ids stand for."""
     shared = encoded.sparkSession.sparkContext.broadcast(_ranks(path))

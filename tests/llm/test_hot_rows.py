@@ -90,3 +90,16 @@ def test_white_space_before_a_last_space(spark, tmp_path):
     got = byte_bpe.encode_texts(spark.createDataFrame(list(enumerate(texts)), SCHEMA), str(path), public_tokenizers.PATTERN).select("doc_id", "ids").collect()
     for r in got:
         assert list(memoryview(bytes(r.ids)).cast("I")) == enc.encode_ordinary(texts[r.doc_id]), texts[r.doc_id]
+
+
+def test_one_worker_encodes_and_decodes_as_two(spark):
+    from rankforge.llm.queries import tokenizer
+
+    path, pattern = tokenizer()
+    rng = random.Random(8)
+    rows = [(k, "".join(rng.choices(["word", " ", "\n", "É", "日本", "12", "'s"], k=rng.randrange(60)))) for k in range(80)] + [(90, None), (91, ""), (None, "a b"), (90, None), (92, "long " * 30_000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    one, two = byte_bpe.encode_and_decode(docs, path, pattern), byte_bpe.decode_ids(byte_bpe.encode_texts(docs, path, pattern), path, pattern)
+    assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
+    assert sorted(bytes(r.decoded).decode() for r in one.collect()) == sorted(t or "" for _, t in rows)
+    assert byte_bpe.encode_and_decode(docs.limit(0), path, pattern).count() == 0
