@@ -13,7 +13,7 @@ from ..operators import audit, metrics, ranks, rerank, stats, tournaments
 from ..operators.comparators import NoisyComparator, TextComparator
 from ..sources import readers, writers
 from ..streaming import jobs
-from . import attempts, base, files, integrity, streams  # noqa: F401  (these register queries)
+from . import attempts, base, files, integrity, overlaps, streams  # noqa: F401  (these register queries)
 from .base import LOG_SQL, POOL_SQL, VALUES_SQL
 from .register import QUERIES, SQL, query
 

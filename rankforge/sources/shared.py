@@ -23,3 +23,10 @@ def written(rows: DataFrame) -> DataFrame:
     """``rows`` as a written table in the shared folder, for what is read more than once."""
     shared_folder(rows.sparkSession, "")
     return rows.checkpoint(eager=True)
+
+
+def written_table(rows: DataFrame) -> DataFrame:
+    """``rows`` as Parquet in the shared folder: made once, with column pruning and a size that joins can go by."""
+    path = shared_folder(rows.sparkSession, "table")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
