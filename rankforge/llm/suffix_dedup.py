@@ -1,20 +1,22 @@
-"""Suffix dedup by winnowing with hash look-ups, in place of bucket-pointer refinement.
-
-A suffix's first bucket identifier is its 8-gram; identifiers of longer
-prefixes are folded from the 8-grams at later offsets. Buckets are refined only
-while they can still matter:
-
-1. A suffix is sampled where its 24-gram identifier is the least of some
-   window of ``length`` bytes; each window has one such suffix. The sampled
-   suffixes are sorted into buckets; a bucket of one group's only is settled.
-2. What is left is sorted on the identifiers at all later offsets that the
-   windows of the suffix reach. If a smaller document has the same ones, all of
-   these windows are repeats. A bucket stays open only if somewhere in it
-   a later document differs from the earlier ones.
-3. In open buckets each window is sorted on its own identifier.
-
-Identifiers longer than 8 bytes are hashes, and bytes are removed only if 96
-bits agree at least: bucket and extent, or both names of a window.
+"""Suffix dedup by bucket-pointer refinement of sampled suffixes.
+
+A suffix is sampled where its 24-gram is the least of some window of ``length``
+bytes; each window has one such suffix. Then:
+
+1. Sampled suffixes are sorted into buckets by their 24-gram. A bucket of
+   several groups gets a number, its bucket pointer, which goes back to the
+   groups; a bucket of one suffix only is settled.
+2. What is left is sorted on the pointers of its own bucket and of the bucket at
+   the next sampled offset, with the bytes that neither 24-gram covers, over all
+   that the windows of the suffix reach. If a smaller document has the same, all
+   of these windows are repeats. A bucket stays open only if somewhere in it a
+   later document differs from the earlier ones.
+3. In open buckets each window is sorted on the pointer of the suffix in it and
+   the bytes around its 24-gram.
+
+The bytes of a 24-gram enter later steps by its pointer alone. Buckets are
+numbered by the order of 64-bit names of 24-grams, so a false removal needs two
+24-grams of one name with the same bytes around them.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._names import Texts, mix, pair
-from ._rounds import Ask, distinct, earlier, holders, rounds, spread
+from ._names import Texts, mix, pack, pair, unpack
+from ._rounds import Ask, distinct, earlier, rounds, runs, spread
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 _GRAM = 24
@@ -32,6 +34,8 @@ _GRAM = 24
 _PIECE = 1 << 17
 _PLACE = np.uint64((1 << 20) - 1)
 _SECOND = 0x5851F42D
+#: The half of a name that says who reads it; a bucket pointer keeps it, and has the bucket's number in the other half.
+_READER = np.uint64(0xFFFFFFFF << 32)
 
 
 def _eight(raw: np.ndarray) -> np.ndarray:
@@ -39,28 +43,31 @@ def _eight(raw: np.ndarray) -> np.ndarray:
     return np.ndarray((len(raw) - 7,), "<u8", np.ascontiguousarray(raw), 0, (1,))
 
 
-def _fold(raw: np.ndarray, lo: np.ndarray, size, most: int, seed: int) -> np.ndarray:
-    """Identifier of the ``size`` bytes (at most ``most``) from each ``lo``, folded from their 8-grams."""
-    eight, out = _eight(raw), np.full(len(lo), seed, np.uint64) + np.asarray(size).astype(np.uint64)
+def _fold(raw: np.ndarray, lo: np.ndarray, size, most: int, out: np.ndarray, grams, seed: int = 0) -> np.ndarray:
+    """``out`` with the ``size`` bytes (at most ``most``) from each ``lo``, but for what lies in a 24-gram at one of ``grams``."""
+    eight = _eight(raw)
     for k in range(0, most, 8):
-        out = pair(out, eight[lo + np.minimum(k, size - 8)], k)
+        at = np.minimum(k, size - 8) + lo
+        covered = np.zeros(len(lo), bool)
+        for gram in grams:
+            covered |= (at >= gram) & (at + 8 <= gram + _GRAM)
+        out = pair(out, np.where(covered, np.uint64(0), eight[at]), k + seed)
     return out
 
 
 class Buckets:
-    """The sampled suffixes of one group, with their bucket identifiers and the windows that each stands for.
+    """The sampled suffixes of one group, with the windows that each stands for.
 
-    ``start`` is the first window of a suffix, ``width`` the number of its
-    windows (they are adjacent), ``name`` the bucket, ``extent`` the identifier of
-    all bytes that the windows reach and of the suffix's place in them.
+    ``anchor`` is the place of a suffix, ``name`` that of its 24-gram; ``start`` is
+    its first window, ``width`` the number of its windows (they are adjacent).
     """
 
-    def __init__(self, texts: Texts, length: int, extents: bool = True):
+    def __init__(self, texts: Texts, length: int):
         self.raw, self.length = texts.raw, length
-        parts = [self._piece(texts, lo, extents) for lo in range(0, max(0, len(texts.raw) - length + 1), _PIECE)]
-        self.start, self.width, self.name, self.extent, self.doc = (np.concatenate(c) if parts else np.zeros(0, t) for c, t in zip(zip(*parts, strict=True) if parts else [()] * 5, (np.int64, np.int64, np.uint64, np.uint64, np.int64), strict=True))
+        parts = [self._piece(texts, lo) for lo in range(0, max(0, len(texts.raw) - length + 1), _PIECE)]
+        self.start, self.width, self.anchor, self.name, self.doc = (np.concatenate(c) if parts else np.zeros(0, t) for c, t in zip(zip(*parts, strict=True) if parts else [()] * 5, (np.int64, np.int64, np.int64, np.uint64, np.int64), strict=True))
 
-    def _piece(self, texts: Texts, lo: int, extents: bool):
+    def _piece(self, texts: Texts, lo: int):
         """The suffixes of the windows that start in one piece; a piece's edge only parts a suffix in two."""
         raw = self.raw[lo : lo + _PIECE + self.length - 1]
         starts = np.arange(len(raw) - self.length + 1)
@@ -74,10 +81,7 @@ class Buckets:
         new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
         first = np.flatnonzero(new)
         width, anchor, start = np.diff(np.append(first, len(least))), least[first], starts[first]
-        extent = np.zeros(len(first), np.uint64)
-        if extents and len(first):
-            extent = pair(_fold(raw, start, width - 1 + self.length, 2 * self.length - _GRAM, 0), (anchor - start).astype(np.uint64))
-        return start + lo, width, mix(gram[anchor]), extent, doc[first]
+        return start + lo, width, anchor + lo, mix(gram[anchor]), doc[first]
 
     @staticmethod
     def _least(gram: np.ndarray, w: int) -> np.ndarray:
@@ -91,14 +95,48 @@ class Buckets:
             key = np.minimum(key[: len(key) - (w - size)], key[w - size :])
         return (key & _PLACE).astype(np.int64)
 
+    def pointers(self, which: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Bucket pointers of all suffixes, from the numbers of the distinct names of ``which``; the name itself where there is none."""
+        out = self.name.copy()
+        names, place = np.unique(self.name[which], return_inverse=True)
+        out[which] = np.where(numbers > 0, names & _READER | numbers, names)[place]
+        return out
+
+    def extents(self, which: np.ndarray, pointer: np.ndarray) -> np.ndarray:
+        """Identifiers of all bytes that the windows of these suffixes reach, and of the places of suffixes in them."""
+        return np.concatenate([np.zeros(0, np.uint64), *(self._extents(which[k : k + _PIECE], pointer) for k in range(0, len(which), _PIECE))])
+
+    def _extents(self, which: np.ndarray, pointer: np.ndarray) -> np.ndarray:
+        start, anchor, size = self.start[which], self.anchor[which], self.width[which] - 1 + self.length
+        after = np.minimum(which + 1, len(self.start) - 1)
+        # the next suffix, where it is of the same document and its 24-gram ends in what the windows reach
+        later = self.anchor[after]
+        has = (self.doc[after] == self.doc[which]) & (later > anchor) & (later + _GRAM <= start + size)
+        later = np.where(has, later, anchor)
+        out = pair(pointer[which], np.where(has, pointer[after], np.uint64(0)))
+        out = pair(out, (size << 32 | (later - start) << 16 | anchor - start).astype(np.uint64))
+        return _fold(self.raw, start, size, 2 * self.length - _GRAM, out, (anchor, later))
+
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows of these suffixes, and their documents."""
+        """Starts of the windows of these suffixes, and the suffix of each."""
         z = self.width[which]
-        return np.repeat(self.start[which] - (np.cumsum(z) - z), z) + np.arange(z.sum()), np.repeat(self.doc[which], z)
+        return np.repeat(self.start[which] - (np.cumsum(z) - z), z) + np.arange(z.sum()), np.repeat(which, z)
+
+    def window_names(self, starts: np.ndarray, which: np.ndarray, pointer: np.ndarray, seed: int) -> np.ndarray:
+        """Identifiers of windows, from the pointers of their suffixes ``which``."""
+        parts = [np.zeros(0, np.uint64)]
+        for k in range(0, len(starts), _PIECE):
+            lo, suffix = starts[k : k + _PIECE], which[k : k + _PIECE]
+            anchor = self.anchor[suffix]
+            parts.append(_fold(self.raw, lo, self.length, self.length, pair(pointer[suffix], (anchor - lo).astype(np.uint64), seed), (anchor,), seed))
+        return np.concatenate(parts)
+
 
-    def window_names(self, starts: np.ndarray, seed: int) -> np.ndarray:
-        out = [_fold(self.raw, starts[k : k + _PIECE], self.length, self.length, seed) for k in range(0, len(starts), _PIECE)]
-        return np.concatenate([np.zeros(0, np.uint64), *out])
+def number(names: np.ndarray, columns) -> np.ndarray:
+    """The number of each name's bucket, from 1, among this reader's buckets of several groups; 0 where nobody else has the name."""
+    order, starts = runs(names)
+    many = np.diff(np.append(starts, len(order))) > 1
+    return spread(order, starts, np.where(many, np.cumsum(many), 0).astype(np.uint64))
 
 
 def settle(names: np.ndarray, columns) -> np.ndarray:
@@ -124,11 +162,19 @@ class Refinement:
         self.length = length
 
     def ask_suffixes(self, texts: Texts, state: bytes, replies):
-        return Ask(np.unique(Buckets(texts, self.length, extents=False).name)), b""
+        return Ask(np.unique(Buckets(texts, self.length).name)), b""
+
+    def _keep(self, bits: np.ndarray, numbers: np.ndarray) -> bytes:
+        """State of flags, and the numbers of the buckets that later steps point to."""
+        return np.packbits(bits).tobytes() + pack(numbers)
+
+    def _kept(self, state: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+        at = (n + 7) // 8
+        return np.unpackbits(np.frombuffer(state[:at], np.uint8), count=n).astype(bool), unpack(state[at:])
 
-    def _entries(self, b: Buckets, which: np.ndarray, ids: np.ndarray):
-        """Distinct (suffix, extent) entries in the order of suffixes, with the least owner of each; the place of each, and its owner."""
-        name, extent, own = b.name[which], b.extent[which], ids[b.doc[which]]
+    def _entries(self, b: Buckets, which: np.ndarray, pointer: np.ndarray, ids: np.ndarray):
+        """Distinct (bucket, extent) entries in the order of buckets, with the least owner of each; the place of each, and its owner."""
+        name, extent, own = pointer[which], b.extents(which, pointer), ids[b.doc[which]]
         order = np.lexsort((own, extent, name))
         a, e = name[order], extent[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (e[1:] != e[:-1])]) if len(a) else np.zeros(0, bool)
@@ -139,35 +185,43 @@ class Refinement:
     def ask_extents(self, texts: Texts, state: bytes, replies: np.ndarray):
         b = Buckets(texts, self.length)
         _, place, count = distinct(b.name)
-        live = ((replies > 0) | (count > 1))[place] if len(place) else np.zeros(0, bool)
-        names, extent, least, _, _ = self._entries(b, np.flatnonzero(live), texts.ids())
-        return Ask(names, (least, extent)), np.packbits(live).tobytes()
-
-    def _windows(self, b: Buckets, which: np.ndarray, ids: np.ndarray):
-        """Starts of the windows and their owners; the distinct names, the place of each window and the least owners."""
-        starts, doc = b.windows(which)
-        names, first, place = np.unique(b.window_names(starts, 0), return_index=True, return_inverse=True)
+        live = (replies > 0) | (count > 1)
+        numbers, live = replies[live], live[place] if len(place) else np.zeros(0, bool)
+        which = np.flatnonzero(live)
+        names, extent, least, _, _ = self._entries(b, which, b.pointers(which, numbers), texts.ids())
+        return Ask(names, (least, extent)), self._keep(live, numbers)
+
+    def _windows(self, b: Buckets, which: np.ndarray, pointer: np.ndarray, ids: np.ndarray):
+        """Starts of the windows, their suffixes and owners; the distinct names, the place of each window and the least owners."""
+        starts, suffix = b.windows(which)
+        own = ids[b.doc[suffix]]
+        names, first, place = np.unique(b.window_names(starts, suffix, pointer, 0), return_index=True, return_inverse=True)
         least = np.full(len(names), np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(least, place, ids[doc])
-        return starts, ids[doc], names, first, place, least
+        np.minimum.at(least, place, own)
+        return starts, suffix, own, names, first, place, least
 
     def ask_windows(self, texts: Texts, state: bytes, replies: np.ndarray):
         b, ids = Buckets(texts, self.length), texts.ids()
-        live = np.flatnonzero(np.unpackbits(np.frombuffer(state, np.uint8), count=len(b.start)))
-        _, _, least, place, own = self._entries(b, live, ids)
+        live, numbers = self._kept(state, len(b.start))
+        live = np.flatnonzero(live)
+        pointer = b.pointers(live, numbers)
+        _, _, least, place, own = self._entries(b, live, pointer, ids)
         done = (own > least[place]) | (replies[place] == 1) if len(place) else np.zeros(0, bool)
         is_open = ~done & (replies[place] == 2) if len(place) else done
         known, ask = np.zeros(len(b.start), bool), np.zeros(len(b.start), bool)
         known[live[done]], ask[live[is_open]] = True, True
-        starts, _, names, first, _, least = self._windows(b, np.flatnonzero(ask), ids)
-        second = b.window_names(starts[first], _SECOND) >> np.uint64(32)
-        return Ask(names, (least, second)), np.packbits(np.concatenate([known, ask])).tobytes()
+        which = np.flatnonzero(ask)
+        starts, suffix, _, names, first, _, least = self._windows(b, which, pointer, ids)
+        second = b.window_names(starts[first], suffix[first], pointer, _SECOND) >> np.uint64(32)
+        # only the open buckets' numbers are needed again
+        numbers = numbers[np.isin(np.unique(b.name[live]), b.name[which])]
+        return Ask(names, (least, second)), self._keep(np.concatenate([known, ask]), numbers)
 
     def finish(self, texts: Texts, state: bytes, replies: np.ndarray) -> pa.Table:
-        b, ids, n = Buckets(texts, self.length, extents=False), texts.ids(), len(texts.raw)
-        bits = np.unpackbits(np.frombuffer(state, np.uint8), count=2 * len(b.start)).astype(bool)
+        b, ids, n = Buckets(texts, self.length), texts.ids(), len(texts.raw)
+        bits, numbers = self._kept(state, 2 * len(b.start))
         known, ask = np.flatnonzero(bits[: len(b.start)]), np.flatnonzero(bits[len(b.start) :])
-        starts, own, _, _, place, least = self._windows(b, ask, ids)
+        starts, _, own, _, _, place, least = self._windows(b, ask, b.pointers(ask, numbers), ids)
         if len(starts):
             starts = starts[(replies[place] == 1) | (own > least[place])]
         # removed bytes as disjoint runs: known suffixes, and single windows
@@ -203,4 +257,4 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if length < 32:
         raise ValueError("length must be 32 bytes or more")
     talk = Refinement(length)
-    return rounds(docs, id_col, text_col, [talk.ask_suffixes, talk.ask_extents, talk.ask_windows], [holders, settle, earlier], talk.finish, RESULT, group_bytes=1 << 20, bucket_bytes=8 << 20)
+    return rounds(docs, id_col, text_col, [talk.ask_suffixes, talk.ask_extents, talk.ask_windows], [number, settle, earlier], talk.finish, RESULT, group_bytes=1 << 20, bucket_bytes=8 << 20)
