@@ -2,18 +2,21 @@
 
 Words are symbols. Rounds alternately name runs of one symbol and pairs of
 neighbours: a bit of each symbol's name marks it left or right, and a left
-symbol followed by a right one becomes one new symbol. A name is a 64-bit hash
-of what it replaces, so it is the same on every executor, and equal substrings
-get equal symbols except near their ends.
-
-Two exchanges follow. The first tells which symbols others hold as well: a
-window whose certain interior symbols are not all shared can't repeat, and a
-shared symbol of a window's length or more shows that every window in it
-repeats. The second verifies what is left, window by window, on names of
-exactly ``window`` words.
-
-What decides a removal, a window or a symbol of a window's length or more, has
-two independent 64-bit names, and is shared only if both are.
+symbol followed by a right one becomes one new symbol. Equal substrings get
+equal symbols except near their ends.
+
+1. The low symbols, after ``LOW`` rounds of pairs, are named over all documents by
+   a Spark round: a symbol that several groups hold gets a number, the same for
+   all; one of a single group keeps the hash that it came with. A window whose
+   certain interior has a symbol of this place alone can't repeat.
+2. High symbols are named runs and pairs of these global names. One of a
+   window's length or more that others hold too shows that every window in it
+   repeats.
+3. What is left is verified window by window, by the global names of its
+   interior and the words around it.
+
+What decides a removal, a window or a high symbol, has two 64-bit names, one from
+global names and one from the words alone, and is shared only if both are.
 """
 
 from __future__ import annotations
@@ -22,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._names import Texts, Words, mix, pair
+from ._names import Texts, Words, mix, pack, pair, unpack
 from ._rounds import Ask, distinct, holders, rounds
+from .suffix_dedup import _READER, number
 
 RESULT = "doc_id long, n_words long, n_removed long, kept string"
 #: Pair rounds before the symbols that reject windows, and before those that confirm them.
@@ -60,18 +64,29 @@ def pair_round(sym, span, doc, k: int):
     return out, span, doc, np.cumsum(new) - 1, right
 
 
+class Sums:
+    """Names of any stretch of a sequence, from sums of its scrambled symbols."""
+
+    def __init__(self, sym: np.ndarray):
+        power = np.cumprod(np.full(len(sym), _STEP, np.uint64))
+        self.back = np.cumprod(np.full(len(sym) + 1, pow(_STEP, -1, 1 << 64), np.uint64))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sym) * power, dtype=np.uint64)])
+
+    def names(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return (self.sums[hi] - self.sums[lo]) * self.back[lo] + (hi - lo).astype(np.uint64)
+
+
 class Grammar:
-    """The symbols of one group's words, and for each window its certain interior."""
+    """The low symbols of one group's words, and for each window its certain interior."""
 
     def __init__(self, texts: Texts, window: int):
         self.words = w = Words(texts)
-        self.name = sym = w.names()
-        n = len(sym)
+        self.window, self.name = window, w.names()
+        sym, n = self.name, len(self.name)
         span, doc = np.ones(n, np.int64), w.doc
-        self.low = self.core = None
-        self.high: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         #: Word positions at which a window starts.
         self.starts = np.flatnonzero(np.arange(n) + window <= w.first[doc + 1]) if n else np.zeros(0, np.int64)
+        self.low, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         if not len(self.starts):
             return
         # at word position p, the boundary of the present round that surely is one for a text that starts (ends) there
@@ -79,43 +94,58 @@ class Grammar:
         sym, span, doc, at = run_round(sym, span, doc, 0)
         left = np.append(at + 1, len(sym))[left]
         right = np.append(0, at)[right]
-        for k in range(1, max(HIGH) + 1):
-            if k > LOW:
-                sym, span, doc, _ = run_round(sym, span, doc, k)
+        for k in range(1, LOW + 1):
             sym, span, doc, at, is_right = pair_round(sym, span, doc, k)
-            if k <= LOW:
-                left = np.append(at + is_right, len(sym))[left]
-                right = np.append(0, at + is_right)[right]
-            if k == LOW:
-                self.low, self.core = sym, (left[self.starts], right[self.starts + window])
-            elif k in HIGH:
-                long = np.flatnonzero(span >= window)
-                self.high.append((sym[long], (np.cumsum(span) - span)[long], span[long]))
-
-    def level_names(self) -> np.ndarray:
-        """Names of the low symbols, then for each high level the names and the second names."""
-        if self.low is None:
-            return np.zeros(0, np.uint64)
-        power = np.cumprod(np.full(len(self.name), _STEP, np.uint64))
-        back = np.cumprod(np.full(len(self.name), pow(_STEP, -1, 1 << 64), np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.name ^ _SECOND_TAG) * power, dtype=np.uint64)])
-        out = [mix(self.low ^ _LOW_TAG)]
-        for k, (sym, start, span) in enumerate(self.high):
-            second = (sums[start + span] - sums[start]) * back[start] + span.astype(np.uint64)
-            out += [mix(sym ^ (_HIGH_TAG + np.uint64(k))), mix(second ^ (_SECOND_TAG + np.uint64(k)))]
+            left = np.append(at + is_right, len(sym))[left]
+            right = np.append(0, at + is_right)[right]
+        self.span, self.doc = span, doc
+        #: First and last low symbol of each window's interior, and the word at which each low symbol starts.
+        self.core = left[self.starts], right[self.starts + window]
+        self.at = np.append(0, np.cumsum(span))
+        self.low, self.place, self.count = distinct(mix(sym ^ _LOW_TAG))
+
+    def globals(self, numbers: np.ndarray) -> np.ndarray:
+        """The global names of the low symbols in their order, from the numbers of the distinct ones."""
+        return np.where(numbers > 0, self.low & _READER | numbers, self.low)[self.place]
+
+    def high(self, named: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Symbols over global names with ``window`` words or more, at each high level: symbol, first word, words."""
+        sym, span, doc, out = named, self.span, self.doc, []
+        for k in range(LOW + 1, max(HIGH) + 1):
+            sym, span, doc, _ = run_round(sym, span, doc, k)
+            sym, span, doc, _, _ = pair_round(sym, span, doc, k)
+            if k in HIGH:
+                long = np.flatnonzero(span >= self.window)
+                out.append((sym[long], (np.cumsum(span) - span)[long], span[long]))
+        return out
+
+    def high_names(self, high) -> np.ndarray:
+        """For each high level the names, then the second names."""
+        words, out = Sums(self.name ^ _SECOND_TAG), [np.zeros(0, np.uint64)]
+        for k, (sym, start, span) in enumerate(high):
+            out += [mix(sym ^ (_HIGH_TAG + np.uint64(k))), mix(words.names(start, start + span) ^ (_SECOND_TAG + np.uint64(k)))]
         return np.concatenate(out)
 
+    def window_names(self, which: np.ndarray, named: np.ndarray) -> np.ndarray:
+        """Names of the windows at ``starts[which]``: from the global names inside and the words around them, then from words alone."""
+        if not len(self.starts):
+            return np.zeros(0, np.uint64)
+        starts, a, b = self.starts[which], self.core[0][which], self.core[1][which]
+        b = np.maximum(a, b)
+        ends, words = starts + self.window, Sums(self.name)
+        # without an interior all words are around it
+        lo, hi = np.where(a < b, self.at[a], ends), np.where(a < b, self.at[b], ends)
+        inner = pair(Sums(named).names(a, b), (lo - starts).astype(np.uint64), 1)
+        return np.concatenate([pair(pair(inner, words.names(starts, lo), 2), words.names(hi, ends), 3), _word_names(self.name, starts, self.window)])
+
 
-def _window_names(name: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """The names of the ``window`` words from each start, doubling lengths, then their second names."""
-    out = []
-    for seed in (0, 1 << 20):
-        level, size = name, 1
-        while size * 2 <= window:
-            level = pair(level[:-size], level[size:], size + seed)
-            size *= 2
-        out.append(pair(level[starts], level[starts + window - size], window + seed))
-    return np.concatenate(out)
+def _word_names(name: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """The names of the ``window`` words from each start, doubling lengths."""
+    level, size, seed = name, 1, 1 << 20
+    while size * 2 <= window:
+        level = pair(level[:-size], level[size:], size + seed)
+        size *= 2
+    return pair(level[starts], level[starts + window - size], window + seed)
 
 
 class Recompression:
@@ -123,23 +153,30 @@ class Recompression:
         self.window = window
 
     def ask_symbols(self, texts: Texts, state: bytes, replies):
-        names, _, _ = distinct(Grammar(texts, self.window).level_names())
-        return Ask(names), b""
+        return Ask(Grammar(texts, self.window).low), b""
 
-    def ask_windows(self, texts: Texts, state: bytes, replies: np.ndarray):
+    def ask_high(self, texts: Texts, state: bytes, replies: np.ndarray):
         g = Grammar(texts, self.window)
-        _, place, count = distinct(g.level_names())
-        if not len(place):
-            return Ask(np.zeros(0, np.uint64)), b""
-        shared = (replies > 0) | (count > 1)
-        here = shared[place]
-        apart = np.concatenate([[0], np.cumsum(~here[: len(g.low)])])
+        if not len(g.low):
+            return Ask(np.zeros(0, np.uint64)), pack(replies)
+        names, _, _ = distinct(g.high_names(g.high(g.globals(replies))))
+        return Ask(names), pack(replies)
+
+    def ask_windows(self, texts: Texts, state: bytes, replies: np.ndarray):
+        g, numbers = Grammar(texts, self.window), unpack(state)
+        if not len(g.low):
+            return Ask(np.zeros(0, np.uint64)), pack(numbers)
+        named = g.globals(numbers)
+        alone = ~((numbers > 0) | (g.count > 1))[g.place]
+        apart = np.concatenate([[0], np.cumsum(alone)])
         a, b = g.core
         maybe = (a >= b) | (apart[np.maximum(a, b)] == apart[a])
         known = np.zeros(len(g.name) + 1, bool)
         skip = np.zeros(len(g.name) + 1, bool)
-        at = len(g.low)
-        for sym, start, span in g.high:  # the highest shared symbol decides who registers its windows
+        high, at = g.high(named), 0
+        _, place, count = distinct(g.high_names(high))
+        here = ((replies > 0) | (count > 1))[place] if len(place) else np.zeros(0, bool)
+        for sym, start, span in high:  # the highest shared symbol decides who registers its windows
             ok, own = here[at : at + len(sym)] & here[at + len(sym) : at + 2 * len(sym)], replies[place[at : at + len(sym)]] < 2
             at += 2 * len(sym)
             for mark, value in ((known, True), (skip, None)):
@@ -148,18 +185,18 @@ class Recompression:
                 mark[idx] = True if value else np.repeat(~o, z)
         known, skip = known[g.starts], skip[g.starts]
         ask = maybe & ~skip
-        names, _, _ = distinct(_window_names(g.name, g.starts[ask], self.window))
-        return Ask(names), np.packbits(np.concatenate([known, ask])).tobytes()
+        names, _, _ = distinct(g.window_names(ask, named))
+        return Ask(names), np.packbits(np.concatenate([known, ask])).tobytes() + pack(numbers)
 
     def finish(self, texts: Texts, state: bytes, replies: np.ndarray) -> pa.Table:
-        w = Words(texts)
-        n = len(w.start)
-        starts = np.flatnonzero(np.arange(n) + self.window <= w.first[w.doc + 1]) if n else np.zeros(0, np.int64)
+        g = Grammar(texts, self.window)
+        w, n, starts = g.words, len(g.name), g.starts
         gone = np.zeros(n + 1, np.int64)
         if len(starts):
-            bits = np.unpackbits(np.frombuffer(state, np.uint8), count=2 * len(starts)).astype(bool)
+            size = (2 * len(starts) + 7) // 8
+            bits = np.unpackbits(np.frombuffer(state[:size], np.uint8), count=2 * len(starts)).astype(bool)
             known, ask = bits[: len(starts)], bits[len(starts) :]
-            _, place, count = distinct(_window_names(w.names(), starts[ask], self.window))
+            _, place, count = distinct(g.window_names(ask, g.globals(unpack(state[size:]))))
             repeats = known.copy()
             both = ((replies > 0) | (count > 1))[place]
             repeats[ask] |= both[: len(both) // 2] & both[len(both) // 2 :]
@@ -199,4 +236,4 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if window < 2:
         raise ValueError("window must be 2 words or more")
     talk = Recompression(window)
-    return rounds(docs, id_col, text_col, [talk.ask_symbols, talk.ask_windows], [holders, holders], talk.finish, RESULT)
+    return rounds(docs, id_col, text_col, [talk.ask_symbols, talk.ask_high, talk.ask_windows], [number, holders, holders], talk.finish, RESULT)

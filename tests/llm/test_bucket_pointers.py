@@ -3,30 +3,20 @@
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
+from dialogue import hold
 
 from rankforge.llm import suffix_dedup
-from rankforge.llm._names import Texts
-from rankforge.llm._rounds import Ask, earlier
+from rankforge.llm._rounds import earlier
 
 LENGTH = 32
 
 
 def dialogue(groups, number=suffix_dedup.number):
-    """What the groups' documents keep: one reader hears all names."""
+    """What the groups' documents keep."""
     talk = suffix_dedup.Refinement(LENGTH)
-    texts = [Texts(pa.table({"doc_id": pa.array([i for i, _ in g], pa.int64()), "text": pa.array([t for _, t in g], pa.string())})) for g in groups]
-    asks, judges = [talk.ask_suffixes, talk.ask_extents, talk.ask_windows, talk.finish], [number, suffix_dedup.settle, earlier]
-    states, replies = [b""] * len(groups), [None] * len(groups)
-    for step, judge in zip(asks, judges, strict=False):
-        said = [step(t, s, r) for t, s, r in zip(texts, states, replies, strict=True)]
-        states = [state for _, state in said]
-        found: list[Ask] = [ask for ask, _ in said]
-        names = np.concatenate([a.names for a in found])
-        heard = judge(names, [np.concatenate(c) for c in zip(*(a.columns for a in found), strict=True)]) if len(names) else np.zeros(0, np.uint64)
-        replies = np.split(heard, np.cumsum([len(a.names) for a in found])[:-1])
-    return {row["doc_id"]: (row["n_removed"], row["kept"]) for t, s, r in zip(texts, states, replies, strict=True) for row in talk.finish(t, s, r).to_pylist()}
+    rows = hold(groups, [talk.ask_suffixes, talk.ask_extents, talk.ask_windows], [number, suffix_dedup.settle, earlier], talk.finish)
+    return {row["doc_id"]: (row["n_removed"], row["kept"]) for row in rows}
 
 
 def brute(rows):
