@@ -312,12 +312,15 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 
     Each match of ``pattern`` is encoded by itself, without special tokens;
     ``path`` is a file of base64 tokens and ranks, read on the driver. One row
-    for each input row; null counts as empty and has no ids; other columns are
-    not read.
+    for each input row, repeated rows too; null counts as empty and has no ids;
+    ids of rows may be null; other columns are not read; an empty table gives an
+    empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast((_ranks(path), pattern))
 
     def run(batches):
+        import pyarrow.compute  # noqa: F401
+
         codec = _codec(*shared.value)
         for batch in batches:
             for lo, hi in _slices(pa.compute.binary_length(batch.column(1)).to_pylist()):
@@ -328,8 +331,6 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), packed], ["doc_id", "n_tokens", "ids"])
         pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
-    import pyarrow.compute  # noqa: F401
-
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.selectExpr(f"`{id_col}` as doc_id", f"cast(`{text_col}` as string) as text")
     return own.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary")
@@ -362,16 +363,23 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "d
 
 
 def decode_ids(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded`` (``doc_id, n_tokens, ids``) with ``decoded``, the bytes that the ids stand for."""
+    """``encoded`` (``doc_id, n_tokens, ids``) with ``decoded``, the bytes that the ids stand for.
+
+    Null ids count as none and give no bytes; ``n_tokens`` is passed on as it is,
+    null too, and not read. One row for each input row, repeated rows too; other
+    columns are not read; an empty table gives an empty result.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(_ranks(path))
 
     def run(batches):
         decoder = _decoder(shared.value)
         for batch in batches:
-            for lo, hi in _slices([4 * n for n in batch.column(1).to_pylist()]):
+            packed = batch.column(2).fill_null(b"")
+            size = np.array([len(x) for x in packed.to_pylist()], np.int64)
+            for lo, hi in _slices(size.tolist()):
                 part = batch.slice(lo, hi - lo)
-                ids = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u4").astype(np.int64)
-                body, ends = decoder.decode(ids, np.asarray(part.column(1)))
+                ids = np.frombuffer(b"".join(packed.slice(lo, hi - lo).to_pylist()), "<u4").astype(np.int64)
+                body, ends = decoder.decode(ids, size[lo:hi] // 4)
                 out = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(body)])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), out], ["doc_id", "n_tokens", "ids", "decoded"])
         pa.default_memory_pool().release_unused()

@@ -121,7 +121,9 @@ def predict_language(docs: DataFrame, train: Column, id_col: str = "doc_id", tex
     text and language are not null; nothing but the text enters a prediction.
     ``und``, 0 and an empty set go to null texts, texts without letters, and all texts if
     nothing could be learned. The counts of each language, 128 KB, are held by
-    the driver and every worker; languages are few by nature.
+    the driver and every worker; languages are few by nature. Repeated rows
+    count each time and are answered each; other columns are not read; an empty
+    table gives an empty result.
     """
     text = F.col(f"`{text_col}`").cast("string").alias("text")
     seen = docs.where(train).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), text).where("lang is not null and text is not null")

@@ -308,7 +308,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with nothing. Two texts link if ``100 * |A & B| >= percent * |A | B|``, and
     ``component_id`` is the smallest id reachable, the own one included. One
     row for each input row; rows with equal sets, repeated rows too, share a
-    component; null ids count as largest; other columns are not read.
+    component; null ids count as largest; other columns are not read; an empty
+    table gives an empty result.
     """
     rows = cut(_components(docs, id_col, text_col, width, percent))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))

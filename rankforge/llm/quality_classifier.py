@@ -179,7 +179,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     those with the least hashes; of documents that share a labelled id one is
     learned from. Null labels and ids are left out; without
     labels of both kinds every score is the share of label 1, or 0.5. Null and
-    empty texts are scored like any others; other columns are not read.
+    empty texts are scored like any others, repeated rows each by itself; other
+    columns are not read; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()

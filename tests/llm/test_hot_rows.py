@@ -7,6 +7,7 @@ import random
 import pytest
 
 from rankforge.llm import _rounds, byte_bpe, ngram_join, substring_dedup, suffix_dedup
+from rankforge.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string"
 
@@ -103,3 +104,11 @@ def test_one_worker_encodes_and_decodes_as_two(spark):
     assert one.columns == two.columns and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
     assert sorted(bytes(r.decoded).decode() for r in one.collect()) == sorted(t or "" for _, t in rows)
     assert byte_bpe.encode_and_decode(docs.limit(0), path, pattern).count() == 0
+
+
+def test_decode_null_ids(spark):
+    path, pattern = tokenizer()
+    rows = [(1, 1, bytes([5, 0, 0, 0])), (2, None, None), (None, 0, b""), (2, None, None), (4, None, bytes([7, 0, 0, 0]))]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, ids binary")
+    got = [(r.doc_id, r.n_tokens, len(r.decoded) > 0) for r in byte_bpe.decode_ids(df, path, pattern).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, True), (2, None, False), (None, 0, False), (2, None, False), (4, None, True)], key=str)
