@@ -11,12 +11,15 @@ from rankforge.llm.queries import tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep what passes the quality rules."""
+    """Keep what passes the quality rules: a null or empty text does not; repeated rows are judged each; an empty table stays empty."""
     return quality_rules.drop_failed(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one of each group of equal texts, the one with the largest id."""
+    """Keep one of each group of equal texts, the one with the largest id.
+
+    Null and empty texts are one group; an empty table stays empty.
+    """
     return exact_dedup.drop_copies(docs)
 
 
@@ -26,7 +29,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes."""
+    """A row for each copy that the mix takes; nulls, ties and repeated rows are as in `plan_mix`; an empty table stays empty."""
     return mixing.draw_mix(docs).select("row.*")
 
 
