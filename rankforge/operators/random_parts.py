@@ -15,6 +15,9 @@ import numpy as np
 #: Bits of the state of the Mersenne Twister, and words of its key.
 _BITS, _KEY = 19937, 624
 
+#: Numbers drawn at once: few enough for a core's cache, and for a product that BLAS doesn't spread over threads, as tasks have one core each.
+BLOCK = 1 << 17
+
 
 def _raw_words(key: np.ndarray, n: int) -> np.ndarray:
     """The first ``n`` words of the recurrence that begins with ``key``."""
@@ -82,27 +85,37 @@ def signs_at(seed: int, drawn: int) -> np.random.Generator:
 
 
 def _blocks(first: int, last: int, n: int):
-    """Sizes of blocks of about a million numbers, ``last - first`` samples of ``n`` in all."""
-    rows = max(1, 2**20 // n)
+    """Sizes of blocks of about ``BLOCK`` numbers, ``last - first`` samples of ``n`` in all."""
+    rows = max(1, BLOCK // n)
     return (min(rows, last - at) for at in range(first, last, rows))
 
 
-def sign_flip_hits(values: np.ndarray, seed: int, first: int, last: int, two_sided: bool) -> int:
-    """Of the samples ``first`` to ``last`` of a sign-flip test: those with a mean as large as the observed one; ties count up to rounding."""
-    n, size = len(values), np.abs if two_sided else np.asarray
-    seen, twister, hits = size(values.mean()), twister_at(seed, 2 * first * n), 0
+def sign_flip_hits(values: np.ndarray, seed: int, first: int, last: int, tests: list[tuple[float, bool]]) -> list[int]:
+    """Of the samples ``first`` to ``last`` of a sign-flip test: those with a mean as large as the observed one; ties count up to rounding.
+
+    A count for each ``shift, two_sided`` of ``tests``, which are drawn once: the test is of the values and their shift.
+    """
+    n, twister, hits = len(values), twister_at(seed, 2 * first * len(values)), [0] * len(tests)
+    shifted = np.stack([values + shift for shift, _ in tests], axis=1)
+    sizes = [np.abs if two_sided else np.asarray for _, two_sided in tests]
+    seen = [size(column.mean()) for size, column in zip(sizes, shifted.T, strict=True)]
     for rows in _blocks(first, last, n):
-        signs = np.where(twister.random_sample((rows, n)) < 0.5, 1.0, -1.0)
-        hits += int((size(signs @ values / n) >= seen - 1e-12).sum())
+        kept = (twister.random_sample((rows, n)) < 0.5).astype(float)
+        means = (2 * (kept @ shifted) - shifted.sum(axis=0)) / n
+        hits = [h + int((size(mean) >= s - 1e-12).sum()) for h, size, mean, s in zip(hits, sizes, means.T, seen, strict=True)]
     return hits
 
 
 def randomization_hits(values: np.ndarray, seed: int, first: int, last: int) -> int:
     """Of the samples ``first`` to ``last`` of a two-sided randomisation test: those as large as the observed mean."""
-    n, seen, rng, hits = len(values), abs(values.mean()), signs_at(seed, first * len(values)), 0
+    n, seen, hits, at = len(values), abs(values.mean()), 0, first
     for rows in _blocks(first, last, n):
-        signs = rng.choice([-1.0, 1.0], size=(rows, n))
-        hits += int((np.abs(signs @ values / n) >= seen - 1e-12).sum())
+        odd = at * n % 2
+        words = signs_at(seed, at * n - odd).bit_generator.random_raw((odd + rows * n + 1) // 2)
+        plus = words.astype("<u8", copy=False).view("<i4")[odd : odd + rows * n] < 0  # a choice is the top bit of half a word, the low half first
+        means = (2 * (plus.reshape(rows, n).astype(float) @ values) - values.sum()) / n
+        hits += int((np.abs(means) >= seen - 1e-12).sum())
+        at += rows
     return hits
 
 
@@ -122,8 +135,8 @@ def count_indices(n: int, seed: int, samples: int, part: int, parts: int) -> int
     """How many indices a part's words give."""
     first, last = word_range(n, samples, part, parts)
     twister, found = twister_at(seed, first), 0
-    for at in range(first, last, 1 << 20):
-        found += len(_indices(twister, min(1 << 20, last - at), n))
+    for at in range(first, last, BLOCK):
+        found += len(_indices(twister, min(BLOCK, last - at), n))
     return found
 
 

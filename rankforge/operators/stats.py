@@ -94,8 +94,7 @@ def bootstrap(values: list[float], samples: int, seed: int) -> tuple[float, floa
 
 def sign_flip(values: list[float], samples: int, seed: int, shift: float = 0.0, two_sided: bool = True) -> float:
     """Share of random signs, a sign kept where ``random.Random(seed).random() < 0.5``, with a mean at least as large; ties count up to rounding."""
-    v = np.asarray(values, dtype=float) + shift
-    return (random_parts.sign_flip_hits(v, seed, 0, samples, two_sided) + 1) / (samples + 1)
+    return (random_parts.sign_flip_hits(np.asarray(values, dtype=float), seed, 0, samples, [(shift, two_sided)])[0] + 1) / (samples + 1)
 
 
 def randomization(a: list[float], b: list[float], samples: int, seed: int) -> float:
@@ -103,8 +102,16 @@ def randomization(a: list[float], b: list[float], samples: int, seed: int) -> fl
     return 1.0 if d.mean() == 0 else (1 + random_parts.randomization_hits(d, seed, 0, samples)) / (samples + 1)
 
 
-#: Numbers that a part draws, about.
+#: Numbers that a part draws, about, where that makes no more parts than the two below allow.
 PART_DRAWS = 1 << 25
+#: Parts of all comparisons together, and parts that each may have in any case. A part is sent the comparison's values, so their number must not grow with these.
+MOST_PARTS, LEAST_PARTS = 1 << 10, 8
+
+
+def parts_of(n: Column, draws: int, comparisons: int) -> Column:
+    """Parts of a comparison of ``n`` values that draws ``draws`` numbers for each, one of ``comparisons``."""
+    most = max(LEAST_PARTS, MOST_PARTS // max(1, comparisons))
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.ceil(draws * n.cast("long") / PART_DRAWS))).cast("int")
 
 
 def paired_tests(pairs: DataFrame, samples: int = 10_000, seed: int = 929, delta: float = 0.01, random_samples: int = 100_000, parts: int | None = None) -> DataFrame:
@@ -113,37 +120,38 @@ def paired_tests(pairs: DataFrame, samples: int = 10_000, seed: int = 929, delta
     The seed of a comparison is the base seed plus its ordinal. The bootstrap
     and the sign flips take ``samples``, the randomisation test
     ``random_samples``. A comparison's samples are drawn in ``parts`` (by default
-    as many as its work asks for), each at its place in the seed's streams:
+    as many as ``parts_of`` says), each at its place in the seed's streams:
     results don't depend on their number. Counts of parts are summed up, the
     interval's ends are found by counting passes over all means; a row holds the
     comparison's values, one a query.
     """
     rows = F.array_sort(F.collect_list(F.struct("qid", "a", "b")))
     cells = pairs.groupBy("ordinal").agg(F.first("name").alias("name"), F.first("family").alias("family"), F.transform(rows, lambda x: x["a"] - x["b"]).alias("d"))
-    number = F.lit(parts) if parts else F.ceil((2 * samples + random_samples) * F.size("d") / PART_DRAWS)
-    cells = written(cells.select(F.col("ordinal").cast("int").alias("ordinal"), "name", "family", "d", F.greatest(number.cast("int"), F.lit(1)).alias("parts")))
+    cells = written(cells.select(F.col("ordinal").cast("int").alias("ordinal"), "name", "family", "d"))
+    number = F.lit(parts) if parts else parts_of(F.size("d"), 2 * samples + random_samples, cells.count())
     tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cells.select("ordinal", "d", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition(tasks, "ordinal", "part")  # few rows, long work: not to be merged
+    asked = cells.select("ordinal", F.size("d").alias("n"), number.alias("parts"))
+    dealt = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition(tasks, "ordinal", "part")  # few rows, long work: not to be merged
 
     def count(batches):
         for g in batches:
-            yield pd.DataFrame({"ordinal": g.ordinal, "part": g.part, "found": [random_parts.count_indices(len(d), seed + o, samples, p, n) for o, d, p, n in zip(g.ordinal, g.d, g.part, g.parts, strict=True)]})
+            g["found"] = [random_parts.count_indices(n, seed + o, samples, p, k) for o, n, p, k in zip(g.ordinal, g.n, g.part, g.parts, strict=True)]
+            yield g[["ordinal", "part", "parts", "found"]]
 
-    counted = dealt.mapInPandas(count, "ordinal int, part int, found long")
+    counted = dealt.mapInPandas(count, "ordinal int, part int, parts int, found long")
     before = F.coalesce(F.sum("found").over(Window.partitionBy("ordinal").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = dealt.join(counted.withColumn("before", before), ["ordinal", "part"]).repartition(tasks, "ordinal", "part")
-
-    def draw(batches):
-        for g in batches:
-            for o, p, d, n, found, start in zip(g.ordinal, g.part, g.d, g.parts, g.found, g.before, strict=True):
-                d, s = np.asarray(d, dtype=float), seed + o
-                flips = [samples * k // n for k in (p, p + 1)]
-                tries = [random_samples * k // n for k in (p, p + 1)]
-                means = random_parts.bootstrap_means(d, s, samples, p, n, start, found)
-                hits = [random_parts.sign_flip_hits(d, s, *flips, True), random_parts.sign_flip_hits(d + delta, s, *flips, False), random_parts.randomization_hits(d, s, *tries)]
-                yield pd.DataFrame({"ordinal": [o], "mean": [sum(d.tolist()) / len(d)], "superior": hits[:1], "noninferior": hits[1:2], "random": hits[2:], "level": [bool(d.mean() == 0)], "means": [means]})
-
-    drawn = written(placed.mapInPandas(draw, "ordinal int, mean double, superior long, noninferior long, random long, level boolean, means array<double>"))
+    placed = cells.select("ordinal", "d").join(counted.withColumn("before", before), "ordinal").repartition(tasks, "ordinal", "part")
+
+    def draw(g):  # a part is a group, hence an Arrow batch: many rows' values never meet in one
+        (o, p, d, n, found, start), = g[["ordinal", "part", "d", "parts", "found", "before"]].itertuples(index=False)
+        d, s = np.asarray(d, dtype=float), seed + int(o)
+        flips = [samples * k // n for k in (p, p + 1)]
+        tries = [random_samples * k // n for k in (p, p + 1)]
+        means = random_parts.bootstrap_means(d, s, samples, p, n, start, found)
+        superior, noninferior = random_parts.sign_flip_hits(d, s, *flips, [(0.0, True), (delta, False)])
+        return pd.DataFrame({"ordinal": [o], "mean": [sum(d.tolist()) / len(d)], "superior": [superior], "noninferior": [noninferior], "random": [random_parts.randomization_hits(d, s, *tries)], "level": [bool(d.mean() == 0)], "means": [means]})
+
+    drawn = written(placed.groupBy("ordinal", "part").applyInPandas(draw, "ordinal int, mean double, superior long, noninferior long, random long, level boolean, means array<double>"))
     share = lambda c, n: (F.sum(c) + 1) / (n + 1)
     sums = drawn.groupBy("ordinal").agg(F.max("mean").alias("mean_delta"), share("superior", samples).alias("p_superior"), share("noninferior", samples).alias("p_noninferior"), F.when(F.max("level"), 1.0).otherwise(share("random", random_samples)).alias("p_random"))
     low, high = int(0.025 * samples), min(samples - 1, int(0.975 * samples))

@@ -55,6 +55,19 @@ def test_results_do_not_depend_on_parts(spark):
         assert rnd == stats.randomization([r[4] for r in sorted(mine, key=lambda r: r[3])], [r[5] for r in sorted(mine, key=lambda r: r[3])], 900, 929 + ordinal)
 
 
+def test_a_comparison_has_no_more_parts_with_more_values(spark):
+    sizes = spark.createDataFrame([(n,) for n in (0, 1, 1_000, 60_000, 360_000, 2**31 - 1)], "n int")
+    got = [[r.p for r in sizes.select(stats.parts_of(F.col("n"), 120_000, k).alias("p")).collect()] for k in (126, 10**6, 1)]
+    assert got[0] == got[1] == [1, 1, 4, 8, 8, 8] and got[2] == [1, 1, 4, 215, 1024, 1024]
+
+
+def test_odd_and_even_places_of_randomisation_add_up():
+    v = np.round(np.random.default_rng(3).normal(0.01, 0.1, 1237), 6)
+    whole = np.random.default_rng(5).choice([-1.0, 1.0], size=(3000, 1237)) @ v / 1237
+    hits = [random_parts.randomization_hits(v, 5, *ends) for ends in ((0, 1), (1, 1000), (1000, 3000))]
+    assert sum(hits) == (abs(whole) >= abs(v.mean()) - 1e-12).sum()
+
+
 def test_order_statistics(spark):
     rng = random.Random(4)
     odd = [0.0, -0.0, 1e-320, -1e-320, 1e308, -1e308, float("inf"), float("-inf"), 2.0, 2.0, 2.0 + 2**-51, -5.5]
