@@ -21,7 +21,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def overlaps(spark: SparkSession, sf_dir: str, hits: int | None = None, share: tuple[int, int] | None = None) -> DataFrame:
     """``item_id, doc_id, n, size``: distinct tokens in common, and those of the query; pairs without one never exist. ``hits`` and ``share`` are as in ``count_in_cells``."""
     queries, docs = read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents")
-    return overlap.count_in_cells(overlap.words(queries, "item_id"), docs.select("doc_id", "text"), queries.count(), docs.count(), hits, share, overlap.word_list())
+    return overlap.count_in_cells(overlap.words(queries, "item_id"), docs.select("doc_id", "text"), queries.count(), docs.count(), hits, share, overlap.text_to_split())
 
 
 def first_stage(spark: SparkSession, sf_dir: str, hits: int = HITS) -> DataFrame:
