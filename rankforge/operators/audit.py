@@ -17,7 +17,7 @@ from ..sources.shared import written
 
 
 def _run_errors(run: DataFrame, pools: DataFrame) -> DataFrame:
-    """One pass over both sides: they are counted by query and document, then by query."""
+    """One pass over both sides: they are counted by query and document, then by query, then by error."""
     sides = run.select("qid", "docid", F.lit(1).alias("r"), F.lit(0).alias("p")).unionAll(pools.select("qid", "docid", F.lit(0), F.lit(1)))
     cells = sides.groupBy("qid", "docid").agg(F.sum("r").alias("r"), F.sum("p").alias("p"))
     per = cells.groupBy("qid").agg(F.sum("r").alias("n"), F.count_if(F.expr("r > 0")).alias("u"), F.sum("p").alias("w"), F.count_if(F.expr("(r > 0) <> (p > 0)")).alias("other"))
@@ -27,10 +27,10 @@ def _run_errors(run: DataFrame, pools: DataFrame) -> DataFrame:
         F.when(both & (F.col("n") != F.col("w")), F.concat(F.lit("wrong_depth:"), "qid", F.lit(":"), F.col("n").cast("string"), F.lit(":expected_"), F.col("w").cast("string"))),
         F.when(both & (F.col("other") > 0), F.concat(F.lit("pool_membership_mismatch:"), "qid")),
     ]
-    own = per.select(F.explode(F.array_compact(F.array(*found))).alias("error"))
-    counts = per.agg(F.count_if(F.expr("n = 0")).alias("missing_qids"), F.count_if(F.expr("w = 0")).alias("unexpected_qids"))
-    totals = [F.when(F.col(c) > 0, F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))) for c in ("missing_qids", "unexpected_qids")]
-    return own.unionAll(counts.select(F.explode(F.array_compact(F.array(*totals))).alias("error")))
+    sides_only = [F.when(F.col("n") == 0, F.lit("missing_qids")), F.when(F.col("w") == 0, F.lit("unexpected_qids"))]
+    kinds = per.select(F.explode(F.array(*[F.struct(e.alias("error"), F.lit(counted).alias("counted")) for es, counted in ((found, False), (sides_only, True)) for e in es])).alias("x")).select("x.*").where("error is not null")
+    counts = kinds.groupBy("error", "counted").agg(F.count("*").alias("times"))
+    return counts.select(F.when(F.col("counted"), F.concat("error", F.lit(":"), F.col("times").cast("string"))).otherwise(F.col("error")).alias("error"))
 
 
 def audit_run(run: DataFrame | None, pools: DataFrame) -> DataFrame:

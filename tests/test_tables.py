@@ -92,3 +92,10 @@ def test_position_stream_equals_batch(spark, tmp_path):
     q = jobs.position_counts(jobs.comparison_stream(spark, str(tmp_path / "log"))).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(spark.table("counts").collect()) == sorted(jobs.position_counts(log).collect())
+
+
+def test_a_run_and_its_pools_are_read_once_by_the_audit(spark):
+    side = lambda n: spark.range(n).selectExpr("string(id % 7) as qid", "string(id) as docid")
+    found = audit.audit_run(side(40).where("qid <> '3'").unionAll(side(1).selectExpr("'new'", "docid")), side(42))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 3
+    assert sorted(r.error for r in found.collect()) == sorted(["missing_qids:1", "unexpected_qids:1", *(f"{e}:{q}{more}" for q in (5, 6) for e, more in (("wrong_depth", ":5:expected_6"), ("pool_membership_mismatch", "")))])
