@@ -106,6 +106,8 @@ def randomization(a: list[float], b: list[float], samples: int, seed: int) -> fl
 PART_DRAWS = 1 << 25
 #: Parts of all comparisons together, and parts that each may have in any case. A part is sent the comparison's values, so their number must not grow with these.
 MOST_PARTS, LEAST_PARTS = 1 << 10, 8
+#: Numbers that a task draws, at least, where parts are dealt to more tasks than there are shuffle partitions.
+TASK_DRAWS = 1 << 28
 
 
 def parts_of(n: Column, draws: int, comparisons: int) -> Column:
@@ -120,38 +122,52 @@ def paired_tests(pairs: DataFrame, samples: int = 10_000, seed: int = 929, delta
     The seed of a comparison is the base seed plus its ordinal. The bootstrap
     and the sign flips take ``samples``, the randomisation test
     ``random_samples``. A comparison's samples are drawn in ``parts`` (by default
-    as many as ``parts_of`` says), each at its place in the seed's streams:
-    results don't depend on their number. Counts of parts are summed up, the
+    as many as ``parts_of`` says), each at its place in the seed's streams: results
+    don't depend on their number. A bootstrap that is one part needs no count of the
+    indices before it, hence no second drawing: so it is by default where the
+    comparisons are enough to keep all cores busy. Counts of parts are summed up, the
     interval's ends are found by counting passes over all means; a row holds the
     comparison's values, one a query.
     """
     rows = F.array_sort(F.collect_list(F.struct("qid", "a", "b")))
     cells = pairs.groupBy("ordinal").agg(F.first("name").alias("name"), F.first("family").alias("family"), F.transform(rows, lambda x: x["a"] - x["b"]).alias("d"))
     cells = written(cells.select(F.col("ordinal").cast("int").alias("ordinal"), "name", "family", "d"))
-    number = F.lit(parts) if parts else parts_of(F.size("d"), 2 * samples + random_samples, cells.count())
-    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = cells.select("ordinal", F.size("d").alias("n"), number.alias("parts"))
-    dealt = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).repartition(tasks, "ordinal", "part")  # few rows, long work: not to be merged
+    spark, (comparisons, values) = pairs.sparkSession, cells.agg(F.count("*"), F.coalesce(F.sum(F.size("d")), F.lit(0))).first()
+    number = F.lit(parts) if parts else parts_of(F.size("d"), 2 * samples + random_samples, comparisons)
+    alone = not parts and comparisons >= 4 * spark.sparkContext.defaultParallelism
+    kinds = F.explode(F.array(F.struct(F.lit(True).alias("means"), (F.lit(1) if alone else number).alias("parts")), F.struct(F.lit(False).alias("means"), number.alias("parts"))))
+    asked = cells.select("ordinal", F.size("d").alias("n"), kinds.alias("kind")).select("ordinal", "n", "kind.*")
+    dealt = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, min(dealt.count(), values * (2 * samples + random_samples) // TASK_DRAWS))  # few rows, long work: no core is to wait for a task of many
 
     def count(batches):
         for g in batches:
-            g["found"] = [random_parts.count_indices(n, seed + o, samples, p, k) for o, n, p, k in zip(g.ordinal, g.n, g.part, g.parts, strict=True)]
-            yield g[["ordinal", "part", "parts", "found"]]
+            g["found"] = [random_parts.count_indices(n, seed + o, samples, p, k) if means else 0 for o, n, means, p, k in zip(g.ordinal, g.n, g.means, g.part, g.parts, strict=True)]
+            yield g[["ordinal", "means", "part", "parts", "found"]]
 
-    counted = dealt.mapInPandas(count, "ordinal int, part int, parts int, found long")
-    before = F.coalesce(F.sum("found").over(Window.partitionBy("ordinal").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = cells.select("ordinal", "d").join(counted.withColumn("before", before), "ordinal").repartition(tasks, "ordinal", "part")
+    if alone:
+        counted = dealt.select("ordinal", "means", "part", "parts", F.lit(0).cast("long").alias("found"))
+    else:
+        counted = dealt.repartition(tasks, "ordinal", "means", "part").mapInPandas(count, "ordinal int, means boolean, part int, parts int, found long")
+    before = F.coalesce(F.sum("found").over(Window.partitionBy("ordinal", "means").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = cells.select("ordinal", "d").join(counted.withColumn("before", before), "ordinal").repartition(tasks, "ordinal", "means", "part")
 
     def draw(g):  # a part is a group, hence an Arrow batch: many rows' values never meet in one
-        (o, p, d, n, found, start), = g[["ordinal", "part", "d", "parts", "found", "before"]].itertuples(index=False)
+        (o, p, d, n, found, start, resample), = g[["ordinal", "part", "d", "parts", "found", "before", "means"]].itertuples(index=False)
         d, s = np.asarray(d, dtype=float), seed + int(o)
-        flips = [samples * k // n for k in (p, p + 1)]
-        tries = [random_samples * k // n for k in (p, p + 1)]
-        means = random_parts.bootstrap_means(d, s, samples, p, n, start, found)
-        superior, noninferior = random_parts.sign_flip_hits(d, s, *flips, [(0.0, True), (delta, False)])
-        return pd.DataFrame({"ordinal": [o], "mean": [sum(d.tolist()) / len(d)], "superior": [superior], "noninferior": [noninferior], "random": [random_parts.randomization_hits(d, s, *tries)], "level": [bool(d.mean() == 0)], "means": [means]})
-
-    drawn = written(placed.groupBy("ordinal", "part").applyInPandas(draw, "ordinal int, mean double, superior long, noninferior long, random long, level boolean, means array<double>"))
+        level = bool(d.mean() == 0)
+        means, superior, noninferior, random = [], 0, 0, 0
+        if resample:
+            means = random_parts.bootstrap_means(d, s, samples, p, n, start, found)
+        else:
+            flips = [samples * k // n for k in (p, p + 1)]
+            tries = [random_samples * k // n for k in (p, p + 1)]
+            superior, noninferior = random_parts.sign_flip_hits(d, s, *flips, [(0.0, True), (delta, False)])
+            random = 0 if level else random_parts.randomization_hits(d, s, *tries)
+        return pd.DataFrame({"ordinal": [o], "mean": [sum(d.tolist()) / len(d)], "superior": [superior], "noninferior": [noninferior], "random": [random], "level": [level], "means": [means]})
+
+    drawn = written(placed.groupBy("ordinal", "means", "part").applyInPandas(draw, "ordinal int, mean double, superior long, noninferior long, random long, level boolean, means array<double>")).coalesce(least)
     share = lambda c, n: (F.sum(c) + 1) / (n + 1)
     sums = drawn.groupBy("ordinal").agg(F.max("mean").alias("mean_delta"), share("superior", samples).alias("p_superior"), share("noninferior", samples).alias("p_noninferior"), F.when(F.max("level"), 1.0).otherwise(share("random", random_samples)).alias("p_random"))
     low, high = int(0.025 * samples), min(samples - 1, int(0.975 * samples))

@@ -97,3 +97,50 @@ def test_stability_of_large_groups(spark):
     assert len(a) == 2 and a == b
     c, d = (sorted(map(tuple, stats.nearest_rank_p95(values, ["m"], held=held).collect())) for held in (10**6, 0))
     assert c == d
+
+
+class Counting:
+    """A generator that counts the words taken from it."""
+
+    def __init__(self, twister):
+        self.twister, self.words = twister, 0
+
+    def randint(self, low, high, size, dtype):
+        self.words += size
+        return self.twister.randint(low, high, size, dtype)
+
+
+@pytest.mark.parametrize("first, bits", [(0, 1), (3, 1000), (70_001, 20_000_000)])
+def test_signs_follow_from_the_first_ones(first, bits):
+    twister = Counting(random_parts.twister_at(5, 2 * first))
+    got = np.unpackbits(np.concatenate(list(random_parts._top_bits(twister, bits))).view(np.uint8), bitorder="little")
+    want = random_parts.twister_at(5, 2 * first).random_sample(bits) >= 0.5
+    assert len(got) >= bits and (got[:bits] == want).all() and twister.words <= 128 * min(19937, -(-bits // 64))
+
+
+@pytest.mark.parametrize("values", [[1.0, -1.0, 0.0, 1.0] * 10, [1e-9, 1e9, -1e9, 3e8] * 9, list(np.random.default_rng(7).normal(0.001, 0.1, 40_001)), [0.0] * 5])
+def test_rows_near_the_limit_are_counted_in_double_precision(values):
+    v = np.asarray(values)
+    signs = np.where(np.random.default_rng(1).random((300, len(v))) < 0.5, np.float32(1), np.float32(-1))
+    signs[:2], signs[2] = 1, -1  # ties
+    for two_sided, size in ((True, np.abs), (False, np.asarray)):
+        want = (size(signs.astype(float) @ v / len(v)) >= size(v.mean()) - 1e-12).sum()
+        assert random_parts.Reached(v, two_sided).count(signs) == want >= 2
+
+
+def test_resampled_sums_do_not_depend_on_parts_of_large_comparisons():
+    n, samples = 70_001, 12
+    v = np.random.default_rng(1).normal(size=n)
+    whole, stream = random_parts.bootstrap_means(v, 3, samples, 0, 1, 0, 0), random.Random(3)
+    assert whole[:2] == pytest.approx([sum(v[stream.randrange(n)] for _ in range(n)) / n for _ in range(2)], abs=1e-13)
+    found = [random_parts.count_indices(n, 3, samples, p, 5) for p in range(5)]
+    assert (np.concatenate([random_parts.bootstrap_means(v, 3, samples, p, 5, sum(found[:p]), found[p]) for p in range(5)]) == whole).all()
+
+
+def test_many_comparisons_draw_their_bootstraps_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(o, f"c{o}", "f", f"q{q}", float(rng.normal()), 0.0) for o in range(4 * spark.sparkContext.defaultParallelism) for q in range(1 + o % 5)]
+    pairs = spark.createDataFrame(rows, "ordinal int, name string, family string, qid string, a double, b double")
+    want = sorted(map(tuple, stats.paired_tests(pairs, samples=200, random_samples=300, parts=2).collect()))
+    monkeypatch.setattr(type(pairs), "mapInPandas", lambda *_: pytest.fail("indices are counted"))
+    assert sorted(map(tuple, stats.paired_tests(pairs, samples=200, random_samples=300).collect())) == want
